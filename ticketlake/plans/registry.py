@@ -12,6 +12,7 @@ FAMILIES = [
     "ticketlake.plans.q_chain",
     "ticketlake.plans.q_completions",
     "ticketlake.plans.q_retrieval",
+    "ticketlake.plans.q_triage",
     "ticketlake.plans.q_eval",
     "ticketlake.plans.q_monitor",
     "ticketlake.plans.q_features",

@@ -161,9 +161,11 @@ FEEDBACK_SQL = f"""feedback AS (
 # tier_scores: deterministic stand-ins for the three classifier tiers
 # --------------------------------------------------------------------------------
 
-def tier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per ticket: tier-1 model + rule results and tier-2 / tier-3 results, from ids."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ticket_id"))
+def tier_scores(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Per ticket: tier-1 model + rule results and tier-2 / tier-3 results, from ids
+    (the document ids unless another id column ``doc_id`` is given)."""
+    src = ids if ids is not None else table(spark, sf_dir, "documents")
+    d = src.select(F.col("doc_id").alias("ticket_id"))
     i = F.col("ticket_id")
     rule = ((i * 31) % 11).cast("double") / F.lit(10.0)
     return d.select(
