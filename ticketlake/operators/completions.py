@@ -144,19 +144,39 @@ def normalize_route(action: Column, abstain: Column, conf: Column) -> Column:
     return F.when(key.isin(ROUTING_ACTIONS), action).otherwise(derived)
 
 
+def staged_clean(df: DataFrame, raw_col: str, truncated_as_empty: bool) -> DataFrame:
+    """Clean-up in stages (one projection per step), so that a text referenced by
+    several later expressions is computed once instead of copied into each."""
+    t0 = strip_unicode(F.coalesce(F.col(raw_col), F.lit("")))
+    df = df.withColumn("_t0", t0)
+    df = df.withColumn("_t1", F.when(F.instr("_t0", "<think>") > 0, strip_unicode(
+        F.regexp_replace("_t0", r"<think>[\s\S]*?</think>", ""))).otherwise(F.col("_t0")))
+    df = df.withColumn("_trunc", F.col("_t1").startswith("<think>"))
+    if truncated_as_empty:
+        df = df.withColumn("_t1", F.when(F.col("_trunc"), F.lit("")).otherwise(F.col("_t1")))
+    df = df.withColumn("_u", F.regexp_replace("_t1", r"^`+|`+$", ""))
+    untagged = F.when(F.lower("_u").startswith("json"), strip_unicode(F.substring("_u", 5, 1 << 30))).otherwise(F.col("_u"))
+    return df.withColumn("_text", F.when(F.col("_t1").startswith("```"), untagged).otherwise(F.col("_t1"))).drop(
+        "_t0", "_t1", "_u")
+
+
 def parse_prediction(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Strip, parse and validate a tier-3 classification response.
 
     Valid when the text is non-empty JSON with both labels and a routing action
     that, after L6, is one of the five literals.
     """
-    text, _ = clean_response(F.col(raw_col), truncated_as_empty=True)
-    p = F.from_json(text, CLASS_SCHEMA)
+    cols = [c for c in df.columns if c != raw_col]
+    df = staged_clean(df, raw_col, truncated_as_empty=True)
+    df = df.withColumn("_p", F.from_json("_text", CLASS_SCHEMA))
+    text, p = F.col("_text"), F.col("_p")
     route = normalize_route(p["routing_action"], p["abstain_flag"], p["confidence_score"])
+    df = df.withColumn("_route", route)
+    route = F.col("_route")
     valid = ((text != "") & p.isNotNull() & p["predicted_category"].isNotNull()
              & p["predicted_priority"].isNotNull() & route.isin(ROUTING_ACTIONS))
     return df.select(
-        *[c for c in df.columns if c != raw_col],
+        *cols,
         F.coalesce(valid, F.lit(False)).alias("valid"),
         F.when(valid, p["predicted_category"]).alias("predicted_category"),
         F.when(valid, p["predicted_priority"]).alias("predicted_priority"),
@@ -172,16 +192,19 @@ ANSWER_SCHEMA = "draft_response string, citations array<int>"
 
 def parse_answer(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Citations within {0,1,2}; text and citations both empty or both present."""
-    text, truncated = clean_response(F.col(raw_col), truncated_as_empty=False)
-    p = F.from_json(text, ANSWER_SCHEMA)
-    draft = strip_unicode(p["draft_response"])
+    cols = [c for c in df.columns if c != raw_col]
+    df = staged_clean(df, raw_col, truncated_as_empty=False)
+    df = df.withColumn("_p", F.from_json("_text", ANSWER_SCHEMA))
+    df = df.withColumn("_draft", strip_unicode(F.col("_p.draft_response")))
+    truncated, p = F.col("_trunc"), F.col("_p")
+    draft = F.col("_draft")
     cits = p["citations"]
     in_range = F.forall(cits, lambda c: c.isin(VALID_CITATIONS))
     consistent = (F.size(cits) > 0) == (draft != "")
     valid = (~truncated & p.isNotNull() & p["draft_response"].isNotNull() & cits.isNotNull()
              & in_range & consistent)
     valid = F.coalesce(valid, F.lit(False))
-    return df.select(*[c for c in df.columns if c != raw_col], valid.alias("valid"),
+    return df.select(*cols, valid.alias("valid"),
                      F.when(valid, draft).alias("draft_response"),
                      F.when(valid, cits).alias("citations"))
 
@@ -191,19 +214,18 @@ def first_valid_attempt(parsed: DataFrame, key: str = "ticket_id", attempt_col:
     """The first valid attempt carrying at least one citation, among the first
     ``max_attempts``; tickets without one abstain with the refusal text.
 
-    ``min_by`` is a partial aggregate: a ticket with many attempts never gathers
-    in one task, and nothing is sorted.
+    One conditional aggregation per ticket (``min_by`` over the qualifying
+    attempts): a partial aggregate, so a ticket with many attempts never gathers
+    in one task; no filter, distinct or join, hence one shuffle.
     """
-    tickets = parsed.select(key).distinct()
-    good = parsed.where((F.col(attempt_col) < max_attempts) & F.col("valid") & (F.size("citations") > 0))
-    best = good.groupBy(key).agg(F.min_by(F.struct(attempt_col, "draft_response", "citations"),
-                                          F.col(attempt_col)).alias("b"))
-    out = tickets.join(best, key, "left")
-    hit = F.col("b").isNotNull()
-    return out.select(
-        key,
-        F.col(f"b.{attempt_col}").alias("chosen_attempt"),
-        (~hit).alias("abstain_flag"),
+    ok = (F.col(attempt_col) < max_attempts) & F.col("valid") & (F.coalesce(F.size("citations"), F.lit(0)) > 0)
+    order = F.when(ok, F.col(attempt_col))
+    g = parsed.groupBy(key).agg(
+        F.min(order).alias("chosen_attempt"),
+        F.min_by(F.struct("draft_response", "citations"), order).alias("b"))
+    hit = F.col("chosen_attempt").isNotNull()
+    return g.select(
+        key, "chosen_attempt", (~hit).alias("abstain_flag"),
         F.when(hit, F.col("b.draft_response")).otherwise(F.lit(ABSTAIN_RESPONSE_TEXT)).alias("draft_response"),
         F.when(hit, F.array_join(F.transform("b.citations", lambda c: c.cast("string")), "|"))
          .otherwise(F.lit("")).alias("citations"))

@@ -100,9 +100,9 @@ def scrub_table(df: DataFrame, text_columns: list[str] | None = None,
     df = mask_columns(df, masks)
     for c in text_columns:
         if c in df.columns:
-            src = F.col(c)
-            df = df.withColumn(c, F.when(src.isNull(), src)
-                               .otherwise(normalize_full(scrub_full(src, gazetteer), lemma_map)))
+            # stage the redacted text so the normaliser reads a column, not a copy of the chain
+            df = df.withColumn(c, scrub_full(F.col(c), gazetteer))
+            df = df.withColumn(c, normalize_full(F.col(c), lemma_map))
     return df
 
 
@@ -117,13 +117,23 @@ def scrub_stats(df: DataFrame, text_columns: list[str],
     """
     masks = STRUCTURED_MASKS if masks is None else masks
     regex_hits, ner_hits, changed = [], [], []
-    for c in text_columns:
-        src = F.col(c)
-        counts = tx.regex_hit_counts(src)
-        regex_hits.append(sum((counts[lab.lower()] for lab, _ in tx.PII_PATTERNS), F.lit(0)))
-        ner_hits.append(entity_hit_count(tx.scrub_regex(src), gazetteer or {}))
-        final = normalize_full(scrub_full(src, gazetteer), lemma_map)
-        changed.append(F.when(src.isNotNull() & (final != src), 1).otherwise(0))
+    for j, c in enumerate(text_columns):
+        cur = f"_s{j}"
+        df = df.withColumn(cur, F.col(c))
+        for label, pat in tx.PII_PATTERNS:
+            df = df.withColumn(f"_h{j}_{label}", F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)))
+            df = df.withColumn(cur, tx.redact(F.col(cur), label))
+            regex_hits.append(F.col(f"_h{j}_{label}"))
+        for label in ("PERSON", "ORG", "GPE", "LOC"):
+            names = (gazetteer or {}).get(label) or []
+            if not names:
+                continue
+            pat = entity_pattern(names)
+            df = df.withColumn(f"_n{j}_{label}", F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)))
+            df = df.withColumn(cur, F.regexp_replace(F.col(cur), pat, tx._java_replacement(tx.REDACTION_TAGS[label])))
+            ner_hits.append(F.col(f"_n{j}_{label}"))
+        df = df.withColumn(cur, normalize_full(F.col(cur), lemma_map))
+        changed.append(F.when(F.col(c).isNotNull() & (F.col(cur) != F.col(c)), 1).otherwise(0))
     for c in masks:
         if c in df.columns:
             changed.append(F.when(F.col(c).isNotNull() & (F.col(c) != F.lit(masks[c])), 1).otherwise(0))

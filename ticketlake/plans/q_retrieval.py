@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ticketlake.operators import chunking as ck
 from ticketlake.operators import retrieval as rt
 from ticketlake.plans.common import Family, docs
+from ticketlake.session import cut_lineage
 from ticketlake.sources.tables import table
 
 fam = Family()
@@ -119,7 +120,9 @@ def with_all(*parts: str) -> str:
 
 
 def kb(spark, sf):
-    return ck.chunk_kb(docs(spark, sf))
+    """KB chunks, materialised once into the checkpoint folder: every retrieval
+    branch (index, padding, vectors, metadata) reads them without re-chunking."""
+    return cut_lineage(ck.chunk_kb(docs(spark, sf)))
 
 
 def bench_queries(spark, sf):
