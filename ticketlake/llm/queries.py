@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.llm.bpe_lexicon import op1_bpe_lexicon
+from ticketlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from ticketlake.llm.simhash import op8_simhash_trie
 from ticketlake.llm.token_counts import op7_prefix_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
+    "op2_exact_dedup": op2_exact_dedup,
     "op7_prefix_counts": op7_prefix_counts,
+    "op8_simhash_trie": op8_simhash_trie,
 }
 
-QUERY_SQL: dict[str, str] = {}
+QUERY_SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+}
