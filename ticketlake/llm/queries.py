@@ -12,6 +12,7 @@ from ticketlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from ticketlake.llm.quality import op6_quality_ftrl
 from ticketlake.llm.secret_scan import op4_secret_novelty
 from ticketlake.llm.simhash import op8_simhash_trie
+from ticketlake.llm.suffix_dedup import op10_suffix_repeats
 from ticketlake.llm.token_counts import op7_prefix_counts
 from ticketlake.llm.toxicity import op9_toxicity_chain
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_counts": op7_prefix_counts,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_toxicity_chain": op9_toxicity_chain,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 QUERY_SQL: dict[str, str] = {
