@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketlake.llm.bpe_lexicon import op1_bpe_lexicon
 from ticketlake.llm.decontaminate import op5_decontaminate
 from ticketlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from ticketlake.llm.lm_score import op3_gru_score
 from ticketlake.llm.quality import op6_quality_ftrl
 from ticketlake.llm.secret_scan import op4_secret_novelty
 from ticketlake.llm.simhash import op8_simhash_trie
@@ -19,6 +20,7 @@ from ticketlake.llm.toxicity import op9_toxicity_chain
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_gru_score": op3_gru_score,
     "op4_secret_novelty": op4_secret_novelty,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_ftrl": op6_quality_ftrl,
