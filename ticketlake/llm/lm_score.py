@@ -31,7 +31,7 @@ BUCKET_BYTES = 8 << 20
 # Words of at least 1/HEAD_WORDS of all tokens get slots, endings of at least 1/ENDINGS classes.
 HEAD_WORDS, ENDINGS = 4096, 128
 ENDING_BYTES = 2
-HIDDEN, WINDOW, BATCH = 24, 32, 512
+HIDDEN, WINDOW, BATCH = 24, 32, 64
 RATE, SEED = 0.01, 11
 # Documents whose id hashes to 0 modulo this train the weights (counts cover all training documents).
 TRAIN_SHARE = 8
@@ -244,8 +244,10 @@ class Gru:
         return self
 
     def step(self, x: np.ndarray, h: np.ndarray):
+        return self.advance(self.p["embed"][x], h)
+
+    def advance(self, a: np.ndarray, h: np.ndarray):
         n = self.hidden
-        a = self.p["embed"][x]
         u = h @ self.p["recur"]
         gates = _sigmoid(a[:, :2 * n] + u[:, :2 * n])
         z, r = gates[:, :n], gates[:, n:]
@@ -309,13 +311,16 @@ class Gru:
     def train_window(self, x: np.ndarray, k: np.ndarray, s: np.ndarray, active: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Truncated backpropagation through one window; returns the state to carry on.
 
-        ``x, k, s``: (steps, documents); step t concerns the first ``active[t]`` documents.
+        ``x, k, s``: (steps, streams); step t concerns the first ``active[t]`` streams.  Where
+        the input is the start of a document, the state begins anew.
         """
         n, grads = self.hidden, {k_: np.zeros_like(v) for k_, v in self.p.items()}
+        go_on = (x != self.lexis.start).astype(h.dtype)[:, :, None]
         saved, states = [], []
         for t, m in enumerate(active):
-            new, *gates = self.step(x[t, :m], h[:m])
-            saved.append((h[:m], *gates))
+            before = h[:m] * go_on[t, :m]
+            new, *gates = self.step(x[t, :m], before)
+            saved.append((before, *gates))
             h = np.concatenate([new, h[m:]]) if m < len(h) else new
             states.append(new)
         ks = np.concatenate([k[t, :m] for t, m in enumerate(active)])
@@ -333,12 +338,12 @@ class Gru:
             dr = dc * u * r * (1 - r)
             inner = np.concatenate([dz, dr, dc * r], axis=1)
             grads["recur"] += before.T @ inner
-            carry[:m] = d * z + inner @ self.p["recur"].T
+            carry[:m] = (d * z + inner @ self.p["recur"].T) * go_on[t, :m]
             pre.append((x[t, :m], np.concatenate([dz, dr, dc], axis=1)))
         ids = np.concatenate([a for a, _ in pre])
         flat = np.concatenate([b for _, b in pre])
         for j in range(3 * n):
-            grads["embed"][:, j] += np.bincount(ids, flat[:, j], self.lexis.inputs).astype(np.float32)
+            grads["embed"][:, j] += np.bincount(ids, flat[:, j], self.lexis.inputs)
         self.update(grads)
         return h
 
@@ -375,12 +380,27 @@ class Documents:
 
 
 def train(model: Gru, docs: Documents, chosen: np.ndarray) -> int:
-    """One pass over the chosen documents; returns their tokens."""
-    for batch in docs.batches(chosen, BATCH):
-        h = np.zeros((len(batch), model.hidden), np.float32)
-        for x, word, active in docs.windows(batch, WINDOW):
-            h = model.train_window(x, docs.k[word], docs.s[word], active, h[:x.shape[1]])
-    return int(docs.sizes[chosen].sum() + len(chosen))
+    """One pass over the chosen documents, one after the other in ``BATCH`` streams of equal
+    length (a document cut by that goes on with a new state); returns their tokens."""
+    sizes = docs.sizes[chosen]
+    ends = np.cumsum(sizes + 1) - 1
+    total = int(ends[-1]) + 1
+    inside = np.ones(total, dtype=bool)
+    inside[ends] = False
+    word = np.full(total, len(docs.k) - 1)
+    offset = np.repeat(docs.starts[chosen] - (np.cumsum(sizes) - sizes), sizes)
+    word[inside] = docs.stream[np.arange(len(offset)) + offset]
+    x = np.append(docs.lexis.start, docs.x[word[:-1]])
+    x[ends[:-1] + 1] = docs.lexis.start
+    long = -(-total // BATCH)
+    first = np.arange(0, total, long)
+    h = np.zeros((len(first), model.hidden), np.float32)
+    for t0 in range(0, long, WINDOW):
+        at = first + np.arange(t0, min(t0 + WINDOW, long))[:, None]
+        active = (at < np.minimum(first + long, total)).sum(axis=1)
+        at = np.minimum(at, total - 1)
+        h = model.train_window(x[at], docs.k[word[at]], docs.s[word[at]], active, h)
+    return total
 
 
 def score(model: Gru, docs: Documents, count_logs: np.ndarray) -> np.ndarray:
@@ -395,8 +415,9 @@ def score(model: Gru, docs: Documents, count_logs: np.ndarray) -> np.ndarray:
     for batch in docs.batches(np.arange(len(docs.sizes)), 2048):
         h = np.zeros((len(batch), model.hidden), np.float32)
         for x, word, active in docs.windows(batch, WINDOW):
+            inputs = model.p["embed"][x]
             for t, m in enumerate(active):
-                h = model.step(x[t, :m], h[:m])[0]
+                h = model.advance(inputs[t, :m], h[:m])[0]
                 waiting.append((h, word[t, :m], batch[:m]))
                 rows += m
             if rows >= OUTPUT_ROWS:
@@ -427,7 +448,7 @@ def fit(blocks: DataFrame, lexis: Lexis, rounds: int = ROUNDS) -> np.ndarray:
                     sizes = b.column("sizes")[i].values.to_numpy()
                     chosen = np.flatnonzero(b.column("trains")[i].values.to_numpy(zero_copy_only=False))
                     chosen = chosen[np.arange(len(chosen)) % rounds == number]
-                    if len(chosen):
+                    if len(chosen):  # else nothing to learn here
                         docs = Documents(shared.value, b.column("words")[i].values.to_pylist(),
                                          b.column("stream")[i].values.to_numpy().astype(np.int64), sizes.astype(np.int64))
                         tokens += train(model, docs, chosen)
