@@ -21,7 +21,9 @@ from ticketlake.llm.ftrl import Ftrl, sigmoid
 # The model is fitted on at most this many labelled rows, those whose hashed doc_id is smallest.
 TRAIN_ROWS = 8_000
 HASH_BITS = 18
-EPOCHS = 4
+# Passes over the sample: enough for this many updates, and at least LEAST_EPOCHS.
+UPDATES, LEAST_EPOCHS = 32_000, 4
+ALPHA = 0.5
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 5, 0
 
@@ -90,7 +92,7 @@ def training_rows(docs: DataFrame, marks: DataFrame, label_col: str, rows: int,
     return id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")  # at most ``rows`` rows
 
 
-def fit_quality(train: DataFrame, bits: int = HASH_BITS, epochs: int = EPOCHS) -> np.ndarray:
+def fit_quality(train: DataFrame, bits: int = HASH_BITS) -> np.ndarray:
     """The weights, fitted in one task over the bounded sample, whose vectors many tasks make."""
     def vectors(batches):
         make = Features(bits)
@@ -108,7 +110,8 @@ def fit_quality(train: DataFrame, bits: int = HASH_BITS, epochs: int = EPOCHS) -
             rows += [(i.astype(np.int64), x.astype(float)) for i, x in
                      zip(_arrays(b.column("ids")), _arrays(b.column("x")), strict=True)]
             y += b.column("y").to_pylist()
-        w = Ftrl(1 << bits).fit(rows, y, epochs).weights()
+        epochs = max(LEAST_EPOCHS, -(-UPDATES // max(1, len(rows))))
+        w = Ftrl(1 << bits, alpha=ALPHA).fit(rows, y, epochs).weights()
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"i": pa.array(used), "w": pa.array(w[used])})
 

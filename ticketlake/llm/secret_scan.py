@@ -37,7 +37,8 @@ SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api_?key|access_?
                        re.ASCII)
 SENSITIVE_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~-]{" + f"{LEAST_CHARS},{MOST_CHARS}}}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,39}").findall
+# Letters only: a key that many copies repeat must not become a known word.
+IDENTIFIER = re.compile(r"[A-Za-z_]{4,40}").findall
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -40,7 +40,6 @@ BUCKET_ROWS = 1 << 17
 HOT_DOCS = 20_000
 
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 # ---------------------------------------------------------------------------------
@@ -137,8 +136,10 @@ def _send(bits: int, length: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table)
         _, _, h, doc = block.runs(length)
-        pairs = np.unique(np.stack([_cell(h, bits), doc.astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        cells, n = np.unique(pairs[:, 0], return_counts=True)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[:len(h)]
+        cells, n = np.unique(_cell(h[once], bits), return_counts=True)
         bucket = (cells >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(cells) else np.zeros(0, np.int64)
         ends = np.append(cut[1:], len(cells))
@@ -235,22 +236,21 @@ PASSAGE_SCHEMA = ("block long, key long, content binary, digest binary, least lo
 
 
 def bounded_order(data: np.ndarray, length: int) -> np.ndarray:
-    """Places of ``data`` ordered by at least their next ``length`` bytes (zeros beyond the end)."""
+    """Places of ``data``, taken as a ring, ordered by at least their next ``length`` bytes."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    ring = np.resize(data, n + 8)
     key = np.zeros(n, np.uint64)
     for i in range(8):
-        key = key << np.uint64(8) | padded[i:i + n].astype(np.uint64)
+        key = key << np.uint64(8) | ring[i:i + n].astype(np.uint64)
     size = 8
     while True:
         order = np.argsort(key)
         new = np.append(False, key[order[1:]] != key[order[:-1]])
         if size >= length or new.sum() == n - 1:
             return order
-        rank = np.empty(n + size, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64) + np.uint64(1)
-        rank[n:] = 0
-        key = rank[:n] << np.uint64(32) | rank[size:]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new).astype(np.uint64)
+        key = rank << np.uint64(32) | np.roll(rank, -size)
         size *= 2
 
 
@@ -285,14 +285,12 @@ def repeated_strings(contents: list[bytes], least: np.ndarray, length: int) -> l
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     sizes = np.array([len(c) for c in contents])
     ends = np.cumsum(sizes)
-    # the ring is closed by zeros, so that no string goes on from the last content into the first
-    order, interval = expand_intervals(np.concatenate([data, np.zeros(length, np.uint8)]), length)
+    order, interval = expand_intervals(data, length)
     owner = np.searchsorted(ends, order, side="right")
-    whole = owner < len(contents)
-    whole[whole] = order[whole] + length <= ends[owner[whole]]
+    whole = order + length <= ends[owner]  # strings that go on into the next content are of no document
     place, owner, interval = order[whole], owner[whole], interval[whole]
     cut = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-    smallest = np.empty(len(data) + length, np.int64)
+    smallest = np.empty(len(data), np.int64)
     group = np.minimum.reduceat(least[owner], cut)
     smallest[place] = np.repeat(group, np.diff(np.append(cut, len(place))))
     out = []

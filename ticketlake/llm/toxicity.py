@@ -25,9 +25,10 @@ from ticketlake.llm.ftrl import Ftrl, sigmoid
 from ticketlake.llm.quality import _arrays, training_rows
 
 # The chain is fitted on at most this many labelled rows, those whose hashed doc_id is smallest.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 8_000
 HASH_BITS = 18
-EPOCHS = 2
+# Passes over the sample: enough for this many updates, and at least LEAST_EPOCHS.
+UPDATES, LEAST_EPOCHS = 12_000, 2
 CHAIN_FOLDS = 4
 CATEGORIES = ("profane", "toxic", "severe")
 THRESHOLD = 0.25
@@ -80,9 +81,10 @@ def derive(rows: list, toxic: np.ndarray, size: int) -> np.ndarray:
     return np.stack([hits > 0, toxic > 0, (toxic > 0) & (hits >= SEVERE_TERMS)], axis=1).astype(float)
 
 
-def fit_chain(rows: list, y: np.ndarray, size: int, folds: int = CHAIN_FOLDS, epochs: int = EPOCHS) -> Chain:
+def fit_chain(rows: list, y: np.ndarray, size: int, folds: int = CHAIN_FOLDS) -> Chain:
     """``rows``: (ids, values) by document; ``y``: labels by document and category."""
     k = y.shape[1]
+    epochs = max(LEAST_EPOCHS, -(-UPDATES // max(1, len(rows))))
     weights, links, bias = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
     before = np.zeros((len(rows), 0))  # out-of-fold probabilities of the categories so far
     part = np.random.default_rng(7).permutation(len(rows)) % folds
