@@ -20,6 +20,7 @@ Steps, each an exchange of blocks of documents with buckets of hashes:
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from ticketlake.llm.common import documents, id_text, slices, stage
 LENGTH = 50
 GRAM = 20
 # Bytes of text in a block of documents, and in one transform.
-BLOCK_BYTES = 2 << 20
-TRANSFORM_BYTES = 3 << 19
+BLOCK_BYTES = 1 << 20
+TRANSFORM_BYTES = 1 << 20
+# String starts that are hashed at a time.
+HASH_BYTES = 1 << 18
 # Minimizers in a bucket, roughly.
 BUCKET_ROWS = 1 << 17
 # A minimizer in more documents than this sends its strings one by one, each to a bucket of its own hash.
@@ -46,24 +49,24 @@ _ODD = 0x9E3779B97F4A7C15
 # Minimizers
 # ---------------------------------------------------------------------------------
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 class Minimizers:
     """Runs of string starts that share their minimizer."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM, step: int = BLOCK_BYTES):
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, step: int = HASH_BYTES):
         self.length, self.gram, self.wide, self.step = length, min(gram, length), length - min(gram, length) + 1, step
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = np.uint64(pow(_ODD, -1, 1 << 64))
-            self.up = np.multiply.accumulate(np.concatenate([[1], np.full(n, _ODD)]).astype(np.uint64))
-            self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, inverse)]).astype(np.uint64))
-        return self.up[:n], self.down[:n]
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
         """Hash of the k-gram at each place."""
         n, k = len(data), self.gram
-        up, down = self._powers(n)
+        up, down = _powers(n)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
