@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from ticketlake.llm.common import documents, id_text, slices, stage
 
 LENGTH = 50
 GRAM = 20
-# Bytes of text in a block of documents, and in one transform.
-BLOCK_BYTES = 1 << 20
+# Bytes of text and documents in a block, and bytes in one transform.
+BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 5000
 TRANSFORM_BYTES = 1 << 20
 # String starts that are hashed at a time.
 HASH_BYTES = 1 << 18
@@ -106,15 +107,14 @@ class Minimizers:
 class Block:
     """The texts of some documents as one array of bytes."""
 
-    def __init__(self, table: pa.Table):
-        texts = [t.encode() for t in table.column("text").to_pylist()]
-        self.rows = table.column("rid").to_numpy()
-        ids = table.column("doc_id")
-        self.known = ids.is_valid().to_numpy()
-        self.docs = ids.fill_null(0).to_numpy()
-        self.texts = texts
-        self.ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    def __init__(self, packed: bytes):
+        table = pa.ipc.open_stream(packed).read_all()
+        self.ids = table.column("doc_id")
+        self.texts = table.column("text").to_pylist()
+        self.known = self.ids.is_valid().to_numpy()
+        self.docs = self.ids.fill_null(0).to_numpy()
+        self.ends = np.cumsum([len(t) for t in self.texts])
+        self.data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
 
     def runs(self, length: int):
         """Runs in documents that have an id."""
@@ -125,6 +125,34 @@ class Block:
         return first, last, h, doc
 
 
+def pack_blocks(texts: DataFrame) -> DataFrame:
+    """``(block, docs)``: some consecutive documents as one compressed Arrow stream.  What later
+    steps exchange is a few large values instead of many texts."""
+    def run(batches):
+        held, size, made = [], 0, 0
+
+        def block():
+            table = pa.table({"doc_id": pa.array([r[0] for r in held], pa.int64()),
+                              "text": pa.array([r[1] for r in held], pa.large_binary())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            number = TaskContext.get().partitionId() << 32 | made
+            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()),
+                                               "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        for b in batches:
+            for part in slices(b):
+                for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held.append(row)
+                    size += len(row[1])
+                    if size >= BLOCK_BYTES or len(held) >= BLOCK_DOCS:
+                        yield block()
+                        held, size, made = [], 0, made + 1
+        if held:
+            yield block()
+    return texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "block long, docs binary")
+
+
 def _cell(h: np.ndarray, bits: int) -> np.ndarray:
     """What is sent of a hash: the bucket and 32 bits more.  Equal cells of different hashes cost work, not results."""
     return h >> np.uint64(32 - bits)
@@ -136,9 +164,8 @@ def _cell(h: np.ndarray, bits: int) -> np.ndarray:
 
 def _send(bits: int, length: int):
     """Step 1: a block's minimizers by bucket, apart: in one of its documents, in several (with log counts)."""
-    def run(table: pa.Table) -> pa.Table:
-        block = Block(table)
-        _, _, h, doc = block.runs(length)
+    def one_block(number: int, packed: bytes) -> pa.RecordBatch:
+        _, _, h, doc = Block(packed).runs(length)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[:len(h)]
@@ -149,12 +176,16 @@ def _send(bits: int, length: int):
         rest, many = (cells & np.uint64(0xFFFFFFFF)).astype("<u4"), n > 1
         logs = np.ceil(np.log2(n)).astype(np.uint8)
         spans = list(zip(cut, ends, strict=False))
-        return pa.table({
-            "bucket": pa.array(bucket[cut], pa.int64()),
-            "block": pa.array([table.column("block")[0].as_py()] * len(cut), pa.int64()),
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(bucket[cut], pa.int64()), "block": pa.array([number] * len(cut), pa.int64()),
             "one": pa.array([rest[a:b][~many[a:b]].tobytes() for a, b in spans], pa.binary()),
             "many": pa.array([rest[a:b][many[a:b]].tobytes() for a, b in spans], pa.binary()),
             "logs": pa.array([logs[a:b][many[a:b]].tobytes() for a, b in spans], pa.binary())})
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield one_block(b.column(0)[i].as_py(), b.column(1)[i].as_py())
     return run
 
 
@@ -194,7 +225,7 @@ def _passages(bits: int, length: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         found: dict[bytes, list] = {}
         if docs.num_rows and replies.num_rows:
-            block = Block(docs)
+            block = Block(docs.column("docs")[0].as_py())
             first, last, h, doc = block.runs(length)
             cells = _cell(h, bits)
             shared = np.flatnonzero(_among(cells, _cells(replies, "shared")))
@@ -213,7 +244,7 @@ def _passages(bits: int, length: int):
                         row = found[content] = [key, [], []]
                     row[1].append(d)
                     row[2].append(s)
-        out: dict[str, list] = {c: [] for c in ("key", "content", "digest", "least", "most", "rids", "ids", "starts")}
+        out: dict[str, list] = {c: [] for c in ("key", "content", "digest", "least", "most", "rows", "starts")}
         for content, (key, d, s) in found.items():
             ids = block.docs[d]
             out["key"].append(key)
@@ -221,21 +252,21 @@ def _passages(bits: int, length: int):
             out["digest"].append(xxhash.xxh3_128_digest(content))
             out["least"].append(int(ids.min()))
             out["most"].append(int(ids.max()))
-            out["rids"].append(block.rows[d])
-            out["ids"].append(ids)
+            out["rows"].append(d)
             out["starts"].append(np.asarray(s) - begins[d])
         n = len(out["key"])
         number = docs.column("block")[0].as_py() if docs.num_rows else 0
         return pa.table({"block": pa.array([number] * n, pa.int64()),
                          **{c: pa.array(out[c], pa.int64()) for c in ("key", "least", "most")},
                          **{c: pa.array(out[c], pa.binary()) for c in ("content", "digest")},
-                         **{c: pa.array(out[c], pa.list_(pa.int64())) for c in ("rids", "ids", "starts")}}).select(
-                             ["block", "key", "content", "digest", "least", "most", "rids", "ids", "starts"])
+                         "rows": pa.array(out["rows"], pa.list_(pa.int32())),
+                         "starts": pa.array(out["starts"], pa.list_(pa.int64()))}).select(
+                             ["block", "key", "content", "digest", "least", "most", "rows", "starts"])
     return run
 
 
 PASSAGE_SCHEMA = ("block long, key long, content binary, digest binary, least long, most long, "
-                  "rids array<long>, ids array<long>, starts array<long>")
+                  "rows array<int>, starts array<long>")
 
 
 def bounded_order(data: np.ndarray, length: int) -> np.ndarray:
@@ -328,49 +359,49 @@ def _repeats(length: int):
 
 
 def _spans(length: int):
-    """Occurrences of passages with their strings' smallest doc_ids: the byte spans to remove, by row."""
+    """Occurrences of repeated strings: byte spans by row of a block, and the strings' smallest doc_id."""
     def run(batches):
         for b in batches:
             for part in slices(b, 2000):
-                block, rid, start, end = [], [], [], []
-                for number, rids, ids, starts, runs in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    for r, d, s in zip(rids, ids, starts, strict=True):
-                        for i in range(0, len(runs), 3):
-                            if runs[i + 2] < d:
+                block, row, start, end, least = [], [], [], [], []
+                for number, most, rows, starts, runs in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                    for i in range(0, len(runs), 3):
+                        if runs[i + 2] < most:  # else no document of this row has a larger id
+                            for r, s in zip(rows, starts, strict=True):
                                 block.append(number)
-                                rid.append(r)
+                                row.append(r)
                                 start.append(s + runs[i])
                                 end.append(s + runs[i + 1] + length)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "rid": pa.array(rid, pa.int64()),
-                                                  "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
+                                least.append(runs[i + 2])
+                yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()),
+                                                  "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()),
+                                                  "least": pa.array(least, pa.int64())})
     return run
 
 
 def _remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
-    """Step 4: what is left of each text of a block."""
-    order = np.argsort(spans.column("rid").to_numpy(), kind="stable")
-    rid, start, end = (spans.column(c).to_numpy()[order] for c in ("rid", "start", "end"))
+    """Step 4: what is left of each text of a block: spans whose string starts in a smaller doc_id go."""
     out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    for r, doc, text in zip(docs.column("rid").to_pylist(), docs.column("doc_id").to_pylist(),
-                            docs.column("text").to_pylist(), strict=True):
-        raw = text.encode()
-        a, b = np.searchsorted(rid, r), np.searchsorted(rid, r, side="right")
-        removed = spans_found = 0
-        kept = raw
-        if a < b:
-            change = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(change, start[a:b], 1)
-            np.add.at(change, end[a:b], -1)
-            gone = np.cumsum(change[:-1]) > 0
-            removed = int(gone.sum())
-            spans_found = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        out["doc_id"].append(doc)
-        out["n_bytes"].append(len(raw))
-        out["n_removed"].append(removed)
-        out["n_spans"].append(spans_found)
-        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        out["kept"].append(kept)
+    if docs.num_rows:
+        block = Block(docs.column("docs")[0].as_py())
+        row = spans.column("row").to_numpy()
+        use = np.flatnonzero(block.known[row] & (spans.column("least").to_numpy() < block.docs[row]))
+        order = use[np.argsort(row[use], kind="stable")]
+        row, start, end = row[order], spans.column("start").to_numpy()[order], spans.column("end").to_numpy()[order]
+        for r, (doc, raw) in enumerate(zip(block.ids.to_pylist(), block.texts, strict=True)):
+            a, b = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
+            removed = runs = 0
+            kept = raw
+            if a < b:
+                change = np.zeros(len(raw) + 1, np.int32)
+                np.add.at(change, start[a:b], 1)
+                np.add.at(change, end[a:b], -1)
+                gone = np.cumsum(change[:-1]) > 0
+                removed = int(gone.sum())
+                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            for c, x in zip(out, (doc, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                out[c].append(x)
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
              "kept_sha256": pa.string(), "kept": pa.binary()}
     return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
@@ -392,24 +423,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = id_text(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total) // BLOCK_BYTES + 1
     bits = min(30, max(1, (int(total) // ((length - min(GRAM, length) + 2) // 2) // BUCKET_ROWS).bit_length()))
-    # rows are numbered by their place in the scan: copies and null ids are spread like all others
-    rows = (texts.withColumn("rid", F.monotonically_increasing_id())
-            .withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).repartition("block"))
+    blocks = stage(pack_blocks(texts))
 
-    sent = rows.groupBy("block").applyInArrow(_send(bits, length), "bucket long, block long, one binary, many binary, logs binary")
+    sent = blocks.mapInArrow(_send(bits, length), "bucket long, block long, one binary, many binary, logs binary")
     replies = sent.groupBy("bucket").applyInArrow(_answer(hot_docs), "block long, bucket long, shared binary, hot binary")
     replies = replies.where(F.length("shared") > 0)
-    passages = stage(rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_passages(bits, length), PASSAGE_SCHEMA))
+    passages = stage(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_passages(bits, length), PASSAGE_SCHEMA))
 
     distinct = passages.groupBy("key", "content").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     bucketed = distinct.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
     repeats = bucketed.groupBy("bucket").applyInArrow(_repeats(length), "digest binary, runs array<long>")
-    spans = (passages.select("digest", "block", "rids", "ids", "starts").join(repeats, "digest")
-             .select("block", "rids", "ids", "starts", "runs")
-             .mapInArrow(_spans(length), "block long, rid long, start long, end long"))
-    out = rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
+    spans = (passages.select("digest", "block", "most", "rows", "starts").join(repeats, "digest")
+             .select("block", "most", "rows", "starts", "runs")
+             .mapInArrow(_spans(length), "block long, row int, start long, end long, least long"))
+    out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")
 
