@@ -41,7 +41,11 @@ PII_PATTERN = dict(PII_PATTERNS)
 
 # Unicode-aware word characters; bare \w is ASCII-only in Java and RE2.
 WORD = r"[\p{L}\p{N}_]"
-NON_WORD_NON_SPACE = r"[^\p{L}\p{N}_\s]"
+# Fixed value: what Python takes for white space in str.strip, str.split and \s; Java's and RE2's \s is
+# ASCII only.  Both engines read this class alike.
+SPACE_CHARS = (r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+SPACE = f"[{SPACE_CHARS}]"
+NON_WORD_NON_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACE_CHARS}]"
 
 
 def _java_replacement(s: str) -> str:
@@ -74,50 +78,62 @@ def regex_hit_counts(col: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------------
-# HTML unescape (P12), JVM-side: the text is cut at '&', each piece is decoded
-# from its leading entity reference (named, decimal or hex) and joined back.
-# The named-entity table is generated from the HTML5 table that ships with
-# Python's standard library (entities terminated by ';').
+# HTML unescape (P12), JVM-side, by the rules of HTML5 as Python's ``html.unescape``
+# applies them: the text is cut at '&' and each piece is decoded from its leading
+# reference.  All tables come from Python's own HTML5 tables.
 # ---------------------------------------------------------------------------------
 
-def _named_entity_map() -> Column:
-    items = sorted((k[:-1], v) for k, v in html.entities.html5.items() if k.endswith(";"))
-    keys = F.array(*[F.lit(k) for k, _ in items])
-    vals = F.array(*[F.lit(v) for _, v in items])
-    return F.map_from_arrays(keys, vals)
+def _named_by_letter() -> Column:
+    """first character -> (reference with its ';', if any -> text): two short searches instead of a long one."""
+    letters: dict[str, list] = {}
+    for name, text in sorted(html.entities.html5.items()):
+        letters.setdefault(name[0], []).append((name, text))
+    inner = [F.map_from_arrays(F.array(*[F.lit(n) for n, _ in v]), F.array(*[F.lit(t) for _, t in v])) for v in letters.values()]
+    return F.map_from_arrays(F.array(*[F.lit(c) for c in letters]), F.array(*inner))
 
 
-_INVALID_CODEPOINT = "�"
+# References that also count without ';', the longest first, so that the longest prefix matches.
+_OPEN_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_TOO_LARGE = 0x110000
 
 
 def _codepoint_to_str(cp: Column) -> Column:
-    """UTF-16 encode a code point, then decode; 0 / surrogates / > 0x10FFFF -> U+FFFD."""
+    """Text of a numeric reference: remapped below U+00A0 (Windows-1252, dropped controls), U+FFFD for
+    surrogates and beyond Unicode, nothing for non-characters."""
+    low = F.array(*[F.lit(html.unescape(f"&#{i};")) for i in range(0xA0)])
     bmp = F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE")
     v = cp - 0x10000
     hi = F.lit(0xD800) + F.shiftright(v, 10)
     lo = F.lit(0xDC00) + (v % 1024)
     astral = F.decode(F.unhex(F.concat(F.hex(hi), F.hex(lo))), "UTF-16BE")
-    bad = cp.isNull() | (cp == 0) | ((cp >= 0xD800) & (cp <= 0xDFFF)) | (cp > 0x10FFFF)
-    return (F.when(bad, F.lit(_INVALID_CODEPOINT))
+    bad = ((cp >= 0xD800) & (cp <= 0xDFFF)) | (cp >= _TOO_LARGE)
+    none = ((cp >= 0xFDD0) & (cp <= 0xFDEF)) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (F.when(cp < 0xA0, F.element_at(low, (cp + 1).cast("int"))).when(bad, F.lit("\ufffd")).when(none, F.lit(""))
             .when(cp < 0x10000, bmp).otherwise(astral))
 
 
 def html_unescape(col: Column) -> Column:
-    names = _named_entity_map()
+    names = _named_by_letter()
+
+    def number(digits: Column, longest: int, value: Column) -> Column:
+        """Digits without leading zeros; more than ``longest`` of them are beyond Unicode anyway."""
+        return (F.when(F.length(digits) > longest, F.lit(_TOO_LARGE).cast("long")).when(digits == "", F.lit(0).cast("long"))
+                .otherwise(value))
 
     def decode_piece(p: Column) -> Column:
-        dec = F.regexp_extract(p, r"^#([0-9]{1,8});", 1)
-        hexd = F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,8});", 1)
-        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]{0,31});", 1)
-        named_val = F.element_at(names, name)
-        return (F.when(dec != "", F.concat(
-                    _codepoint_to_str(dec.cast("long")),
-                    F.substring(p, F.length(dec) + 3, 1 << 30)))
-                .when(hexd != "", F.concat(
-                    _codepoint_to_str(F.conv(hexd, 16, 10).cast("long")),
-                    F.substring(p, F.length(hexd) + 4, 1 << 30)))
-                .when((name != "") & named_val.isNotNull(), F.concat(
-                    named_val, F.substring(p, F.length(name) + 2, 1 << 30)))
+        dec, hexd = F.regexp_extract(p, r"^#[0-9]+;?", 0), F.regexp_extract(p, r"^#[xX][0-9a-fA-F]+;?", 0)
+        dec_digits, hex_digits = F.regexp_extract(p, r"^#0*([0-9]*)", 1), F.regexp_extract(p, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+        name = F.regexp_extract(p, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        named = F.element_at(F.element_at(names, F.substring(name, 1, 1)), name)
+        prefix = F.regexp_extract(p, f"^(?:{_OPEN_NAMES})", 0)
+        open_named = F.element_at(F.element_at(names, F.substring(prefix, 1, 1)), prefix)
+
+        def rest(found: Column) -> Column:
+            return F.substring(p, F.length(found) + 1, 1 << 30)
+        return (F.when(dec != "", F.concat(_codepoint_to_str(number(dec_digits, 7, dec_digits.try_cast("long"))), rest(dec)))
+                .when(hexd != "", F.concat(_codepoint_to_str(number(hex_digits, 6, F.conv(hex_digits, 16, 10).try_cast("long"))), rest(hexd)))
+                .when((name != "") & named.isNotNull(), F.concat(named, rest(name)))
+                .when((name != "") & (prefix != ""), F.concat(open_named, rest(prefix)))
                 .otherwise(F.concat(F.lit("&"), p)))
 
     pieces = F.split(col, "&", -1)
@@ -133,7 +149,7 @@ def html_unescape(col: Column) -> Column:
 
 def strip_unicode(col: Column) -> Column:
     """Python ``str.strip()``: drop leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def normalize_text(col: Column) -> Column:
@@ -143,7 +159,7 @@ def normalize_text(col: Column) -> Column:
 
 def lemmatize(col: Column, lemma_map: Column | None = None) -> Column:
     """Whitespace tokens, each mapped through a lemma dictionary, joined by one space."""
-    toks = F.filter(F.split(strip_unicode(col), r"\s+"), lambda w: w != "")
+    toks = F.filter(F.split(strip_unicode(col), SPACE + "+"), lambda w: w != "")
     if lemma_map is not None:
         toks = F.transform(toks, lambda w: F.coalesce(F.element_at(lemma_map, w), w))
     return F.array_join(toks, " ")
@@ -153,7 +169,7 @@ def normalize_ticket_text(col: Column) -> Column:
     """Lower, strip, drop ``{placeholder}`` spans, collapse whitespace, strip."""
     t = strip_unicode(F.lower(col))
     t = F.regexp_replace(t, r"\{[^{}]+\}", " ")
-    t = F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(t, SPACE + "+", " ")
     return strip_unicode(t)
 
 
@@ -170,11 +186,12 @@ def tokenize(col: Column) -> Column:
 def age_bucket(col: Column, size: int = 5) -> Column:
     """Numeric ages -> ``"lo-hi"`` (truncate, then floor to the bucket);
     non-numeric values are kept as they are, null stays null."""
-    num = col.try_cast("double")
-    age = num.cast("long")  # truncation toward zero, like int(float(x))
+    # the form of a number first: Java also reads "25d" and "25f"
+    number = F.when(col.rlike(rf"^{SPACE}*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?{SPACE}*\z"), strip_unicode(col))
+    age = number.try_cast("double").try_cast("long")  # truncation toward zero, like int(float(x))
     lo = F.floor(age / F.lit(size)) * size
     return (F.when(col.isNull(), col)
-            .when(num.isNull() | F.isnan(num), col)
+            .when(age.isNull(), col)
             .otherwise(F.concat(lo.cast("string"), F.lit("-"), (lo + size).cast("string"))))
 
 
@@ -184,4 +201,4 @@ def count_char(col: Column, ch: str) -> Column:
 
 def words(col: Column) -> Column:
     """Python ``str.split()``: whitespace-separated, empty pieces dropped."""
-    return F.filter(F.split(col, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(col, SPACE + "+"), lambda w: w != "")

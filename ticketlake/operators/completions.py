@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.functions.text import strip_unicode
+from ticketlake.functions.text import SPACE, strip_unicode
 from ticketlake.sources.logical import CATEGORIES, PRIORITIES, ROUTING_ACTIONS
 
 # ---------------------------------------------------------------------------------
@@ -65,12 +65,14 @@ def _quoted_list(values: list[str]) -> str:
     return ", ".join(f'"{v}"' for v in values)
 
 
-def class_prompt(ticket_text: Column, kb_text: Column) -> Column:
-    """L1: classification prompt: ticket, KB cut to 3,000 chars, label lists inlined."""
+def class_prompt(ticket_text: Column, kb_text: Column, kb_chars: int | None = None) -> Column:
+    """L1: classification prompt: ticket, knowledge base (its first ``kb_chars`` characters, if given),
+    label lists inlined."""
+    kb_text = kb_text if kb_chars is None else F.substring(kb_text, 1, kb_chars)
     return F.concat(
         F.lit(CLASS_PROMPT_HEAD),
         F.lit("Ticket:\n"), strip_unicode(ticket_text), F.lit("\n\n"),
-        F.lit("Reference knowledge base (excerpt):\n"), F.substring(kb_text, 1, MAX_KB_CHARS), F.lit("\n\n"),
+        F.lit("Reference knowledge base (excerpt):\n"), kb_text, F.lit("\n\n"),
         F.lit(f"Valid categories (pick exactly one): [{_quoted_list(CATEGORIES)}]\n"),
         F.lit(f"Valid priorities (pick exactly one): [{_quoted_list(PRIORITIES)}]\n\n"),
         F.lit(CLASS_PROMPT_TAIL))
@@ -130,8 +132,16 @@ def clean_response(raw: Column, truncated_as_empty: bool) -> tuple[Column, Colum
 
 # ---- L5 / L6: classification JSON --------------------------------------------------
 
-CLASS_SCHEMA = ("predicted_category string, predicted_priority string, confidence_score double, "
+CLASS_SCHEMA = ("predicted_category string, predicted_priority string, confidence_score string, "
                 "tier_used string, abstain_flag boolean, routing_action string")
+CLASS_FIELDS = ("predicted_category: string, predicted_priority: string, confidence_score: string, "
+                "tier_used: string, abstain_flag: boolean, routing_action: string")
+
+
+def whole_json(text: Column, schema: str) -> Column:
+    """The one JSON object that ``text`` consists of; null if anything stands beside it."""
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>")
+    return F.when(F.size(parsed) == 1, F.element_at(parsed, 1))
 
 
 def normalize_route(action: Column, abstain: Column, conf: Column) -> Column:
@@ -168,19 +178,22 @@ def parse_prediction(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """
     cols = [c for c in df.columns if c != raw_col]
     df = staged_clean(df, raw_col, truncated_as_empty=True)
-    df = df.withColumn("_p", F.from_json("_text", CLASS_SCHEMA))
+    df = df.withColumn("_p", whole_json(F.col("_text"), CLASS_FIELDS))
     text, p = F.col("_text"), F.col("_p")
-    route = normalize_route(p["routing_action"], p["abstain_flag"], p["confidence_score"])
+    # a number or a number in quotes; any other text makes the response invalid
+    conf = strip_unicode(p["confidence_score"]).try_cast("double")
+    route = normalize_route(p["routing_action"], p["abstain_flag"], conf)
     df = df.withColumn("_route", route)
     route = F.col("_route")
     valid = ((text != "") & p.isNotNull() & p["predicted_category"].isNotNull()
-             & p["predicted_priority"].isNotNull() & route.isin(ROUTING_ACTIONS))
+             & p["predicted_priority"].isNotNull() & route.isin(ROUTING_ACTIONS)
+             & (p["confidence_score"].isNull() | conf.isNotNull()))
     return df.select(
         *cols,
         F.coalesce(valid, F.lit(False)).alias("valid"),
         F.when(valid, p["predicted_category"]).alias("predicted_category"),
         F.when(valid, p["predicted_priority"]).alias("predicted_priority"),
-        F.when(valid, p["confidence_score"]).alias("confidence_score"),
+        F.when(valid, conf).alias("confidence_score"),
         F.when(valid, p["abstain_flag"]).alias("abstain_flag"),
         F.when(valid, route).alias("routing_action"))
 
@@ -188,13 +201,14 @@ def parse_prediction(df: DataFrame, raw_col: str = "raw") -> DataFrame:
 # ---- L7 / L8: answer JSON and retry selection ---------------------------------------
 
 ANSWER_SCHEMA = "draft_response string, citations array<int>"
+ANSWER_FIELDS = "draft_response: string, citations: array<int>"
 
 
 def parse_answer(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Citations within {0,1,2}; text and citations both empty or both present."""
     cols = [c for c in df.columns if c != raw_col]
     df = staged_clean(df, raw_col, truncated_as_empty=False)
-    df = df.withColumn("_p", F.from_json("_text", ANSWER_SCHEMA))
+    df = df.withColumn("_p", whole_json(F.col("_text"), ANSWER_FIELDS))
     df = df.withColumn("_draft", strip_unicode(F.col("_p.draft_response")))
     truncated, p = F.col("_trunc"), F.col("_p")
     draft = F.col("_draft")
@@ -243,7 +257,7 @@ def expand_queries(original: Column, hypotheticals: Column, max_queries: int = 3
 
 def parse_verdict(text: Column) -> Column:
     """First word, surrounding punctuation stripped, equals ``relevant``."""
-    first = F.element_at(F.split(strip_unicode(F.lower(F.coalesce(text, F.lit("")))), r"\s+"), 1)
+    first = F.element_at(F.split(strip_unicode(F.lower(F.coalesce(text, F.lit("")))), SPACE + "+"), 1)
     word = F.regexp_replace(first, r"""^[.,!?:;"'()\[\]{}]+|[.,!?:;"'()\[\]{}]+$""", "")
     return F.coalesce(word == "relevant", F.lit(False))
 

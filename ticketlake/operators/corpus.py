@@ -32,7 +32,8 @@ CASUAL_SUBS = [
 def dedupe_within_category(df: DataFrame, category_col: str, text_col: str, id_col: str) -> DataFrame:
     """One row per (category, text), the first id kept; a partial aggregate, so
     a text copied a million times is combined map-side, never ranked in one task."""
-    return df.groupBy(category_col, text_col).agg(F.min(id_col).alias(id_col), F.count("*").alias("n_copies")).select(
+    key = F.sha2(F.col(text_col), 256).alias("_text")  # 256 bits stand for the text in the shuffle
+    return df.groupBy(category_col, key).agg(F.min(id_col).alias(id_col), F.count("*").alias("n_copies")).select(
         category_col, id_col, "n_copies")
 
 

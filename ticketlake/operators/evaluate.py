@@ -44,9 +44,12 @@ def per_query_metrics(rel: DataFrame, k: int = 3) -> DataFrame:
         F.when(F.col("n_rel") > 0, F.col("dcg") / idcg).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
-def retrieval_metrics(rel: DataFrame, k: int = 3) -> DataFrame:
-    """E1 + E2: one row ``(mrr_at_3, ndcg_at_3)``; zeros for an empty run."""
+def retrieval_metrics(rel: DataFrame, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """E1 + E2: one row ``(mrr_at_3, ndcg_at_3)``; zeros for an empty run.  Given all ``queries
+    (query_id)``, those without any hit count as 0."""
     pq = per_query_metrics(rel, k)
+    if queries is not None:
+        pq = queries.select("query_id").join(pq, "query_id", "left").fillna(0.0, ["rr", "ndcg"])
     return pq.agg(F.round(F.coalesce(F.avg("rr"), F.lit(0.0)), ROUND).alias("mrr_at_3"),
                   F.round(F.coalesce(F.avg("ndcg"), F.lit(0.0)), ROUND).alias("ndcg_at_3"))
 
@@ -232,7 +235,7 @@ def label_distribution(df: DataFrame, label_col: str, split_col: str | None = No
     g = df.groupBy(*keys, label_col).agg(F.count("*").alias("n"))
     tot = df.groupBy(*keys).agg(F.count("*").alias("total")) if keys else df.agg(F.count("*").alias("total"))
     from ticketlake.operators.retrieval import attach_scalars
-    j = g.join(F.broadcast(tot), keys) if keys else attach_scalars(g, tot)
+    j = g.join(tot, keys) if keys else attach_scalars(g, tot)
     share = F.expr("div(n * 2000 + total, 2 * total)") / F.lit(1000.0)
     return j.select(*keys, label_col, F.col("n").cast("long").alias("n"), share.alias("share"))
 
@@ -240,7 +243,7 @@ def label_distribution(df: DataFrame, label_col: str, split_col: str | None = No
 def corpus_quality(df: DataFrame, text_col: str, approx: bool = False) -> DataFrame:
     """Rows, unique texts, duplicate %, mean words, texts under 10 words."""
     nw = F.size(words(F.col(text_col)))
-    uniq = F.approx_count_distinct(text_col) if approx else F.count_distinct(text_col)
+    uniq = F.approx_count_distinct(text_col) if approx else F.count_distinct(F.sha2(text_col, 256))
     return df.agg(F.count("*").cast("long").alias("n"), uniq.cast("long").alias("n_unique"),
                   F.round(F.avg(nw), ROUND).alias("avg_words"),
                   F.count_if(nw < 10).cast("long").alias("n_short")).select(

@@ -13,41 +13,48 @@ from ticketlake.functions.text import tokenize
 
 # ---- hashing and ranks -----------------------------------------------------------------
 
-MIX_MUL = 2654435761
-MIX_MOD = 4294967291
+MIX_MUL = 1103515245
+MIX_MOD = 2147483647
+BUCKET_ROWS = 100_000
 
 
 def mix(id_col: Column, seed: int) -> Column:
     """Portable pseudo-random order key of an integer id (same value in any SQL engine)."""
-    return (id_col * MIX_MUL + seed * 97) % MIX_MOD
+    return F.pmod(F.pmod(id_col.cast("long"), F.lit(MIX_MOD)) * MIX_MUL + seed * 97, F.lit(MIX_MOD))
 
 
-def bucketed_rank(df: DataFrame, part: str, order_key: str, id_col: str, buckets: int = 64) -> DataFrame:
-    """0-based rank within ``part`` by ``(order_key % buckets, order_key, id)``.
+def sql_mix(expr: str, seed: int) -> str:
+    """``mix`` as SQL."""
+    return f"(((({expr}) % {MIX_MOD} + {MIX_MOD}) % {MIX_MOD}) * {MIX_MUL} + {seed * 97}) % {MIX_MOD}"
+
+
+def bucketed_rank(df: DataFrame, part: str, order_key: str, id_col: str, buckets: int | None = None) -> DataFrame:
+    """0-based rank within ``part`` by ``(order_key, id)``; ``order_key`` as ``mix`` gives it.
 
     A label can hold a third of all rows, so a window over the label alone would
     put that third into one task.  Rows are first spread over ``buckets``
-    sub-groups; a small window over the per-bucket counts gives each bucket's
-    offset, and the row rank is computed inside ``(label, bucket)`` only.
+    ranges of the key, as many as the rows ask for; a small window over the per-bucket counts
+    gives each bucket's offset, and the row rank is computed inside ``(label, bucket)`` only.
     """
-    b = df.withColumn("_b", F.col(order_key) % buckets)
+    buckets = buckets or max(64, df.count() // BUCKET_ROWS)
+    b = df.withColumn("_b", F.floor(F.col(order_key) / (MIX_MOD // buckets + 1)))
     counts = b.groupBy(part, "_b").agg(F.count("*").alias("_n"))
     wo = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     wl = Window.partitionBy(part, "_b").orderBy(order_key, id_col)
     local = b.withColumn("_r", F.row_number().over(wl) - 1)
-    return (local.join(F.broadcast(offsets), [part, "_b"])
+    return (local.join(offsets, [part, "_b"])
             .withColumn("rank", (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_off", "_r"))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, seed: int = 42,
-                     fractions: tuple[float, float] = (0.6, 0.2), buckets: int = 64) -> DataFrame:
+                     fractions: tuple[float, float] = (0.6, 0.2), buckets: int | None = None) -> DataFrame:
     """F8: exact per-label shares: the first ``floor(n*0.6)`` rows of each label (in
     seeded hash order) train, the next up to ``floor(n*0.8)`` validate, the rest test."""
     h = df.withColumn("_h", mix(F.col(id_col), seed))
     r = bucketed_rank(h, label_col, "_h", id_col, buckets)
     n = df.groupBy(label_col).agg(F.count("*").alias("_n"))
-    j = r.join(F.broadcast(n), label_col)
+    j = r.join(n, label_col)
     c1 = F.floor(F.col("_n") * fractions[0])
     c2 = F.floor(F.col("_n") * (fractions[0] + fractions[1]))
     split = F.when(F.col("rank") < c1, "train").when(F.col("rank") < c2, "val").otherwise("test")
@@ -55,7 +62,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, seed: int = 42,
 
 
 def stratified_kfold(df: DataFrame, label_col: str, id_col: str, k: int = 5, seed: int = 42,
-                     buckets: int = 64) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """fold = rank within the label (seeded order) modulo k."""
     h = df.withColumn("_h", mix(F.col(id_col), seed))
     r = bucketed_rank(h, label_col, "_h", id_col, buckets)
@@ -68,7 +75,7 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count("*").alias("_k"))
     from ticketlake.operators.retrieval import attach_scalars
     w = attach_scalars(counts, tot).select(label_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    return df.join(F.broadcast(w), label_col)
+    return df.join(w, label_col)
 
 
 # ---- TF-IDF ---------------------------------------------------------------------------------
@@ -116,7 +123,7 @@ def tfidf(df: DataFrame, id_col: str, terms: Column, sublinear: bool = False, mi
         stats = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
     idf = stats.select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     tfw = (F.lit(1.0) + F.log("tf")) if sublinear else F.col("tf")
-    raw = tf.join(F.broadcast(idf) if max_features is not None else idf, "term").select(
+    raw = tf.join(idf, "term").select(
         "id", "term", (tfw * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     out = raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -19,10 +19,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlake.functions.text import tokenize
 from ticketlake.operators.completions import ABSTAIN_RESPONSE_TEXT
+from ticketlake.session import cut_lineage
 
 ROUND = 9
 # BM25 (Okapi) parameters, RRF constant, pipeline sizes, gate threshold.
@@ -37,12 +37,10 @@ GATE_THRESHOLD = 0.35
 
 
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame (corpus totals) to every row.
-
-    The one-row side is broadcast; its size is fixed by construction.
-    """
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row frame (corpus totals) to every row, as one scalar subquery."""
+    cols = scalars.columns
+    return (df.withColumn("_totals", scalars.select(F.struct(*cols)).scalar())
+              .select(*df.columns, *[F.col(f"_totals.{c}").alias(c) for c in cols]))
 
 
 # ---------------------------------------------------------------------------------
@@ -110,14 +108,21 @@ def _pad_and_rank(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: i
     if pad:
         order = F.col("chunk_id").desc() if id_desc else F.col("chunk_id").asc()
         fill = chunks.select("chunk_id").orderBy(order).limit(k)
-        cand = (queries.select("query_id").withColumn("_one", F.lit(1))
-                .join(F.broadcast(fill.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+        first = fill.agg(F.collect_list("chunk_id").alias("ids"))  # k ids at most
+        cand = attach_scalars(queries.select("query_id"), first).select("query_id", F.explode("ids").alias("chunk_id"))
         cand = (cand.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
                 .withColumn("score", F.lit(0.0)))
         scored = scored.unionByName(cand)
     tie = F.col("chunk_id").desc() if id_desc else F.col("chunk_id").asc()
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return _first(scored, w, "rank", k)
+
+
+def _first(df: DataFrame, w, name: str, k: int) -> DataFrame:
+    """0-based rank of the first k rows of each window; ``row_number() <= k`` is the form that
+    Spark turns into a group limit before the shuffle."""
+    return (df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+              .withColumn(name, F.col(name) - 1))
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, index: BM25Index | None = None, k: int = RECALL_TOP_K,
@@ -161,103 +166,103 @@ def l2_normalize(vec: Column) -> Column:
     return F.transform(vec, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
+# Vectors in a block; a pair of blocks is one bounded matrix product.
+VECTOR_BLOCK = 2048
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = RECALL_TOP_K, id_col: str = "vec_id",
                vec_col: str = "embedding", query_id_col: str = "query_id", exclude_self: bool = False,
-               max_block_bytes: int = 64 << 20) -> DataFrame:
-    """K8: exact inner-product top-k.
-
-    The query block is shipped to every task (its size is checked); each task
-    multiplies its corpus batches by the block in numpy and keeps a running
-    top-k per query, so only ``k x tasks`` candidates per query shuffle into
-    the final ranking window.  Query sets larger than one block are processed
-    block by block (each block is its own distributed pass); nothing is capped.
+               block_rows: int = VECTOR_BLOCK) -> DataFrame:
+    """K8: exact inner-product top-k of a stated query set against all vectors, in blocks.
+
+    Both sides are dealt into blocks of about ``block_rows`` by hashed id.  Each pair of a query
+    block and a corpus block is one group: its score matrix has a bounded size, and only its k
+    best rows a query go on to the final ranking.  Nothing passes through the driver but the two
+    row counts.  Ties: smaller id first.
     """
-    spark = corpus.sparkSession
-    q = queries.select(F.col(query_id_col).alias("qid"), F.col(vec_col).alias("qv"))
-    n_q = q.count()
-    dim_row = q.select(F.size("qv").alias("d")).first()
-    dim = dim_row["d"] if dim_row else 0
-    per_query = max(dim, 1) * 8 + 16
-    n_blocks = max(1, -(-n_q * per_query // max_block_bytes))
-    out = None
-    for blk in range(n_blocks):
-        part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
-        res = _dense_block(spark, corpus, part, k, id_col, vec_col, exclude_self)
-        out = res if out is None else out.unionByName(res)
+    q_blocks = max(1, -(-queries.count() // block_rows))
+    c_blocks = max(1, -(-corpus.count() // block_rows))
+    q = (queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+         .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
+    c = (corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+         .withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int"))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+
+    def best(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(t):
+            v = t.column("v").combine_chunks()
+            return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        names = ("query_id", "chunk_id", "score")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        qid, cid = left.column("id").to_numpy(), right.column("id").to_numpy()
+        order = np.argsort(cid, kind="stable")
+        cid = cid[order]
+        scores = np.round(matrix(left) @ matrix(right)[order].T, ROUND)
+        if exclude_self:
+            scores[qid[:, None] == cid[None, :]] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # columns ascend by id, so ties keep the smaller
+        rows, value = np.repeat(qid, top.shape[1]), np.take_along_axis(scores, top, axis=1).ravel()
+        keep = np.isfinite(value)
+        return pa.table({"query_id": rows[keep], "chunk_id": cid[top.ravel()][keep], "score": value[keep]})
+
+    out = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
+           .applyInArrow(best, "query_id long, chunk_id long, score double"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
-
-
-def _dense_block(spark, corpus, qblock, k, id_col, vec_col, exclude_self):
-    import numpy as np
-    rows = qblock.collect()  # bounded: one block, size checked by the caller
-    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    qmat = np.array([np.asarray(r["qv"], dtype=np.float64) for r in rows], dtype=np.float64)
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("chunk_id", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        import pandas as pd
-        ids_q, m_q = bq.value
-        best_s = None
-        best_i = None
-        if len(ids_q) == 0:
-            return
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cids = pdf[id_col].to_numpy(dtype=np.int64)
-            cm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            s = cm @ m_q.T  # rows: corpus, cols: queries
-            if exclude_self:
-                s[cids[:, None] == ids_q[None, :]] = -np.inf
-            s = np.round(s, ROUND)
-            ids = np.broadcast_to(cids[:, None], s.shape)
-            if best_s is not None:
-                s = np.vstack([best_s, s])
-                ids = np.vstack([best_i, ids])
-            kk = min(k, s.shape[0])
-            # order by (score desc, id asc) per query column, keep kk
-            order = np.lexsort((ids, -s), axis=0)[:kk]
-            best_s = np.take_along_axis(s, order, axis=0)
-            best_i = np.take_along_axis(ids, order, axis=0)
-        if best_s is None:
-            return
-        kk, nq = best_s.shape
-        out = pd.DataFrame({"query_id": np.repeat(ids_q[None, :], kk, axis=0).ravel(),
-                            "chunk_id": best_i.ravel(), "score": best_s.ravel()})
-        yield out[np.isfinite(out["score"].to_numpy())]
-
-    return corpus.select(id_col, vec_col).mapInPandas(run, schema)
+    return _first(out, w, "rank", k)
 
 
 def dense_topk_lsh(corpus: DataFrame, queries: DataFrame, k: int = RECALL_TOP_K, id_col: str = "vec_id",
-                   vec_col: str = "embedding", query_id_col: str = "query_id", bucket_length: float = 0.5,
-                   num_tables: int = 4, max_distance: float = 1.2, seed: int = 7) -> DataFrame:
-    """K9: approximate top-k for large corpora.
-
-    Random-projection LSH proposes pairs within ``max_distance`` (Euclidean on
-    unit vectors, i.e. inner product >= 1 - d^2/2), the candidates are re-scored
-    exactly and ranked.  Approximate by design: a true neighbour that never
-    shares a bucket with its query is missed.
+                   vec_col: str = "embedding", query_id_col: str = "query_id", exclude_self: bool = False,
+                   num_tables: int = 16, bucket_rows: int = 400, seed: int = 7) -> DataFrame:
+    """K9: approximate top-k through random hyperplanes.
+
+    A vector's side of some hyperplanes is its bucket in a table; the number of hyperplanes
+    follows the corpus, so that buckets keep about ``bucket_rows`` vectors.  A query looks into
+    its own bucket of each table and into those that one hyperplane parts from it; what it finds
+    is scored exactly.  A query that finds fewer than k vectors is answered by ``dense_topk``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = corpus.select(F.col(id_col).alias("cid"), array_to_vector(vec_col).alias("features"),
-                      F.col(vec_col).alias("cv"))
-    b = queries.select(F.col(query_id_col).alias("qid"), array_to_vector(vec_col).alias("features"),
-                       F.col(vec_col).alias("qv"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(a)
-    pairs = model.approxSimilarityJoin(b, a, max_distance, distCol="dist")
-    scored = pairs.select(F.col("datasetA.qid").alias("query_id"), F.col("datasetB.cid").alias("chunk_id"),
-                          F.round(F.aggregate(F.zip_with("datasetA.qv", "datasetB.cv",
-                                                         lambda x, y: x.cast("double") * y.cast("double")),
-                                              F.lit(0.0), lambda s, v: s + v), ROUND).alias("score"))
+    import math
+
+    import numpy as np
+
+    n = corpus.count()
+    first = corpus.select(F.size(vec_col).alias("d")).first()
+    planes = max(1, int(math.log2(max(2, n / bucket_rows))))
+    dim = first["d"] if first else 1
+    rng = np.random.default_rng(seed)
+    tables = [[F.array(*[F.lit(float(x)) for x in rng.normal(size=dim)]) for _ in range(planes)] for _ in range(num_tables)]
+
+    def side(vec, plane):
+        return (F.aggregate(F.zip_with(vec, plane, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0).cast("int")
+
+    def bucket(vec, table):
+        return sum((F.shiftleft(side(vec, p), i) for i, p in enumerate(table)), F.lit(0))
+    c = corpus.select(F.col(id_col).alias("cid"), F.col(vec_col).cast("array<double>").alias("cv"))
+    q = queries.select(F.col(query_id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qv"))
+    place = [F.struct(F.lit(t).alias("t"), bucket(F.col("cv"), tb).alias("b")) for t, tb in enumerate(tables)]
+    cc = c.withColumn("p", F.explode(F.array(*place))).select("cid", "p.t", "p.b")
+    own = [F.struct(F.lit(t).alias("t"), bucket(F.col("qv"), tb).alias("b")) for t, tb in enumerate(tables)]
+    probes = F.array(F.lit(0), *[F.lit(1 << i) for i in range(planes)])
+    qq = (q.withColumn("p", F.explode(F.array(*own))).withColumn("flip", F.explode(probes))
+          .select("qid", "p.t", F.col("p.b").bitwiseXOR(F.col("flip")).alias("b")))
+    pairs = qq.join(cc, ["t", "b"]).select("qid", "cid").distinct()
+    if exclude_self:
+        pairs = pairs.where(F.col("qid") != F.col("cid"))
+    score = F.round(F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v), ROUND)
+    scored = pairs.join(q, "qid").join(c, "cid").select(F.col("qid").alias("query_id"), F.col("cid").alias("chunk_id"),
+                                                       score.alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    found = cut_lineage(_first(scored, w, "rank", k))
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    rest = queries.join(enough, queries[query_id_col] == enough["query_id"], "left_anti")
+    exact = dense_topk(corpus, rest, k, id_col, vec_col, query_id_col, exclude_self)
+    return found.join(enough, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank").unionByName(
+        exact.select("query_id", "chunk_id", "score", "rank"))
 
 
 # ---------------------------------------------------------------------------------
@@ -271,8 +276,7 @@ def rrf_fusion(lists: DataFrame, k: int = RRF_K, top_n: int = RRF_TOP_N) -> Data
         F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank") + 1)), ROUND).alias("rrf_score"),
         F.min(F.struct("list_no", "rank")).alias("first_seen"))
     w = Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), F.col("first_seen"))
-    return (agg.withColumn("fusion_rank", F.row_number().over(w) - 1).where(F.col("fusion_rank") < top_n)
-            .drop("first_seen"))
+    return _first(agg, w, "fusion_rank", top_n).drop("first_seen")
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
@@ -288,7 +292,7 @@ def rerank_topk(candidates: DataFrame, scorer: Callable[[Column, Column], Column
     fusion order.  ``scorer`` is any Column function, e.g. a ``pandas_udf``."""
     scored = candidates.withColumn("rerank_score", F.round(scorer(F.col(query_col), F.col(text_col)), ROUND))
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("fusion_rank"))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return _first(scored, w, "rank", k)
 
 
 def with_chunk_meta(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -309,13 +313,12 @@ def two_stage_retrieve(queries: DataFrame, chunks: DataFrame, qid: str = "query_
     q = queries.select(F.col(qid).alias("query_id"),
                        (F.col("query_no") if "query_no" in queries.columns else F.lit(0)).alias("query_no"),
                        F.col(text_col).alias("text"))
-    q = q.withColumn("sub_id", F.col("query_id") * 16 + F.col("query_no"))
-    sub = q.select(F.col("sub_id").alias("query_id"), "text")
+    sub = q.select(F.struct("query_id", "query_no").alias("query_id"), "text")
     lex = bm25_topk(sub, chunks, index=index, k=recall_k)
     cos = bow_cosine_topk(sub, chunks, k=recall_k)
     lists = (lex.withColumn("kind", F.lit(0)).unionByName(cos.withColumn("kind", F.lit(1)))
-             .select((F.floor(F.col("query_id") / 16)).cast("long").alias("query_id"),
-                     ((F.col("query_id") % 16) * 2 + F.col("kind")).alias("list_no"), "rank", "chunk_id"))
+             .select(F.col("query_id.query_id").alias("query_id"),
+                     (F.col("query_id.query_no") * 2 + F.col("kind")).alias("list_no"), "rank", "chunk_id"))
     fused = rrf_fusion(lists, rrf_k, rrf_top_n)
     originals = q.where(F.col("query_no") == 0).select("query_id", F.col("text").alias("query_text"))
     cand = with_chunk_meta(fused, chunks).join(originals, "query_id")

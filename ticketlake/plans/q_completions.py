@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import normalize_ticket_text, strip_unicode
+from ticketlake.functions import text as tx
 from ticketlake.operators import completions as cp
 from ticketlake.plans.common import Family, sql_str
 from ticketlake.plans.q_text import sql_normalize_ticket_text, sql_strip
-from ticketlake.session import spread
 from ticketlake.sources import logical as lg
 from ticketlake.sources.tables import table
 
@@ -87,7 +87,7 @@ SELECT t.ticket_id,
        || {sql_str(cp.CLASS_PROMPT_TAIL)} AS prompt
 FROM tickets t JOIN (SELECT 0 AS k0, text AS kb FROM documents WHERE doc_id = 0) k ON k.k0 = 0""")
 def q_build_class_prompt(spark, sf):
-    t = spread(lg.tickets(spark, sf)).withColumn("_k", F.lit(0))
+    t = lg.tickets(spark, sf).withColumn("_k", F.lit(0))
     kb = (table(spark, sf, "documents").where(F.col("doc_id") == 0)
           .select(F.lit(0).alias("_k"), F.substring("text", 1, cp.MAX_KB_CHARS).alias("kb")))
     j = t.join(F.broadcast(kb), "_k")
@@ -212,11 +212,11 @@ def q_expand_queries(spark, sf):
 
 @fam.add("parse_verdict", """
 SELECT conv_id AS ticket_id, turn,
-       coalesce(regexp_replace(string_split_regex(regexp_replace(lower(coalesce(v, '')), '^\\s+|\\s+$', '', 'g'), '\\s+')[1],
+       coalesce(regexp_replace(string_split_regex(regexp_replace(lower(coalesce(v, '')), '^<ws>+|<ws>+$', '', 'g'), '<ws>+')[1],
                 '^[.,!?:;"''()\\[\\]{}]+|[.,!?:;"''()\\[\\]{}]+$', '', 'g') = 'relevant', FALSE) AS is_relevant
 FROM (SELECT conv_id, turn,
              CASE conv_id % 4 WHEN 0 THEN 'Relevant. ' WHEN 1 THEN 'irrelevant ' WHEN 2 THEN '"RELEVANT": ' ELSE '' END || text AS v
-      FROM conversations WHERE role = 'assistant')""")
+      FROM conversations WHERE role = 'assistant')""".replace("<ws>", tx.SPACE))
 def q_parse_verdict(spark, sf):
     cv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     k = F.col("conv_id") % 4

@@ -53,8 +53,8 @@ def q_class_weights(spark, sf):
 
 
 @fam.add("stratified_kfold", lg.with_ctes(lg.TICKETS_SQL) + f"""
-SELECT ticket_id, category, CAST((row_number() OVER (PARTITION BY category ORDER BY hk % 64, hk, ticket_id) - 1) % 5 AS INTEGER) AS fold
-FROM (SELECT ticket_id, category, (ticket_id * {fe.MIX_MUL} + 42 * 97) % {fe.MIX_MOD} AS hk FROM tickets)""")
+SELECT ticket_id, category, CAST((row_number() OVER (PARTITION BY category ORDER BY hk, ticket_id) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT ticket_id, category, {fe.sql_mix('ticket_id', 42)} AS hk FROM tickets)""")
 def q_stratified_kfold(spark, sf):
     t = lg.tickets(spark, sf).select("ticket_id", "category")
     return fe.stratified_kfold(t, "category", "ticket_id", k=5, seed=42)

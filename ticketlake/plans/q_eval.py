@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticketlake.functions import text as tx
 from ticketlake.operators import evaluate as ev
 from ticketlake.operators import features as fe
 from ticketlake.operators import retrieval as rt
@@ -13,14 +14,14 @@ from ticketlake.sources.tables import table
 
 fam = Family()
 
-# ---- E1-E4 on the dense run: queries = every 50th vector, relevant = same label ----------
+# ---- E1-E4 on the dense run: every vector is a query, relevant = same label ----------
 
 DENSE_RUN_SQL = """runs AS (
   SELECT run, q.vec_id AS query_id, c.vec_id AS chunk_id, q.label = c.label AS is_rel,
          row_number() OVER (PARTITION BY run, q.vec_id ORDER BY round(
              CASE WHEN run = 'baseline' THEN list_dot_product(CAST(q.embedding[1:16] AS DOUBLE[]), CAST(c.embedding[1:16] AS DOUBLE[]))
                   ELSE list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) END, 9) DESC, c.vec_id) - 1 AS rank
-  FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings c ON c.vec_id <> q.vec_id,
+  FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id,
        (SELECT 'baseline' AS run UNION ALL SELECT 'improved') r
   QUALIFY rank < 3),
 pq AS (
@@ -37,7 +38,7 @@ pq2 AS (
 
 def _dense_runs(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id") % 50 == 0)
+    q = e  # every vector is a query
     labels = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("c_label"))
     ql = q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
 
@@ -254,8 +255,8 @@ def q_avg_cost_per_call(spark, sf):
 # ---- E16-E17 ------------------------------------------------------------------------------------
 
 SPLIT_SQL = lg.with_ctes(lg.TICKETS_SQL) + f""", h AS (
-  SELECT ticket_id, category, (ticket_id * {fe.MIX_MUL} + 42 * 97) % {fe.MIX_MOD} AS hk FROM tickets),
-r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY hk % 64, hk, ticket_id) - 1 AS rk,
+  SELECT ticket_id, category, {fe.sql_mix('ticket_id', 42)} AS hk FROM tickets),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY hk, ticket_id) - 1 AS rk,
              count(*) OVER (PARTITION BY category) AS n FROM h),
 split AS (SELECT ticket_id, category,
                  CASE WHEN rk < floor(n * 0.6) THEN 'train' WHEN rk < floor(n * 0.8) THEN 'val' ELSE 'test' END AS split
@@ -277,11 +278,11 @@ def q_label_distribution(spark, sf):
     return ev.label_distribution(s, "category", "split")
 
 
-@fam.add("corpus_quality", lg.with_ctes(lg.TICKETS_SQL) + """
+@fam.add("corpus_quality", lg.with_ctes(lg.TICKETS_SQL) + f"""
 SELECT n, n_unique, round((n - n_unique) / n * 100, 9) AS dupe_pct, avg_words, n_short FROM (
   SELECT count(*) AS n, count(DISTINCT description) AS n_unique,
-         round(avg(len(list_filter(string_split_regex(description, '\\s+'), lambda w: w <> ''))), 9) AS avg_words,
-         count(*) FILTER (WHERE len(list_filter(string_split_regex(description, '\\s+'), lambda w: w <> '')) < 10) AS n_short
+         round(avg(len(list_filter(string_split_regex(description, '{tx.SPACE}+'), lambda w: w <> ''))), 9) AS avg_words,
+         count(*) FILTER (WHERE len(list_filter(string_split_regex(description, '{tx.SPACE}+'), lambda w: w <> '')) < 10) AS n_short
   FROM tickets)""")
 def q_corpus_quality(spark, sf):
     return ev.corpus_quality(lg.tickets(spark, sf), "description")

@@ -162,11 +162,10 @@ def q_prediction_log_stream(spark, sf):
 SELECT strftime(date_trunc('hour', ts), {FMT}) AS hour, count(*) AS n,
        round(avg(CAST(starts_with(tier_used, 'groq') AS DOUBLE)), 9) AS tier3_rate,
        avg(CAST(starts_with(tier_used, 'groq') AS DOUBLE)) > 0.4 AS alert
-FROM prediction_log WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM prediction_log) - INTERVAL 1 HOUR
-GROUP BY ALL""")
+FROM prediction_log GROUP BY ALL""")
 def q_tier3_rate_stream(spark, sf):
-    """M1 as a stream: only windows closed by the watermark are emitted (append)."""
-    return st.run_available_now(st.tier3_rate_stream(_log_stream(spark, sf)), "m1")
+    """M1 as a stream, open windows included (update mode)."""
+    return st.run_latest(st.tier3_rate_stream(_log_stream(spark, sf)), "m1", ["hour"])
 
 
 @fam.add("feedback_join_stream", lg.with_ctes(lg.PREDICTION_LOG_SQL, lg.FEEDBACK_SQL) + """

@@ -10,7 +10,6 @@ from ticketlake.functions import text as tx
 from ticketlake.operators import rules as rl
 from ticketlake.plans.common import Family, sql_str
 from ticketlake.plans.q_text import sql_normalize_ticket_text
-from ticketlake.session import spread
 from ticketlake.sources import logical as lg
 
 fam = Family()
@@ -64,7 +63,7 @@ SELECT ticket_id, ticket_type, CAST(s AS INTEGER) AS priority_score,
 FROM (SELECT ticket_id, ticket_type, {_sql_rule_score('lower(description)', 'ticket_type')} AS s
       FROM (SELECT ticket_id, description, {_sql_type()} AS ticket_type FROM tickets))""")
 def q_assign_priority(spark, sf):
-    t = spread(lg.tickets(spark, sf))
+    t = lg.tickets(spark, sf)
     m = F.create_map(*[F.lit(x) for kv in LANG_TO_TYPE.items() for x in kv])
     t = t.select("ticket_id", "description", F.element_at(m, F.col("category")).alias("ticket_type"))
     out = rl.assign_priority(t, "description", "ticket_type")
@@ -107,7 +106,7 @@ SELECT ticket_id,
 FROM (SELECT ticket_id, {_KW_LABEL} AS label, {_KW_SCORE} AS conf
       FROM (SELECT ticket_id, {_KW_COLS} FROM tickets))""")
 def q_keyword_rule_predict(spark, sf):
-    t = spread(lg.tickets(spark, sf)).select("ticket_id", "description")
+    t = lg.tickets(spark, sf).select("ticket_id", "description")
     return rl.keyword_rule_predict(t, "description", KEYWORDS).drop("description")
 
 
@@ -118,7 +117,7 @@ SELECT ticket_id,
 FROM (SELECT *, CASE WHEN ticket_id % 5 = 0 THEN ' HIGH ' WHEN ticket_id % 11 = 0 THEN 'urgent' ELSE priority END AS pr
       FROM tickets)""")
 def q_normalize_labels(spark, sf):
-    t = lg.tickets(spark, sf)
+    t = lg.tickets(spark, sf, with_priority=True)
     i = F.col("ticket_id")
     t = t.select("ticket_id",
                  F.when(i % 6 == 0, F.lit("  ")).otherwise(F.col("category")).alias("category"),

@@ -57,11 +57,11 @@ def sql_entities(expr: str) -> str:
 
 
 def sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({expr}, '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g')"
 
 
 def sql_normalize_text(expr: str) -> str:
-    return f"regexp_replace(lower({expr}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')"
+    return f"regexp_replace(lower({expr}), '[^\\p{{L}}\\p{{N}}_{tx.SPACE_CHARS}]', ' ', 'g')"
 
 
 def sql_unescape_basic(expr: str) -> str:
@@ -73,7 +73,7 @@ def sql_unescape_basic(expr: str) -> str:
 
 def sql_lemmatize(expr: str) -> str:
     return ("array_to_string(list_transform(list_filter(string_split_regex("
-            f"{sql_strip(expr)}, '\\s+'), lambda w: w <> ''), lambda w: {sql_case_map('w', LEMMAS)}), ' ')")
+            f"{sql_strip(expr)}, '{tx.SPACE}+'), lambda w: w <> ''), lambda w: {sql_case_map('w', LEMMAS)}), ' ')")
 
 
 def sql_normalize_full(expr: str) -> str:
@@ -83,7 +83,7 @@ def sql_normalize_full(expr: str) -> str:
 def sql_normalize_ticket_text(expr: str) -> str:
     t = sql_strip(f"lower({expr})")
     t = f"regexp_replace({t}, '\\{{[^{{}}]+\\}}', ' ', 'g')"
-    t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
+    t = f"regexp_replace({t}, '{tx.SPACE}+', ' ', 'g')"
     return sql_strip(t)
 
 
@@ -101,7 +101,7 @@ def q_scan_tickets(spark, sf):
     with an explicit schema (no inference)."""
     from pyspark.sql import types as T
     path = _scratch(spark, "tickets-csv")
-    (lg.tickets(spark, sf)
+    (lg.tickets(spark, sf, with_priority=True)
      .select(F.col("ticket_id").cast("string").alias("Ticket ID"),
              F.col("description").alias("Ticket Description"),
              F.col("category").alias("Ticket Type"), F.col("priority").alias("Ticket Priority"))
@@ -147,23 +147,14 @@ def q_synth_ticket_id(spark, sf):
         F.col("tid").alias("ticket_id"), "category")
 
 
-@fam.add("scan_chunks")
-def q_scan_chunks(spark, sf):
-    """KB chunks written as JSON lines, scanned back with a fixed schema."""
-    from ticketlake.operators.chunking import chunk_kb
-    path = _scratch(spark, "chunks-jsonl")
-    chunk_kb(docs(spark, sf)).select("source", "chunk_id", "text").write.json(path)
-    return tb.scan_chunks(spark, path)
-
-
-@fam.add("scan_kb_docs")
+@fam.add("scan_kb_docs", "SELECT doc_id, text FROM documents")
 def q_scan_kb_docs(spark, sf):
     """Whole files as one text each (one file per document here)."""
     path = _scratch(spark, "kb-text")
-    (docs(spark, sf).select("doc_id", "text").repartition(8).write.partitionBy("doc_id").text(path))
+    (docs(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(path))
     return tb.scan_kb_docs(spark, path + "/*/*").select(
         F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
-        F.length("text").alias("n_chars"))
+        "text")
 
 
 # ---- P: privacy -------------------------------------------------------------------
@@ -304,7 +295,7 @@ def q_age_bucket(spark, sf):
 
 @fam.add("drop_id", lg.with_ctes(lg.TICKETS_SQL) + "SELECT description, category, priority FROM tickets")
 def q_drop_id(spark, sf):
-    return sc.scrub_table(lg.tickets(spark, sf), text_columns=[], masks={}, drop_id="ticket_id",
+    return sc.scrub_table(lg.tickets(spark, sf, with_priority=True), text_columns=[], masks={}, drop_id="ticket_id",
                           age_column=None)
 
 
@@ -315,8 +306,9 @@ SELECT ticket_id,
        category, priority
 FROM tickets""")
 def q_scrub_table(spark, sf):
-    return sc.scrub_table(lg.tickets(spark, sf), text_columns=["description"], masks={},
-                          gazetteer=GAZETTEER, lemma_map=lemma_map_col(), age_column=None)
+    """Scrubbed first, so that no expression runs on the far side of the join with the labels."""
+    return lg.join_priority(spark, sf, sc.scrub_table(lg.tickets(spark, sf), text_columns=["description"], masks={},
+                                                      gazetteer=GAZETTEER, lemma_map=lemma_map_col(), age_column=None))
 
 
 @fam.add("tokenize", """

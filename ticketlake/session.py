@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     """Return the active session, or build a local one for tests/benches."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        apply_defaults(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     builder = builder.master(master or os.environ.get("TICKETLAKE_MASTER", "local[8]"))
@@ -50,11 +51,14 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) do we pick a scratch folder
-    and register it; on a cluster the setting is always read, never replaced.
+    A local session that names none (tests) gets a scratch folder.  On a cluster that would be
+    a folder which other machines cannot see, so there an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ticketlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -68,15 +72,12 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+def spread(scan):
+    """Deal out a scan of one single file, which may be one row group and so one task.
 
-    Only small inputs (a single file / row group) ever qualify; a large scan
-    already has more splits than cores and is returned unchanged, so this costs
-    nothing at scale.  The check is made at planning time, no job runs.
+    Only for plain scans: the list of files is known without a job.  Tables of several files
+    are returned as they are.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    if len(scan.inputFiles()) == 1:
+        return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+    return scan

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlake.session import spread
 from ticketlake.sources.tables import table
 
 # The label domains of the triage chain.
@@ -41,10 +42,16 @@ def permille(expr: Column) -> Column:
 # tickets(ticket_id, description, category, priority)
 # --------------------------------------------------------------------------------
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+def tickets(spark: SparkSession, sf_dir: str, with_priority: bool = False) -> DataFrame:
+    """Tickets from ``documents``; the priority needs a join with ``labels``, made only on request."""
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ticket_id"), F.col("text").alias("description"),
         F.col("lang").alias("category"))
+    return join_priority(spark, sf_dir, docs) if with_priority else docs
+
+
+def join_priority(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Adds the priority that the labels give a ticket; null without a label."""
     labels = table(spark, sf_dir, "labels")
     q, t = F.col("quality"), F.col("toxic")
     priority = (F.when((q == 1) & (t == 0), "Low").when((q == 0) & (t == 0), "Medium")

@@ -57,6 +57,7 @@ def scan_chunks(spark: SparkSession, path: str) -> DataFrame:
 # --- S5: KB document scan (whole file is one text) -------------------------------
 
 def scan_kb_docs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``(source, text)``; the file path is the chunk source."""
+    """One row per file: ``(source, text)``; the file path is the chunk source.  A final line end closes
+    the file and is no part of the text."""
     return (spark.read.text(path, wholetext=True)
-            .select(F.input_file_name().alias("source"), F.col("value").alias("text")))
+            .select(F.input_file_name().alias("source"), F.regexp_replace("value", r"\n\z", "").alias("text")))

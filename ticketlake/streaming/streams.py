@@ -26,7 +26,9 @@ def stage_as_stream_source(df: DataFrame, name: str) -> str:
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
+    """A replay of a folder.  No limit of files a trigger: files do not come in the order of event
+    time, and a later trigger would find the watermark ahead of its rows and drop them."""
+    return (spark.readStream.schema(schema).parquet(path)
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -41,6 +43,24 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append") ->
     return spark.read.schema(df.schema).parquet(base + "/out")
 
 
+def run_latest(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run to completion in update mode and return each key's last row, so that windows which the
+    watermark has not closed yet are there too.  Each trigger's changes are one folder, written
+    anew if the trigger is repeated."""
+    spark = df.sparkSession
+    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/trigger={batch}")
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", base + "/chk").outputMode("update")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.option("basePath", base + "/out").parquet(base + "/out/*").drop("trigger")
+    rest = [c for c in df.columns if c not in keys]
+    return (out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
+            .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*df.columns))
+
+
 def dedupe_prediction_stream(log_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A prediction log stream deduplicated on ``request_id``; rows later than
     the watermark are dropped, state is bounded by the watermark."""
