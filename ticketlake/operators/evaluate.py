@@ -249,3 +249,20 @@ def corpus_quality(df: DataFrame, text_col: str, approx: bool = False) -> DataFr
                   F.count_if(nw < 10).cast("long").alias("n_short")).select(
         "n", "n_unique", F.round((F.col("n") - F.col("n_unique")) / F.col("n") * 100, ROUND).alias("dupe_pct"),
         "avg_words", "n_short")
+
+
+def cost_report(usage: DataFrame) -> DataFrame:
+    """``(section, key, total_cost_usd, call_count)``: the total, each component and each ticket."""
+    c = usage_cost(usage)
+    sums = [F.round(F.sum("cost_usd"), ROUND).alias("total_cost_usd"), F.count("*").cast("long").alias("call_count")]
+
+    def part(section, rows, key):
+        g = rows.groupBy(key.alias("key")) if key is not None else rows.groupBy(F.lit("").alias("key"))
+        return g.agg(*sums).select(F.lit(section).alias("section"), "key", "total_cost_usd", "call_count")
+    return (part("total", c, None).unionByName(part("component", c, F.col("component")))
+            .unionByName(part("ticket", c.where(F.col("ticket_id").isNotNull()), F.col("ticket_id").cast("string"))))
+
+
+def write_cost_report(usage: DataFrame, path: str) -> None:
+    """S7 sink: the report as JSON lines."""
+    cost_report(usage).write.mode("overwrite").json(path)

@@ -51,8 +51,12 @@ def sql_entities(expr: str) -> str:
     for label in ("PERSON", "ORG", "GPE", "LOC"):
         names = GAZETTEER.get(label)
         if names:
-            expr = (f"regexp_replace({expr}, {sql_str(sc.entity_pattern(names))}, "
-                    f"{sql_str(tx.REDACTION_TAGS[label])}, 'g')")
+            # RE2's \\b is ASCII only: the borders are spelled out, and a second pass takes the
+            # matches whose border the one before has used up
+            inner = sc.entity_pattern(names).removeprefix(r"\b").removesuffix(r"\b")
+            pat = sql_str(r"(^|[^\p{L}\p{N}_])" + inner + r"([^\p{L}\p{N}_]|$)")
+            for _ in range(2):
+                expr = f"regexp_replace({expr}, {pat}, {sql_str(chr(92) + '1' + tx.REDACTION_TAGS[label] + chr(92) + '2')}, 'g')"
     return expr
 
 
