@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.operators.features import argmax_label, class_weights, softmax, word_terms
+from ticketlake.session import cut_lineage
 
 # Temperatures from 0.5 to 5 in steps of 0.05.
 GRID_STEPS = range(10, 101)
@@ -63,7 +64,7 @@ def apply_isotonic(df: DataFrame, knots: DataFrame, score: str, digits: int = 3)
         knots.select(F.col("score").alias("_s"), "calibrated"), "_s", "left").drop("_s")
 
 
-def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, features: int = 1 << 16, iterations: int = 20):
+def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, features: int = 1 << 15, iterations: int = 20):
     """TF-IDF of word 1- and 2-grams into multinomial logistic regression with balanced class
     weights.  Returns a function ``df -> df`` that adds ``label`` and ``confidence``."""
     labels = [r[0] for r in train.select(label_col).distinct().orderBy(label_col).collect()]  # the label domain
@@ -73,6 +74,7 @@ def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, feature
     def counted(df):
         return tf.transform(df.withColumn("_terms", word_terms(F.col(text_col))))
     rows = class_weights(counted(train).withColumn("_y", index.cast("double")), label_col)
+    rows = cut_lineage(rows.select("_tf", "_y", "weight"))  # every iteration reads it
     idf = IDF(inputCol="_tf", outputCol="features").fit(rows)
     model = LogisticRegression(labelCol="_y", weightCol="weight", maxIter=iterations, regParam=1e-3,
                                family="multinomial").fit(idf.transform(rows))
