@@ -1,7 +1,7 @@
 """ticketlake: Spark-native ticket triage, grounded retrieval and evaluation.
 
-Every operator is a plain ``DataFrame -> DataFrame`` function (no actions
-inside); the modules are grouped as
+Every operator is a plain ``DataFrame -> DataFrame`` function; those that must know a size,
+fit a model or write a step run small jobs when called.  The modules are grouped as
 
 * ``sources``   - table scans, logical input bindings, sinks
 * ``functions`` - reusable Column expressions (text, arrays, JSON)

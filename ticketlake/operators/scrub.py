@@ -24,8 +24,13 @@ def entity_pattern(names: list[str]) -> str:
     return r"\b(?:" + "|".join(re.escape(a).replace(r"\ ", r"\s+") for a in alts) + r")\b"
 
 
-# Largest gazetteer compiled into one pattern; past it the token-join path is used.
-MAX_PATTERN_ENTRIES = 5000
+# Names in one pattern; a larger gazetteer is applied in several, the longest names first.
+PATTERN_NAMES = 5000
+
+
+def entity_patterns(names: list[str]) -> list[str]:
+    alts = sorted({n for n in names if n}, key=lambda s: (-len(s), s))
+    return [entity_pattern(alts[i:i + PATTERN_NAMES]) for i in range(0, len(alts), PATTERN_NAMES)]
 
 
 def redact_entities(col: Column, gazetteer: dict[str, list[str]]) -> Column:
@@ -36,13 +41,8 @@ def redact_entities(col: Column, gazetteer: dict[str, list[str]]) -> Column:
     """
     out = col
     for label in ("PERSON", "ORG", "GPE", "LOC"):
-        names = gazetteer.get(label) or []
-        if not names:
-            continue
-        if len(names) > MAX_PATTERN_ENTRIES:
-            raise ValueError("gazetteer too large for one pattern; use redact_entities_join")
-        out = F.regexp_replace(out, entity_pattern(names),
-                               tx._java_replacement(tx.REDACTION_TAGS[label]))
+        for pattern in entity_patterns(gazetteer.get(label) or []):
+            out = F.regexp_replace(out, pattern, tx._java_replacement(tx.REDACTION_TAGS[label]))
     return out
 
 
