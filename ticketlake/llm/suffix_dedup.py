@@ -198,13 +198,18 @@ def _answer(hot_docs: int):
         x = np.concatenate(one + many)
         weight = np.concatenate([np.ones(sum(map(len, one))), 2.0 ** np.concatenate(logs)])
         cells, where = np.unique(x, return_inverse=True)
-        total = np.bincount(where, weight, len(cells))
-        shared, hot = cells[total > 1], cells[total > hot_docs]
-        mine = [np.concatenate([a, b]) for a, b in zip(one, many, strict=True)]
+        total = np.bincount(where, weight, len(cells))[where]
+        cuts = np.concatenate([[0], np.cumsum([len(p) for p in one + many])])
+        parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        def over(least: float) -> list[bytes]:
+            """By row, its minimizers of more than so many documents."""
+            keep = total > least
+            found = [x[p][keep[p]] for p in parts]
+            return [np.concatenate([a, b]).astype("<u4").tobytes() for a, b in zip(found[:len(one)], found[len(one):], strict=True)]
         return pa.table({
             "block": table.column("block").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int64()),
-            "shared": pa.array([np.intersect1d(m, shared).astype("<u4").tobytes() for m in mine], pa.binary()),
-            "hot": pa.array([np.intersect1d(m, hot).astype("<u4").tobytes() for m in mine], pa.binary())})
+            "shared": pa.array(over(1), pa.binary()), "hot": pa.array(over(hot_docs), pa.binary())})
     return run
 
 
