@@ -281,16 +281,25 @@ def bounded_order(data: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | ring[i:i + n].astype(np.uint64)
+    order = np.argsort(key)
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
     size = 8
-    while True:
-        order = np.argsort(key)
-        new = np.append(False, key[order[1:]] != key[order[:-1]])
-        if size >= length or new.sum() == n - 1:
-            return order
+    while size < length:
+        # only places that still share their rank with another are sorted on
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(open_):
+            break
+        group = np.cumsum(new)
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        key = rank << np.uint64(32) | np.roll(rank, -size)
+        rank[order] = group.astype(np.uint64)
+        at = order[open_]
+        key = group[open_].astype(np.uint64) << np.uint64(32) | rank[(at + size) % n]
+        again = np.argsort(key)
+        order[open_] = at[again]
+        key = key[again]
+        new[open_[1:]] |= key[1:] != key[:-1]
         size *= 2
+    return order
 
 
 def expand_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,14 +350,26 @@ def repeated_strings(contents: list[bytes], least: np.ndarray, length: int) -> l
 
 
 def _repeats(length: int):
-    """Step 3: the strings of a bucket's passages, some minimizers at a time."""
+    """Step 3: the strings of a bucket's passages, some minimizers at a time.
+
+    Equal strings have equal minimizers, so a minimizer with one single passage has nothing to
+    be compared with: its strings start where the passage does.  All others are transformed.
+    """
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         keys = table.column("key").to_numpy()
         contents = table.column("content").to_pylist()
         least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
-        ends = np.cumsum([len(c) for c in contents])
         digest, payload = [], []
+        new = np.append(True, keys[1:] != keys[:-1])
+        alone = new & np.append(new[1:], True)
+        for i in np.flatnonzero(alone & (least < most)).tolist():
+            digest.append(xxhash.xxh3_128_digest(contents[i]))
+            payload.append([0, len(contents[i]) - length, int(least[i])])
+        rest = np.flatnonzero(~alone)
+        keys, least, most = keys[rest], least[rest], most[rest]
+        contents = [contents[i] for i in rest.tolist()]
+        ends = np.cumsum([len(c) for c in contents])
         a = 0
         while a < len(keys):
             b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TRANSFORM_BYTES)) + 1
