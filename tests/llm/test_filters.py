@@ -106,6 +106,20 @@ def test_language_scores_edges(spark):
     assert L.language_scores(C.empty(spark)).count() == 0
 
 
+def test_every_training_document_trains_the_weights(spark, monkeypatch):
+    fit, seen = L.fit, []
+
+    def fitted(blocks, lexis):
+        seen.append((L.Gru(lexis).flat(), fit(blocks, lexis)))
+        return seen[-1][1]
+    monkeypatch.setattr(L, "fit", fitted)
+    ids = [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), *range(4)]
+    for i in ids:
+        L.language_scores(spark.createDataFrame([(i, "one two one two three " * 20)], "doc_id long, text string"))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    assert [bool((a == b).all()) for a, b in seen] == held and sum(held) < 3
+
+
 def test_language_model_beats_counts_on_held_out(spark):
     docs = documents(spark, SF)
     out = L.language_scores(docs).collect()

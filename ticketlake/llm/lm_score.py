@@ -33,8 +33,7 @@ HEAD_WORDS, ENDINGS = 4096, 128
 ENDING_BYTES = 2
 HIDDEN, WINDOW, BATCH = 24, 32, 64
 RATE, SEED = 0.01, 11
-# Documents whose id hashes to 0 modulo this train the weights (counts cover all training documents).
-TRAIN_SHARE = 8
+# Each training document belongs to one round, so that together they are one pass over all.
 ROUNDS = 2
 # Hidden states that wait before the output layer takes them together.
 OUTPUT_ROWS = 40_000
@@ -44,12 +43,12 @@ OUTPUT_ROWS = 40_000
 # Blocks of tokens and corpus counts
 # ---------------------------------------------------------------------------------
 
-BLOCK_SCHEMA = ("block long, ids array<long>, held array<boolean>, trains array<boolean>, sizes array<int>, "
+BLOCK_SCHEMA = ("block long, ids array<long>, held array<boolean>, sizes array<int>, "
                 "stream array<int>, words array<binary>, train_counts array<int>")
 
 
 def token_blocks(texts: DataFrame) -> DataFrame:
-    """``texts (doc_id, text, held, trains)`` as blocks: token numbers, and the words they stand for."""
+    """``texts (doc_id, text, held)`` as blocks: token numbers, and the words they stand for."""
     def run(batches):
         part = TaskContext.get().partitionId() << 32
         made, held_back, size = count(), [], 0
@@ -57,7 +56,7 @@ def token_blocks(texts: DataFrame) -> DataFrame:
         def block():
             number: dict[bytes, int] = defaultdict(count().__next__)
             stream, sizes, train = [], [], Counter()
-            for _, text, held, _ in held_back:
+            for _, text, held in held_back:
                 ids = list(map(number.__getitem__, text.lower().split()))  # bytes: A-Z only, ASCII blanks only
                 stream.append(np.asarray(ids, dtype=np.int32))
                 sizes.append(len(ids))
@@ -69,12 +68,12 @@ def token_blocks(texts: DataFrame) -> DataFrame:
             one = lambda x, t: pa.array([x], pa.list_(t))
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([part | next(made)], pa.int64()), "ids": one([r[0] for r in held_back], pa.int64()),
-                "held": one([r[2] for r in held_back], pa.bool_()), "trains": one([r[3] for r in held_back], pa.bool_()),
+                "held": one([r[2] for r in held_back], pa.bool_()),
                 "sizes": one(sizes, pa.int32()), "stream": one(np.concatenate(stream), pa.int32()),
                 "words": one(list(number), pa.binary()), "train_counts": one(counts, pa.int32())})
         for b in batches:
             for part_rows in slices(b):
-                for row in zip(*(part_rows.column(i).to_pylist() for i in range(4)), strict=True):
+                for row in zip(*(part_rows.column(i).to_pylist() for i in range(3)), strict=True):
                     held_back.append(row)
                     size += len(row[1])
                     if len(held_back) >= BLOCK_DOCS or size >= BLOCK_BYTES:
@@ -169,6 +168,15 @@ class Lexis:
             self.weights[k].append(float(ends + 1) if k == self.end else float(self.cells[k]))
         self.slots = np.array([len(w) for w in self.weights])
         self.first = np.cumsum(self.slots) - self.slots  # slots of all classes in one row
+        # By powers of two of their slots: classes, and the cells of each, filled up with one past the last.
+        self.group = np.where(self.slots > 1, 1 << np.ceil(np.log2(self.slots)).astype(np.int64), 0)
+        self.padded = []
+        for width in np.unique(self.group[self.group > 0]):
+            members, slot = np.flatnonzero(self.group == width), np.arange(width)
+            self.padded.append((width, members, np.where(slot < self.slots[members, None], self.first[members, None] + slot,
+                                                         int(self.slots.sum()))))
+        # Where each class comes when groups lie together (a short type, which sorts faster).
+        self.place = np.argsort(np.argsort(self.group, kind="stable")).astype(np.uint16)
         self.inputs = int(self.slots.sum()) + 1  # each slot, and the start
         self.start = self.inputs - 1
 
@@ -213,6 +221,19 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(exponentials, their sums)`` of rows, after subtracting from ``logits`` one shift for all
+    rows, or where rows lie too far apart for that, each row's largest."""
+    logits -= logits.max()
+    e = np.exp(logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if not total.min() > 1e-30:
+        logits -= logits.max(axis=1, keepdims=True)
+        e = np.exp(logits)
+        total = e @ np.ones(e.shape[1], e.dtype)
+    return e, total
+
+
 class Gru:
     """Gated recurrent network with a class-factored output, in numpy (single precision)."""
 
@@ -259,41 +280,50 @@ class Gru:
         the gradients of the mean loss and returns the one of ``h``."""
         p, lex = self.p, self.lexis
         logits = h @ p["to_class"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        e, total = _softmax(logits)
         rows = np.arange(len(k))
         out = logits[rows, k] - np.log(total)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
+            d = e
+            d /= total[:, None]
             d[rows, k] -= 1
             d /= len(k)
             grads["to_class"] += h.T @ d
-            grads["class_bias"] += d.sum(axis=0)
+            grads["class_bias"] += np.ones(len(d), d.dtype) @ d
             dh = d @ p["to_class"].T
-        order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(lex.classes + 1))
-        for c in range(lex.classes):
-            at, size = lex.first[c], lex.slots[c]
-            mine = order[cut[c]:cut[c + 1]]
-            if size < 2 or not len(mine):
+        places = lex.place[k]
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        if lex.padded:
+            padded = np.append(p["slot_bias"], np.float32(-np.inf)).astype(h.dtype)
+        for width, members, cells in lex.padded:  # classes of about the same number of slots together
+            start, stop = np.searchsorted(places, [lex.place[members[0]], lex.place[members[-1]] + 1])
+            if start == stop:
                 continue
-            cells = slice(at, at + size)
-            hm = h[mine]
-            logits = hm @ p["to_slot"][:, cells] + p["slot_bias"][cells]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
+            mine = order[start:stop]
+            km, hm = k[mine], h[mine]
+            bounds = np.searchsorted(km, np.append(members, lex.classes))
+            parts = [(slice(a, b), slice(lex.first[c], lex.first[c] + lex.slots[c]), lex.slots[c])
+                     for c, a, b in zip(members, bounds[:-1], bounds[1:], strict=True) if a < b]
+            logits = padded[cells[np.searchsorted(members, km)]]
+            for at, own, n in parts:
+                logits[at, :n] += hm[at] @ p["to_slot"][:, own]
+            e, total = _softmax(logits)
             rows = np.arange(len(mine))
             out[mine] += logits[rows, s[mine]] - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
+                d = e
+                d /= total[:, None]
                 d[rows, s[mine]] -= 1
                 d /= len(k)
-                grads["to_slot"][:, cells] += hm.T @ d
-                grads["slot_bias"][cells] += d.sum(axis=0)
-                dh[mine] += d @ p["to_slot"][:, cells].T
+                back = np.empty_like(hm)
+                for at, own, n in parts:
+                    mine_d = d[at, :n]
+                    grads["to_slot"][:, own] += hm[at].T @ mine_d
+                    grads["slot_bias"][own] += np.ones(len(mine_d), d.dtype) @ mine_d
+                    np.matmul(mine_d, p["to_slot"][:, own].T, out=back[at])
+                dh[mine] += back
         return out, dh
 
     def update(self, grads: dict, rate: float = RATE) -> None:
@@ -315,35 +345,41 @@ class Gru:
         the input is the start of a document, the state begins anew.
         """
         n, grads = self.hidden, {k_: np.zeros_like(v) for k_, v in self.p.items()}
+        steps, m = len(active), int(active[0])
+        live = np.arange(m) < np.asarray(active)[:, None]
+        x, recur = x[:, :m], self.p["recur"]
         go_on = (x != self.lexis.start).astype(h.dtype)[:, :, None]
-        saved, states = [], []
-        for t, m in enumerate(active):
-            before = h[:m] * go_on[t, :m]
-            new, *gates = self.step(x[t, :m], before)
-            saved.append((before, *gates))
-            h = np.concatenate([new, h[m:]]) if m < len(h) else new
-            states.append(new)
-        ks = np.concatenate([k[t, :m] for t, m in enumerate(active)])
-        ss = np.concatenate([s[t, :m] for t, m in enumerate(active)])
-        _, dout = self.outputs(np.concatenate(states), ks, ss, grads)
-        ends = np.cumsum(active)
-        carry = np.zeros_like(h)
-        pre = []
-        for t in range(len(active) - 1, -1, -1):
-            m = active[t]
-            before, z, r, c, u = saved[t]
-            d = carry[:m] + dout[ends[t] - m:ends[t]]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            inner = np.concatenate([dz, dr, dc * r], axis=1)
-            grads["recur"] += before.T @ inner
-            carry[:m] = (d * z + inner @ self.p["recur"].T) * go_on[t, :m]
-            pre.append((x[t, :m], np.concatenate([dz, dr, dc], axis=1)))
-        ids = np.concatenate([a for a, _ in pre])
-        flat = np.concatenate([b for _, b in pre])
-        for j in range(3 * n):
-            grads["embed"][:, j] += np.bincount(ids, flat[:, j], self.lexis.inputs)
+        begins = ~go_on.all(axis=(1, 2))
+        inputs = self.p["embed"][x]
+        before, z, r, c, u = (np.empty((steps, m, n), h.dtype) for _ in range(5))
+        states = np.empty((steps, m, n), h.dtype)
+        for t in range(steps):  # streams that have ended go on with steps that nothing depends on
+            was = states[t - 1] if t else h[:m]
+            before[t] = was * go_on[t] if begins[t] else was
+            states[t], z[t], r[t], c[t], u[t] = self.advance(inputs[t], before[t])
+        _, dlive = self.outputs(states[live], k[:, :m][live], s[:, :m][live], grads)
+        dout = np.zeros_like(states)
+        dout[live] = dlive
+        to_c = (1 - z) * (1 - c * c)
+        # of the state's gradient, what the three recurrent inputs get
+        share = np.stack([(before - c) * z * (1 - z), to_c * u * r * (1 - r), to_c * r], axis=2)
+        inner = np.empty((steps, m, 3, n), h.dtype)
+        carry, back = np.zeros((m, n), h.dtype), np.ascontiguousarray(recur.T)
+        for t in range(steps - 1, -1, -1):
+            d = dout[t]
+            d += carry
+            np.multiply(d[:, None], share[t], out=inner[t])
+            carry = d * z[t] + inner[t].reshape(m, 3 * n) @ back
+            if begins[t]:
+                carry *= go_on[t]
+        flat = inner.reshape(steps * m, 3 * n)
+        grads["recur"] += before.reshape(steps * m, n).T @ flat
+        flat[:, 2 * n:] = (dout * to_c).reshape(steps * m, n)
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.uint16) if self.lexis.inputs < 1 << 16 else ids, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+        grads["embed"][ids[order][cut]] = np.add.reduceat(flat[order], cut, axis=0)
+        h = np.concatenate([states[-1], h[m:]]) if m < len(h) else states[-1]
         self.update(grads)
         return h
 
@@ -446,7 +482,7 @@ def fit(blocks: DataFrame, lexis: Lexis, rounds: int = ROUNDS) -> np.ndarray:
             for b in batches:
                 for i in range(b.num_rows):
                     sizes = b.column("sizes")[i].values.to_numpy()
-                    chosen = np.flatnonzero(b.column("trains")[i].values.to_numpy(zero_copy_only=False))
+                    chosen = np.flatnonzero(~b.column("held")[i].values.to_numpy(zero_copy_only=False))
                     chosen = chosen[np.arange(len(chosen)) % rounds == number]
                     if len(chosen):  # else nothing to learn here
                         docs = Documents(shared.value, b.column("words")[i].values.to_pylist(),
@@ -469,7 +505,7 @@ def fit(blocks: DataFrame, lexis: Lexis, rounds: int = ROUNDS) -> np.ndarray:
                                                   "flat": pa.array([(total[p] / tokens[p]).astype(np.float32) for p in total],
                                                                    pa.list_(pa.float32()))})
         schema = "part int, tokens long, flat array<float>"
-        trained = blocks.select("sizes", "trains", "words", "stream").mapInArrow(run, schema)
+        trained = blocks.select("sizes", "held", "words", "stream").mapInArrow(run, schema)
         got = trained.repartition(32, "part").mapInArrow(average, schema).toPandas()
         if len(got):
             n = got["tokens"].to_numpy(dtype=float)
@@ -489,8 +525,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     held = (fold_of(F.col(id_col), folds) == held_fold).alias("held")
-    trains = ~held & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(TRAIN_SHARE)) == 0)
-    texts = id_text(docs, id_col, text_col, held, trains.alias("trains")).withColumn("text", F.col("text").cast("binary"))
+    texts = id_text(docs, id_col, text_col, held).withColumn("text", F.col("text").cast("binary"))
     blocks = stage(token_blocks(texts))
     size = blocks.agg(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w))),
                       F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
