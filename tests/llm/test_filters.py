@@ -154,6 +154,12 @@ def test_novelty_tells_keys_from_names():
     assert novelty.spans(secret, [(a, 0, b)]) == []
 
 
+def test_long_secrets_are_whole():
+    rng = random.Random(3)
+    long = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(6000))
+    assert S.Novelty(b"").spans(f"bearer {long} end", []) == [(7, 3, 6007)]
+
+
 def test_secret_rows(spark):
     rows = [*C.edge_rows(), (50, f"a password={KEY}"), (51, f"bearer {KEY}")]
     got = {r.doc_id: r for r in S.secret_spans(C.frame(spark, rows)).collect()}

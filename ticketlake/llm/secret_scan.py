@@ -22,7 +22,7 @@ IDENTIFIERS = 8_192
 DICTIONARY_BYTES = 64 << 10
 # Characters of surroundings on each side, and between a sensitive word and its candidate.
 AROUND, REACH = 256, 40
-LEAST_CHARS, MOST_CHARS = 12, 4096
+LEAST_CHARS = 12
 # Added bytes a character from which a candidate is incompressible.
 NOVELTY = 0.6
 
@@ -36,7 +36,7 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|credential|bearer|auth)",
                        re.ASCII)
 SENSITIVE_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~-]{" + f"{LEAST_CHARS},{MOST_CHARS}}}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~-]{" + f"{LEAST_CHARS},}}")
 # Letters only: a key that many copies repeat must not become a known word.
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,40}").findall
 
@@ -71,7 +71,7 @@ class Novelty:
             return []
         out, done = [], 0
         for place in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(place.end(), done), min(len(text), place.end() + REACH + MOST_CHARS)):
+            for m in CANDIDATE.finditer(text, max(place.end(), done)):
                 a, b = m.span()
                 if a - place.end() > REACH or "\n" in text[place.end():a]:
                     break
