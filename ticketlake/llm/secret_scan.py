@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and zstandard novelty of strings in sensitive places (operator 4).
 
-Beside the three fixed kinds, every string that stands shortly after a sensitive word is a
-candidate.  Its novelty is its marginal compressed size: the bytes that it adds to its
+Beside the three fixed kinds, every string that stands near a sensitive word, before or after it
+and on any line, is a candidate, and so is what follows a reported string without a word between.  Its novelty is its marginal compressed size: the bytes that it adds to its
 surroundings when both are compressed with a dictionary of the corpus' own identifiers.
 Names and prose nearly vanish in that, keys and passwords do not; candidates that stay
 almost as long as they are get reported.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ticketlake.llm.common import documents, frequent_terms, id_text, map_texts,
 # Identifiers that hold at least 1/IDENTIFIERS of all occurrences prime the compressor (at most DICTIONARY_BYTES).
 IDENTIFIERS = 8_192
 DICTIONARY_BYTES = 64 << 10
-# Characters of surroundings on each side, and between a sensitive word and its candidate.
+# Characters of surroundings on each side; characters that are not blank between a sensitive word and its candidate.
 AROUND, REACH = 256, 40
 LEAST_CHARS = 12
 # Added bytes a character from which a candidate is incompressible.
@@ -33,10 +34,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 
-SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|credential|bearer|auth)",
+SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|credential|bearer|auth)",
                        re.ASCII)
 SENSITIVE_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~-]{" + f"{LEAST_CHARS},}}")
+# What may stand between the lines of one secret.
+BETWEEN = " \t\r\n\"'\\,"
 # Letters only: a key that many copies repeat must not become a known word.
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,40}").findall
 
@@ -69,20 +72,37 @@ class Novelty:
         low = text.lower()
         if not any(h in low for h in SENSITIVE_HINTS):
             return []
-        out, done = [], 0
-        for place in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(place.end(), done)):
-                a, b = m.span()
-                if a - place.end() > REACH or "\n" in text[place.end():a]:
-                    break
-                if any(s < b and a < e for s, _, e in known):
-                    continue
-                done = b
-                if self.added(text, a, b) >= NOVELTY * (b - a):
-                    out.append((a, 3, b))
+        places = [m.span() for m in SENSITIVE.finditer(text)]
+        if not places:
+            return []
+        starts, ends = zip(*places, strict=True)
+        out, last = [], None
+
+        def reported(a: int, b: int) -> bool:
+            if b - a < LEAST_CHARS or any(s < b and a < e for s, _, e in known) or self.added(text, a, b) < NOVELTY * (b - a):
+                return False
+            out.append((a, 3, b))
+            return True
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            i, j = bisect_right(ends, a), bisect_left(starts, b)  # words before it, and the first after it
+            inside = i < j
+            whole = ((last is not None and not text[last:a].strip(BETWEEN)) or (i > 0 and near(text, ends[i - 1], a))
+                     or (not inside and j < len(starts) and near(text, b, starts[j])))
+            found = whole and reported(a, b)
+            if not found and inside:  # a word within the string: what stands before and after it
+                found = reported(a, starts[i])
+                found = reported(ends[i], b) or found
+            if found:
+                last = out[-1][2]
         return out
 
 
+def near(text: str, start: int, end: int) -> bool:
+    """Whether few enough characters that are not blank lie between."""
+    return end - start <= AROUND and sum(map(len, text[start:end].split())) <= REACH
+
+
 def join_spans(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
