@@ -48,3 +48,18 @@ def test_text_classifier_separates(spark):
     df = spark.createDataFrame(rows, "t string, c string")
     out = ca.fit_text_classifier(df, "t", "c", features=256, iterations=10)(df).collect()
     assert all(r.label == r.c for r in out)
+
+
+def test_text_classifier_reads_characters(spark):
+    # no word or pair of words occurs in two rows, only parts of words do
+    rows = [(f"{w}{chr(97 + i)}{chr(97 + i // 2)}", c) for w, c in (("printer", "device"), ("invoice", "money")) for i in range(20)]
+    df = spark.createDataFrame([(t, c, i % 4 == 0) for i, (t, c) in enumerate(rows)] + [("unlabelled", None, False)],
+                               "t string, c string, test boolean")
+    out = ca.fit_text_classifier(df.where("NOT test"), "t", "c", features=4096)(df.where("test")).collect()
+    assert len(out) == 10 and all(r.label == r.c for r in out)
+
+
+def test_text_classifier_has_every_label_axis(spark):
+    from ticketlake.plans.q_features import q_tier1_logreg
+    out = q_tier1_logreg(spark, "/root/testdata/sf0.001").collect()
+    assert out and all(r.label and r.priority_label and 0 < r.priority_confidence <= 1 for r in out)

@@ -7,13 +7,14 @@ number of digits) or through ``pyspark.ml``; applying them is a column expressio
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.operators.features import argmax_label, class_weights, softmax, word_terms
+from ticketlake.operators.features import argmax_label, char_terms, class_weights, softmax, word_terms
 from ticketlake.session import cut_lineage
 
 # Temperatures from 0.5 to 5 in steps of 0.05.
@@ -65,22 +66,37 @@ def apply_isotonic(df: DataFrame, knots: DataFrame, score: str, digits: int = 3)
 
 
 def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, features: int = 1 << 15, iterations: int = 20):
-    """TF-IDF of word 1- and 2-grams into multinomial logistic regression with balanced class
-    weights.  Returns a function ``df -> df`` that adds ``label`` and ``confidence``."""
+    """TF-IDF of word 1- and 2-grams beside that of character 3- to 5-grams, each hashed to
+    ``features`` columns and of length 1, into multinomial logistic regression with balanced class
+    weights.  Rows without a label do not train.  Returns a function ``df -> df`` that adds
+    ``label`` and ``confidence``."""
+    train = train.where(F.col(label_col).isNotNull())
     labels = [r[0] for r in train.select(label_col).distinct().orderBy(label_col).collect()]  # the label domain
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)) - 1
-    tf = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=features)
+    blocks = {"_word": word_terms, "_char": char_terms}
 
     def counted(df):
-        return tf.transform(df.withColumn("_terms", word_terms(F.col(text_col))))
+        for name, terms in blocks.items():
+            tf = HashingTF(inputCol=f"{name}_terms", outputCol=name, numFeatures=features)
+            df = tf.transform(df.withColumn(f"{name}_terms", terms(F.col(text_col)))).drop(f"{name}_terms")
+        return df
     rows = class_weights(counted(train).withColumn("_y", index.cast("double")), label_col)
-    rows = cut_lineage(rows.select("_tf", "_y", "weight"))  # every iteration reads it
-    idf = IDF(inputCol="_tf", outputCol="features").fit(rows)
+    rows = cut_lineage(rows.select(*blocks, "_y", "weight"))  # every iteration reads it
+    scales = {}
+    for name in blocks:
+        idf = IDF(inputCol=name).fit(rows)  # without the 1 that every known term has; unknown terms count nothing
+        scales[name] = Vectors.dense([x + 1 if n else 0.0 for x, n in zip(idf.idf.toArray().tolist(), idf.docFreq, strict=True)])
+
+    def union(df):
+        for name, scale in scales.items():
+            df = ElementwiseProduct(scalingVec=scale, inputCol=name, outputCol=f"{name}_idf").transform(df)
+            df = Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_unit").transform(df)
+        return VectorAssembler(inputCols=[f"{name}_unit" for name in scales], outputCol="features").transform(df)
     model = LogisticRegression(labelCol="_y", weightCol="weight", maxIter=iterations, regParam=1e-3,
-                               family="multinomial").fit(idf.transform(rows))
+                               family="multinomial").fit(union(rows).select("features", "_y", "weight"))
 
     def predict(df: DataFrame) -> DataFrame:
-        scored = model.transform(idf.transform(counted(df)))
+        scored = model.transform(union(counted(df)))
         label, conf = argmax_label(vector_to_array("probability"), labels)
         return scored.select(*df.columns, label.alias("label"), conf.alias("confidence"))
     return predict

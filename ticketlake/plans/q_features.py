@@ -159,12 +159,16 @@ def q_isotonic_apply(spark, sf):
 
 @fam.add("tier1_logreg")
 def q_tier1_logreg(spark, sf):
-    """the language of a document from its text, learned on the training split of F8."""
-    t = lg.tickets(spark, sf)
-    split = fe.stratified_split(t.select("ticket_id", "category"), "category", "ticket_id").select("ticket_id", "split")
+    """language and priority of a document from its text, each learned on the training split of F8."""
+    t = lg.tickets(spark, sf, with_priority=True)
+    split = fe.stratified_split(lg.tickets(spark, sf).select("ticket_id", "category"), "category", "ticket_id").select("ticket_id", "split")
     rows = t.join(split, "ticket_id")
-    predict = ca.fit_text_classifier(rows.where("split = 'train'"), "description", "category")
-    return predict(rows.where("split = 'test'").select("ticket_id", "category", "description")).drop("description")
+    train, out = rows.where("split = 'train'"), rows.where("split = 'test'").drop("split")
+    for axis in ("category", "priority"):
+        predict = ca.fit_text_classifier(train, "description", axis)
+        out = predict(out).withColumnsRenamed({c: f"{axis}_{c}" for c in ("label", "confidence")})
+    return out.select("ticket_id", "category", F.col("category_label").alias("label"), F.col("category_confidence").alias("confidence"),
+                      "priority", "priority_label", "priority_confidence")
 
 
 @fam.add("linear_head")
