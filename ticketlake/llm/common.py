@@ -56,6 +56,32 @@ def small_side(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_RO
     return F.broadcast(df) if n <= bound else df.hint("shuffle_hash")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder name beside the tables of ``stage``, for outputs of several tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/ticketlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def join_copies(rows: DataFrame, side: DataFrame, key: str, how: str, total: int,
+                bound: int = BROADCAST_ROWS, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with the staged ``side (key, copies, ...)``, one row a key, on a key that may be hot.
+
+    A side of at most ``bound`` narrow rows is broadcast.  Of a larger one, keys that hold at
+    least 1/``hot`` of the ``total`` rows, at most ``hot`` of them, are broadcast, and only the
+    rows of other keys are shuffled.  ``how``: left, left_semi or left_anti.
+    """
+    if how != "left":
+        side = side.select(key, "copies")
+    if side.count() <= bound:
+        return rows.join(F.broadcast(side), key, how)
+    often = F.col("copies") * F.lit(hot) >= F.lit(total)
+    many, few = side.where(often), side.where(~often)
+    rest = (rows.join(F.broadcast(many.select(key)), key, "left_anti")
+            .join(few.hint("shuffle_hash"), key, how))
+    if how == "left_anti":
+        return rest
+    return rows.join(F.broadcast(many), key, "inner" if how == "left" else how).unionByName(rest)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
     """Run a batch function over ``(doc_id, text)`` rows.
 

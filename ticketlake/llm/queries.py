@@ -16,6 +16,7 @@ from ticketlake.llm.simhash import op8_simhash_trie
 from ticketlake.llm.suffix_dedup import op10_suffix_repeats
 from ticketlake.llm.token_counts import op7_prefix_counts
 from ticketlake.llm.toxicity import op9_toxicity_chain
+from ticketlake.llm.warc import OP11_SQL, op11_warc_addressed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_warc_addressed": op11_warc_addressed,
 }
 
 QUERY_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op11_warc_addressed": OP11_SQL,
 }
