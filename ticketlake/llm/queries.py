@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketlake.llm.bpe_lexicon import op1_bpe_lexicon
 from ticketlake.llm.decontaminate import op5_decontaminate
 from ticketlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from ticketlake.llm.importance import op12_importance_draw
 from ticketlake.llm.lm_score import op3_gru_score
 from ticketlake.llm.quality import op6_quality_ftrl
 from ticketlake.llm.secret_scan import op4_secret_novelty
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_suffix_repeats": op10_suffix_repeats,
     "op11_warc_addressed": op11_warc_addressed,
+    "op12_importance_draw": op12_importance_draw,
 }
 
 QUERY_SQL: dict[str, str] = {
