@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketlake.llm.bpe_lexicon import op1_bpe_lexicon
 from ticketlake.llm.decontaminate import op5_decontaminate
 from ticketlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from ticketlake.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from ticketlake.llm.importance import op12_importance_draw
 from ticketlake.llm.lm_score import op3_gru_score
 from ticketlake.llm.quality import op6_quality_ftrl
@@ -32,9 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_repeats": op10_suffix_repeats,
     "op11_warc_addressed": op11_warc_addressed,
     "op12_importance_draw": op12_importance_draw,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 QUERY_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op11_warc_addressed": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
