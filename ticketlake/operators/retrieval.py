@@ -14,15 +14,16 @@ addition order differs between partitions rank identically.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.text import tokenize
+from ticketlake.operators import lexical_index as lx
 from ticketlake.operators.completions import ABSTAIN_RESPONSE_TEXT
-from ticketlake.session import cut_lineage
+from ticketlake.session import checkpoint_dir, cut_lineage
 
 ROUND = 9
 # BM25 (Okapi) parameters, RRF constant, pipeline sizes, gate threshold.
@@ -47,75 +48,17 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 # K4-K6: BM25
 # ---------------------------------------------------------------------------------
 
-class BM25Index(NamedTuple):
-    postings: DataFrame  # term, chunk_id, tf, dl
-    idf: DataFrame       # term, df, idf
-    totals: DataFrame    # n_docs, avgdl, mean_idf (one row)
-
-
 def bm25_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
-               epsilon: float = BM25_EPSILON) -> BM25Index:
-    """K4: postings with term frequency and chunk length, document frequency,
-    Okapi idf ``ln(N - df + 0.5) - ln(df + 0.5)`` with negative values floored
-    at ``epsilon`` times the mean idf of the vocabulary."""
-    toks = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text_col)).alias("toks"))
-    lengths = toks.select("chunk_id", F.size("toks").cast("long").alias("dl"))
-    postings = (toks.select("chunk_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
-                .groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
-    n = lengths.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    dfreq = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = attach_scalars(dfreq, n.select("n_docs")).select(
-        "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf_raw"))
-    mean = raw.agg(F.avg("idf_raw").alias("mean_idf"))
-    idf = attach_scalars(raw, mean).select(
-        "term", "df", F.when(F.col("idf_raw") < 0, F.lit(epsilon) * F.col("mean_idf"))
-        .otherwise(F.col("idf_raw")).alias("idf"))
-    totals = attach_scalars(n, mean)
-    return BM25Index(postings, idf, totals)
-
-
-def query_terms(queries: DataFrame, qid: str = "query_id", text_col: str = "text") -> DataFrame:
-    """Query tokens with their multiplicity (a repeated token counts again)."""
-    return (queries.select(F.col(qid).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term"))
-            .groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
-
-
-def bm25_score(queries: DataFrame, index: BM25Index, qid: str = "query_id", text_col: str = "text",
-               k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """K5: Okapi scores of every chunk sharing a term with the query.
-
-    Query terms join the inverted lists on ``term``: only matching postings are
-    touched.  Hot terms are split by AQE's skew-join handling; the
-    ``(query, chunk)`` sum is partially aggregated before its shuffle.
-    """
-    qt = query_terms(queries, qid, text_col).join(index.idf.select("term", "idf"), "term")
-    j = attach_scalars(qt.join(index.postings, "term"), index.totals.select("avgdl"))
-    tf, dl = F.col("tf"), F.col("dl")
-    contrib = (F.col("qtf") * F.col("idf") * (tf * (k1 + 1))
-               / (tf + k1 * (1 - b + b * dl / F.col("avgdl"))))
-    return j.groupBy("query_id", "chunk_id").agg(F.sum(contrib).alias("score"))
-
+               epsilon: float = BM25_EPSILON) -> lx.LexicalIndex:
+    """K4: a stored index of the chunks in the shared checkpoint folder."""
+    path = f"{checkpoint_dir(chunks.sparkSession).rstrip('/')}/lexical-index-{uuid.uuid4().hex}"
+    return lx.build_index(chunks, path, epsilon, id_col, text_col)
 
-def _pad_and_rank(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int,
-                  id_desc: bool, pad: bool) -> DataFrame:
-    """Top-k per query; chunks that share nothing with the query score 0 and pad
-    the list (as a full-corpus scorer would), up to ``min(k, corpus size)``.
 
-    The padding candidates are the k first chunk ids in tie order (a bounded
-    global top-k, broadcast); each query receives at most k of them.
-    """
-    scored = scores.select("query_id", "chunk_id", F.round("score", ROUND).alias("score"))
-    if pad:
-        order = F.col("chunk_id").desc() if id_desc else F.col("chunk_id").asc()
-        fill = chunks.select("chunk_id").orderBy(order).limit(k)
-        first = fill.agg(F.collect_list("chunk_id").alias("ids"))  # k ids at most
-        cand = attach_scalars(queries.select("query_id"), first).select("query_id", F.explode("ids").alias("chunk_id"))
-        cand = (cand.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-                .withColumn("score", F.lit(0.0)))
-        scored = scored.unionByName(cand)
-    tie = F.col("chunk_id").desc() if id_desc else F.col("chunk_id").asc()
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie)
-    return _first(scored, w, "rank", k)
+def bm25_score(queries: DataFrame, index: lx.LexicalIndex, qid: str = "query_id", text_col: str = "text",
+               k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """K5: Okapi scores of every chunk that shares a term with the query."""
+    return lx.search(queries, index, (lx.BM25,), None, qid=qid, text_col=text_col, k1=k1, b=b).drop("kind")
 
 
 def _first(df: DataFrame, w, name: str, k: int) -> DataFrame:
@@ -125,35 +68,18 @@ def _first(df: DataFrame, w, name: str, k: int) -> DataFrame:
               .withColumn(name, F.col(name) - 1))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, index: BM25Index | None = None, k: int = RECALL_TOP_K,
+def bm25_topk(queries: DataFrame, chunks: DataFrame, index: lx.LexicalIndex | None = None, k: int = RECALL_TOP_K,
               qid: str = "query_id", text_col: str = "text", pad: bool = True) -> DataFrame:
-    """K6: ``(query_id, chunk_id, rank, score)``, rank 0-based; ties: later chunk first."""
-    index = index or bm25_stats(chunks)
-    q = queries.select(F.col(qid).alias("query_id"), F.col(text_col).alias("text"))
-    return _pad_and_rank(bm25_score(q, index), q, chunks, k, id_desc=True, pad=pad)
-
-
-# ---------------------------------------------------------------------------------
-# Bag-of-words cosine (the dense retriever of the text pipeline)
-# ---------------------------------------------------------------------------------
-
-def bow_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """L2-normalised term-count vectors, long format ``(id, term, w)``."""
-    tf = (df.select(F.col(id_col).alias("id"), F.explode(tokenize(F.col(text_col))).alias("term"))
-          .groupBy("id", "term").agg(F.count("*").cast("double").alias("tf")))
-    norm = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return tf.join(norm, "id").select("id", "term", (F.col("tf") / F.col("norm")).alias("w"))
+    """K6: ``(query_id, chunk_id, rank, score)``, rank 0-based; ties: later chunk first.  With ``pad``
+    chunks that share nothing with the query take part with score 0, as for a full-corpus scorer."""
+    return lx.search(queries, index or bm25_stats(chunks), (lx.BM25,), k, pad, qid, text_col, BM25_K1, BM25_B).drop("kind")
 
 
 def bow_cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL_TOP_K, qid: str = "query_id",
-                    text_col: str = "text", pad: bool = True) -> DataFrame:
-    """Inner product of normalised vectors, sparse join on shared terms; a flat
-    index returns k results, so zero-similarity chunks pad (lowest id first)."""
-    qv = bow_vectors(queries, qid, text_col).withColumnRenamed("id", "query_id").withColumnRenamed("w", "wq")
-    cv = bow_vectors(chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id").withColumnRenamed("w", "wc")
-    scores = qv.join(cv, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
-    q = queries.select(F.col(qid).alias("query_id"))
-    return _pad_and_rank(scores, q, chunks, k, id_desc=False, pad=pad)
+                    text_col: str = "text", pad: bool = True, index: lx.LexicalIndex | None = None) -> DataFrame:
+    """Inner product of length-1 term-count vectors (the dense retriever of the text pipeline) over the
+    same index; ties: earlier chunk first, as a flat index returns them."""
+    return lx.search(queries, index or bm25_stats(chunks), (lx.COSINE,), k, pad, qid, text_col).drop("kind")
 
 
 # ---------------------------------------------------------------------------------
@@ -302,23 +228,21 @@ def with_chunk_meta(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 def two_stage_retrieve(queries: DataFrame, chunks: DataFrame, qid: str = "query_id", text_col: str = "text",
                        recall_k: int = RECALL_TOP_K, rrf_k: int = RRF_K, rrf_top_n: int = RRF_TOP_N,
                        final_k: int = FINAL_TOP_K, scorer: Callable[[Column, Column], Column] = lexical_overlap,
-                       index: BM25Index | None = None, original_col: str | None = None) -> DataFrame:
+                       index: lx.LexicalIndex | None = None) -> DataFrame:
     """Per query text, a BM25 list and a cosine list -> RRF -> rerank.
 
     ``queries`` may hold several texts per query id (expansions) with a
     ``query_no``; lists are numbered ``2*query_no`` (BM25) and ``2*query_no+1``
     (cosine), matching the order in which the lists are produced.  The rerank
-    always uses the original text (``query_no = 0``, or ``original_col``).
+    always uses the original text (``query_no = 0``).  The index is read once for both lists.
     """
     q = queries.select(F.col(qid).alias("query_id"),
                        (F.col("query_no") if "query_no" in queries.columns else F.lit(0)).alias("query_no"),
                        F.col(text_col).alias("text"))
     sub = q.select(F.struct("query_id", "query_no").alias("query_id"), "text")
-    lex = bm25_topk(sub, chunks, index=index, k=recall_k)
-    cos = bow_cosine_topk(sub, chunks, k=recall_k)
-    lists = (lex.withColumn("kind", F.lit(0)).unionByName(cos.withColumn("kind", F.lit(1)))
-             .select(F.col("query_id.query_id").alias("query_id"),
-                     (F.col("query_id.query_no") * 2 + F.col("kind")).alias("list_no"), "rank", "chunk_id"))
+    found = lx.search(sub, index or bm25_stats(chunks), (lx.BM25, lx.COSINE), recall_k, k1=BM25_K1, b=BM25_B)
+    lists = found.select(F.col("query_id.query_id").alias("query_id"),
+                         (F.col("query_id.query_no") * 2 + F.col("kind")).alias("list_no"), "rank", "chunk_id")
     fused = rrf_fusion(lists, rrf_k, rrf_top_n)
     originals = q.where(F.col("query_no") == 0).select("query_id", F.col("text").alias("query_text"))
     cand = with_chunk_meta(fused, chunks).join(originals, "query_id")
@@ -330,6 +254,11 @@ def two_stage_retrieve(queries: DataFrame, chunks: DataFrame, qid: str = "query_
 # Gate and records
 # ---------------------------------------------------------------------------------
 
+def has_text(text: Column) -> Column:
+    """A ticket without text is not searched for."""
+    return F.coalesce(F.trim(text), F.lit("")) != ""
+
+
 def abstention_gate(queries: DataFrame, reranked: DataFrame, threshold: float = GATE_THRESHOLD,
                     qid: str = "query_id") -> DataFrame:
     """No chunks -> abstain (score 0, ``no_chunks_retrieved``); best score below

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import text as tx
 from ticketlake.operators import chunking as ck
+from ticketlake.operators import lexical_index as lx
 from ticketlake.operators import retrieval as rt
 from ticketlake.plans.common import Family, docs
 from ticketlake.session import cut_lineage
@@ -47,13 +48,13 @@ def sql_paragraphs(text: str) -> str:
 SQL_CHUNK_LISTS = (f"list_filter(flatten(list_transform({sql_paragraphs('text')}, lambda p: {sql_pack('p')})), "
                    f"lambda c: len({sql_words('c')}) >= {ck.MIN_CHUNK_WORDS})")
 
-KB_CHUNKS_SQL = f"""kb_chunks AS (
+KB_CHUNKS_SQL = f"""kb_chunks AS MATERIALIZED (
   SELECT doc_id * {ck.CHUNK_ID_STRIDE} + pos - 1 AS chunk_id, doc_id, CAST(pos - 1 AS BIGINT) AS chunk_no, source, text
   FROM (SELECT doc_id, source, unnest(cs) AS text, generate_subscripts(cs, 1) AS pos
         FROM (SELECT doc_id, source, {SQL_CHUNK_LISTS} AS cs FROM documents)))"""
 
-BM25_SQL = f"""toks AS (SELECT chunk_id, {sql_tokens('text')} AS toks FROM kb_chunks),
-postings AS (
+BM25_SQL = f"""toks AS MATERIALIZED (SELECT chunk_id, {sql_tokens('text')} AS toks FROM kb_chunks),
+postings AS MATERIALIZED (
   SELECT term, chunk_id, dl, count(*) AS tf
   FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM toks) GROUP BY term, chunk_id, dl),
 ntot AS (SELECT count(*) AS n_docs, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS avgdl FROM toks),
@@ -246,11 +247,8 @@ PIPE_SQL = with_all(KB_CHUNKS_SQL, BM25_SQL, QUERIES_SQL, BM25_SCORE_SQL, COS_SQ
 def _fused(spark, sf):
     q = bench_queries(spark, sf)
     chunks = kb(spark, sf)
-    lex = rt.bm25_topk(q, chunks)
-    cos = rt.bow_cosine_topk(q, chunks)
-    lists = (lex.withColumn("list_no", F.lit(0)).unionByName(cos.withColumn("list_no", F.lit(1)))
-             .select("query_id", "list_no", "rank", "chunk_id"))
-    return q, chunks, rt.rrf_fusion(lists)
+    found = lx.search(q, rt.bm25_stats(chunks), (lx.BM25, lx.COSINE))
+    return q, chunks, rt.rrf_fusion(found.select("query_id", F.col("kind").alias("list_no"), "rank", "chunk_id"))
 
 
 @fam.add("rrf_fusion", PIPE_SQL + "SELECT query_id, chunk_id, rrf_score, fusion_rank FROM fused_top")
@@ -273,9 +271,8 @@ def q_two_stage_retrieve(spark, sf):
 
 # ---- K14-K16 ---------------------------------------------------------------------------------
 
-GATE_SQL = f"""kept AS (SELECT * FROM reranked WHERE query_id % 7 <> 0),
-per_q AS (SELECT query_id, max(coalesce(rerank_score, 0.0)) AS mx, count(*) AS n,
-                 list(coalesce(source, '') ORDER BY rank) AS sources FROM kept GROUP BY query_id),
+GATE_SQL = f"""per_q AS (SELECT query_id, max(coalesce(rerank_score, 0.0)) AS mx, count(*) AS n,
+                 list(coalesce(source, '') ORDER BY rank) AS sources FROM reranked GROUP BY query_id),
 gated AS (
   SELECT q.query_id, (p.n IS NULL OR p.mx < {rt.GATE_THRESHOLD}) AS should_abstain,
          CASE WHEN p.n IS NULL THEN 0.0 ELSE p.mx END AS max_score,
@@ -287,9 +284,7 @@ gated AS (
 
 def _gated(spark, sf):
     q = bench_queries(spark, sf)
-    # every 7th ticket has no text here: it is not searched for and has no chunks
-    asked = q.withColumn("text", F.when(F.col("query_id") % 7 == 0, F.lit("")).otherwise(F.col("text"))).where("text <> ''")
-    return q, rt.abstention_gate(q, rt.two_stage_retrieve(asked, kb(spark, sf)))
+    return q, rt.abstention_gate(q, rt.two_stage_retrieve(q.where(rt.has_text(F.col("text"))), kb(spark, sf)))
 
 
 @fam.add("abstention_gate", PIPE_SQL.rstrip() + ",\n" + GATE_SQL + """
@@ -311,10 +306,9 @@ def q_gate_output(spark, sf):
 
 @fam.add("retrieval_fallbacks", PIPE_SQL.rstrip() + ",\n" + GATE_SQL + """,
 st AS (
-  SELECT g.query_id, CASE WHEN g.query_id % 9 = 0 THEN '' ELSE q.text END AS cleaned_text,
-         CASE WHEN g.should_abstain THEN g.sources END AS top_3_sources,
-         CASE WHEN g.query_id % 4 = 0 THEN 0.0 ELSE g.max_score END AS retrieval_max_score,
-         g.sources AS chunk_sources, g.max_score AS chunk_max_score, g.should_abstain AS abstain_flag
+  SELECT g.query_id, q.text AS cleaned_text, CASE WHEN g.should_abstain THEN g.sources END AS top_3_sources,
+         g.max_score AS retrieval_max_score, g.sources AS chunk_sources, g.max_score AS chunk_max_score,
+         g.should_abstain AS abstain_flag
   FROM gated g JOIN bq q USING (query_id))
 SELECT query_id,
        CASE WHEN coalesce(trim(cleaned_text), '') = '' THEN []::VARCHAR[]
@@ -328,10 +322,8 @@ FROM st""")
 def q_retrieval_fallbacks(spark, sf):
     q, g = _gated(spark, sf)
     st = g.join(q, "query_id").select(
-        "query_id",
-        F.when(F.col("query_id") % 9 == 0, F.lit("")).otherwise(F.col("text")).alias("cleaned_text"),
+        "query_id", F.col("text").alias("cleaned_text"),
         F.when(F.col("should_abstain"), F.col("sources")).alias("top_3_sources"),
-        F.when(F.col("query_id") % 4 == 0, F.lit(0.0)).otherwise(F.col("max_score")).alias("retrieval_max_score"),
-        F.col("sources").alias("chunk_sources"), F.col("max_score").alias("chunk_max_score"),
-        F.col("should_abstain").alias("abstain_flag"))
+        F.col("max_score").alias("retrieval_max_score"), F.col("sources").alias("chunk_sources"),
+        F.col("max_score").alias("chunk_max_score"), F.col("should_abstain").alias("abstain_flag"))
     return rt.retrieval_fallbacks(st).select("query_id", "final_sources", "final_max_score", "final_abstain")
