@@ -5,10 +5,11 @@ One ``scrub_table`` transform serves batch and streaming input alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.functions import text as tx
+from ticketlake.session import cut_lineage
 
 STRUCTURED_MASKS = {
     "Customer Name": "[REDACTED_PERSON]",
@@ -46,17 +47,110 @@ def redact_entities(col: Column, gazetteer: dict[str, list[str]]) -> Column:
     return out
 
 
-def entity_hit_count(col: Column, gazetteer: dict[str, list[str]]) -> Column:
-    cur = col
-    total = F.lit(0)
-    for label in ("PERSON", "ORG", "GPE", "LOC"):
-        names = gazetteer.get(label) or []
-        if not names:
-            continue
-        pat = entity_pattern(names)
-        total = total + F.coalesce(F.regexp_count(cur, F.lit(pat)), F.lit(0))
-        cur = F.regexp_replace(cur, pat, tx._java_replacement(tx.REDACTION_TAGS[label]))
-    return total
+ENTITY_LABELS = ("PERSON", "ORG", "GPE", "LOC")
+# Names that may be broadcast, and the parts into which a hot key is dealt beyond that.
+BROADCAST_NAMES = 1_000_000
+NAME_SALTS = 16
+
+# A text as units: runs of word characters, runs of blanks, single other characters.
+_UNITS = r"([\p{L}\p{N}_]+|[ \t\n\x0B\f\r]+|[\s\S])"
+
+
+def gazetteer_table(spark: SparkSession, gazetteer: dict[str, list[str]]) -> DataFrame:
+    """A dictionary of names as the table ``(label, name)``."""
+    rows = [(label, n) for label, names in gazetteer.items() for n in names]
+    return spark.createDataFrame(rows, "label string, name string")
+
+
+def _units(text: Column) -> Column:
+    """The text's units, every run of blanks as one space."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_UNITS), 1), lambda u: F.when(u.rlike(r"^[ \t\n\x0B\f\r]"), F.lit(" ")).otherwise(u))
+
+
+def _rewrite(raw: list[str] | None, found: list | None) -> tuple[str | None, int]:
+    """The text with its matches replaced.  Labels take their matches in order, each from left to
+    right, the longest first; a unit is taken once.  Time grows with units and matches only."""
+    if raw is None:
+        return None, 0
+    taken, cut = bytearray(len(raw)), {}
+    by_label: dict[int, list] = {}
+    for m in found or ():
+        by_label.setdefault(m["label_no"], []).append((m["pos"], -m["chars"], m["size"]))
+    for label in sorted(by_label):
+        for pos, _, size in sorted(by_label[label]):
+            if not any(taken[pos:pos + size]):
+                taken[pos:pos + size] = b"\1" * size
+                cut[pos] = (size, label)
+    out, at = [], 0
+    while at < len(raw):
+        if at in cut:
+            size, label = cut[at]
+            out.append(tx.REDACTION_TAGS[ENTITY_LABELS[label]])
+            at += size
+        else:
+            out.append(raw[at])
+            at += 1
+    return "".join(out), len(cut)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``(_row, _in)``: the rows as structs with a number each, written once, so that no column can clash."""
+    return cut_lineage(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"))
+                       .withColumn("_row", F.monotonically_increasing_id())).repartition("_row")
+
+
+def redact_entities_table(df: DataFrame, text_col: str, names: DataFrame, hits_col: str | None = None) -> DataFrame:
+    """P8 for a gazetteer ``(label, name)`` of any size: the rows of ``df`` with ``text_col`` redacted
+    and, if asked for, the number of names found.
+
+    Every run of units that is as long as some name is looked up in the names by an equi-join, so no
+    pattern holds a name; matches then come back to their row.  As in the pattern form names are whole
+    words, blanks inside them match any run of blanks, the longest name at the leftmost place wins, and
+    PERSON, ORG, GPE and LOC choose in this order.  Texts are shuffled once.  Rows need no key.
+    """
+    labels = F.array(*[F.lit(x) for x in ENTITY_LABELS])
+    known = (names.select((F.array_position(labels, F.col("label")) - 1).cast("int").alias("label_no"), F.col("name").alias("_name"))
+             .where((F.col("label_no") >= 0) & (F.coalesce("_name", F.lit("")) != ""))
+             .select("label_no", F.length("_name").alias("chars"), _units(F.col("_name")).alias("u"))
+             .groupBy(F.array_join("u", "").alias("key"), F.size("u").alias("size"), "label_no").agg(F.max("chars").alias("chars")))
+    known = cut_lineage(known)
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # lengths of names, not names
+    rows = _numbered(df)
+    value = F.col(f"_in.`{text_col}`")
+    raw = F.regexp_extract_all(value, F.lit(_UNITS), 1)
+    units = rows.select("_row", _units(value).alias("u"))
+    word = r"^[\p{L}\p{N}_]"
+
+    def run(i, size):
+        """The run of ``size`` units at i if it begins and ends at borders of words."""
+        def is_word(j):
+            return F.coalesce(F.get("u", j).rlike(word), F.lit(False))
+        border = (is_word(i - 1) != is_word(i)) & (is_word(i + size - 1) != is_word(i + size))
+        return F.when(border, F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_join(F.slice("u", i + 1, size), "").alias("key")))
+
+    def runs_of(size):
+        starts = F.sequence(F.lit(0), F.size("u") - size)
+        return F.when(F.size("u") >= size, F.transform(starts, lambda i: run(i, size))).otherwise(F.array())
+    lists = [runs_of(n) for n in sizes] or [F.array(F.lit(None).cast("struct<pos:int,size:int,key:string>"))]
+    runs = (units.select("_row", F.explode(F.filter(F.flatten(F.array(*lists)), lambda r: r.isNotNull())).alias("r"))
+            .select("_row", F.col("r.pos").alias("pos"), F.col("r.size").alias("size"), F.col("r.key").alias("key")))
+    on = ["key", "size"]
+    if known.count() <= BROADCAST_NAMES:
+        hits = runs.join(F.broadcast(known), on)
+    else:  # a name that is a common word is dealt to several tasks
+        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+        hits = runs.withColumn("_salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(NAME_SALTS)).cast("int")).join(
+            salted.hint("shuffle_hash"), [*on, "_salt"])
+    found = hits.groupBy("_row").agg(F.collect_list(F.struct("pos", "size", "label_no", "chars")).alias("_found"))  # one text's
+    joined = rows.join(found, "_row", "left")
+    # texts without a name are not sent to Python
+    some = joined.withColumn("_new", F.udf(_rewrite, "text string, hits int", useArrow=True)(
+        F.when(F.col("_found").isNotNull(), raw), F.col("_found")))
+    text = F.when(F.col("_found").isNotNull(), F.col("_new.text")).otherwise(value)
+    columns = [text.alias(c) if c == text_col else F.col(f"_in.`{c}`") for c in df.columns]
+    if hits_col:
+        columns.append(F.coalesce("_new.hits", F.lit(0)).cast("long").alias(hits_col))
+    return some.select(*columns)
 
 
 def scrub_full(col: Column, gazetteer: dict[str, list[str]] | None = None) -> Column:
@@ -83,7 +177,7 @@ def mask_columns(df: DataFrame, masks: dict[str, str] | None = None) -> DataFram
 
 def scrub_table(df: DataFrame, text_columns: list[str] | None = None,
                 masks: dict[str, str] | None = None,
-                gazetteer: dict[str, list[str]] | None = None,
+                gazetteer: dict[str, list[str]] | DataFrame | None = None,
                 lemma_map: Column | None = None,
                 drop_id: str | None = None,
                 age_column: str | None = "Customer Age") -> DataFrame:
@@ -91,6 +185,7 @@ def scrub_table(df: DataFrame, text_columns: list[str] | None = None,
 
     Age is bucketed, identifier columns masked, each free-text column goes
     through regex + entity redaction and then normalisation; null text passes.
+    ``gazetteer``: a dictionary of names, or a table ``(label, name)`` of any size.
     """
     text_columns = TEXT_COLUMNS if text_columns is None else text_columns
     if drop_id and drop_id in df.columns:
@@ -101,21 +196,25 @@ def scrub_table(df: DataFrame, text_columns: list[str] | None = None,
     for c in text_columns:
         if c in df.columns:
             # stage the redacted text so the normaliser reads a column, not a copy of the chain
-            df = df.withColumn(c, scrub_full(F.col(c), gazetteer))
+            if isinstance(gazetteer, DataFrame):
+                df = redact_entities_table(df.withColumn(c, tx.scrub_regex(F.col(c))), c, gazetteer)
+            else:
+                df = df.withColumn(c, scrub_full(F.col(c), gazetteer))
             df = df.withColumn(c, normalize_full(F.col(c), lemma_map))
     return df
 
 
 def scrub_stats(df: DataFrame, text_columns: list[str],
                 masks: dict[str, str] | None = None,
-                gazetteer: dict[str, list[str]] | None = None,
+                gazetteer: dict[str, list[str]] | DataFrame | None = None,
                 lemma_map: Column | None = None) -> DataFrame:
     """One-row totals: regex hits, entity hits, cells changed.
 
-    Hits are counted at each step of the chain on the already rewritten text;
+    Entities are found and counted by ``redact_entities_table``, for any number of names.  Hits are counted at each step of the chain on the already rewritten text;
     a text cell counts as changed when its final form differs from the input.
     """
     masks = STRUCTURED_MASKS if masks is None else masks
+    names = gazetteer_table(df.sparkSession, gazetteer) if isinstance(gazetteer, dict) else gazetteer
     regex_hits, ner_hits, changed = [], [], []
     for j, c in enumerate(text_columns):
         cur = f"_s{j}"
@@ -124,14 +223,9 @@ def scrub_stats(df: DataFrame, text_columns: list[str],
             df = df.withColumn(f"_h{j}_{label}", F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)))
             df = df.withColumn(cur, tx.redact(F.col(cur), label))
             regex_hits.append(F.col(f"_h{j}_{label}"))
-        for label in ("PERSON", "ORG", "GPE", "LOC"):
-            names = (gazetteer or {}).get(label) or []
-            if not names:
-                continue
-            pat = entity_pattern(names)
-            df = df.withColumn(f"_n{j}_{label}", F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)))
-            df = df.withColumn(cur, F.regexp_replace(F.col(cur), pat, tx._java_replacement(tx.REDACTION_TAGS[label])))
-            ner_hits.append(F.col(f"_n{j}_{label}"))
+        if names is not None:
+            df = redact_entities_table(df, cur, names, f"_n{j}")
+            ner_hits.append(F.col(f"_n{j}"))
         df = df.withColumn(cur, normalize_full(F.col(cur), lemma_map))
         changed.append(F.when(F.col(c).isNotNull() & (F.col(cur) != F.col(c)), 1).otherwise(0))
     for c in masks:
@@ -143,24 +237,31 @@ def scrub_stats(df: DataFrame, text_columns: list[str],
         F.sum(sum(changed, F.lit(0))).cast("long").alias("cells_changed"))
 
 
-def lemma_map_from_table(lemmas: DataFrame) -> DataFrame:
-    """Lemma dictionary ``(word, lemma)`` as a table; small ones become a map literal
-    via :func:`lemmatize_join` callers, large ones are joined on the token."""
-    return lemmas.select(F.lower("word").alias("word"), F.col("lemma"))
+def lemma_table(lemmas: DataFrame) -> DataFrame:
+    """The dictionary ``(word, lemma)`` with lower-case words, each once (the smallest lemma of several)."""
+    return (lemmas.where(F.col("word").isNotNull() & F.col("lemma").isNotNull())
+            .groupBy(F.lower("word").alias("word")).agg(F.min("lemma").alias("lemma")))
 
 
-def lemmatize_join(df: DataFrame, key: str, text_col: str, lemmas: DataFrame,
-                   out_col: str = "lemmatized") -> DataFrame:
-    """P14 for dictionaries too large to inline: explode tokens with their
-    position, equi-join the dictionary, re-assemble in order per row.
+def lemmatize_join(df: DataFrame, text_col: str, lemmas: DataFrame, out_col: str = "lemmatized") -> DataFrame:
+    """P14 for a dictionary ``(word, lemma)`` of any size: ``df`` with ``out_col``, null texts null.
 
-    The re-assembly groups by the row key, so one group is one row's tokens
-    (bounded by the text length), never a hot key of the data set.
+    Words that occur are looked up once each: the corpus's distinct words join the dictionary, and the
+    hits (few of either) come back to the texts' words by a join that is broadcast up to
+    ``BROADCAST_NAMES`` rows and salted beyond, so a frequent word is no hot key.  Rows need no key.
     """
-    toks = df.select(key, F.posexplode(tx.words(tx.strip_unicode(F.col(text_col)))).alias("pos", "word"))
-    joined = toks.join(lemma_map_from_table(lemmas), "word", "left")
-    rebuilt = (joined.groupBy(key)
+    rows, value = _numbered(df), F.col(f"_in.`{text_col}`")
+    toks = rows.select("_row", F.posexplode(tx.words(tx.strip_unicode(value))).alias("pos", "word"))
+    known = cut_lineage(toks.select("word").distinct().join(lemma_table(lemmas), "word"))
+    if known.count() <= BROADCAST_NAMES:
+        joined = toks.join(F.broadcast(known), "word", "left")
+    else:
+        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+        joined = toks.withColumn("_salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(NAME_SALTS)).cast("int")).join(
+            salted.hint("shuffle_hash"), ["word", "_salt"], "left")
+    rebuilt = (joined.groupBy("_row")  # one group is one text's words
                .agg(F.array_join(F.transform(
                    F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("w")))),
-                   lambda s: s["w"]), " ").alias(out_col)))
-    return df.join(rebuilt, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit("")))
+                   lambda s: s["w"]), " ").alias("_text")))
+    text = F.when(value.isNotNull(), F.coalesce("_text", F.lit("")))
+    return rows.join(rebuilt, "_row", "left").select(*[F.col(f"_in.`{c}`") for c in df.columns], text.alias(out_col))

@@ -34,6 +34,9 @@ def lemma_map_col():
     return F.create_map(*[F.lit(x) for kv in LEMMAS.items() for x in kv])
 
 
+# Files that a trigger of the streaming scrub takes.
+STREAM_FILES = 4
+
 # ---- SQL building blocks (DuckDB dialect) -------------------------------------
 
 def sql_redact(expr: str, label: str) -> str:
@@ -153,12 +156,10 @@ def q_synth_ticket_id(spark, sf):
 
 @fam.add("scan_kb_docs", "SELECT doc_id, text FROM documents")
 def q_scan_kb_docs(spark, sf):
-    """Whole files as one text each (one file per document here)."""
+    """Documents in text files, many to a file."""
     path = _scratch(spark, "kb-text")
-    (docs(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(path))
-    return tb.scan_kb_docs(spark, path + "/*/*").select(
-        F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
-        "text")
+    tb.write_kb_pack(docs(spark, sf), path)
+    return tb.scan_kb_pack(spark, path).select("doc_id", "text")
 
 
 # ---- P: privacy -------------------------------------------------------------------
@@ -186,6 +187,20 @@ def q_redact_entities(spark, sf):
     return docs(spark, sf).select("doc_id", sc.redact_entities(F.col("text"), GAZETTEER).alias("text"))
 
 
+def _names(spark, sf):
+    """A gazetteer that grows with the data: the fixed names, and all customers and suppliers as organisations."""
+    own = sc.gazetteer_table(spark, GAZETTEER)
+    for name, col in (("customer", "c_name"), ("supplier", "s_name")):
+        own = own.unionByName(tb.table(spark, sf, name).select(F.lit("ORG").alias("label"), F.col(col).alias("name")))
+    return own
+
+
+@fam.add("redact_entities_table", f"SELECT doc_id, {sql_entities('text')} AS text FROM documents")
+def q_redact_entities_table(spark, sf):
+    """P8 by a join with a table of names (no customer or supplier is named in the documents)."""
+    return sc.redact_entities_table(docs(spark, sf).select("doc_id", "text"), "text", _names(spark, sf))
+
+
 @fam.add("scrub_full", f"SELECT doc_id, {sql_entities(sql_scrub_regex('text'))} AS text FROM documents")
 def q_scrub_full(spark, sf):
     return docs(spark, sf).select("doc_id", sc.scrub_full(F.col("text"), GAZETTEER).alias("text"))
@@ -210,15 +225,12 @@ def _sql_hits():
 
 
 def _sql_ner_hits():
-    cur = sql_scrub_regex("text")
-    parts = []
-    for label in ("PERSON", "ORG", "GPE", "LOC"):
-        names = GAZETTEER.get(label)
-        if names:
-            pat = sc.entity_pattern(names)
-            parts.append(f"len(regexp_extract_all({cur}, {sql_str(pat)}))")
-            cur = f"regexp_replace({cur}, {sql_str(pat)}, {sql_str(tx.REDACTION_TAGS[label])}, 'g')"
-    return " + ".join(parts)
+    """Tags after the entities are redacted, less those before: a tag is no name and is never matched."""
+    tags = [tx.REDACTION_TAGS[label] for label in ("PERSON", "ORG", "GPE", "LOC") if GAZETTEER.get(label)]
+
+    def count(expr):
+        return " + ".join(f"(len({expr}) - len(replace({expr}, {sql_str(t)}, ''))) / {len(t)}" for t in dict.fromkeys(tags))
+    return f"({count(sql_entities(sql_scrub_regex('text')))}) - ({count(sql_scrub_regex('text'))})"
 
 
 @fam.add("scrub_stats", f"""
@@ -250,6 +262,21 @@ def q_lemmatize(spark, sf):
         "doc_id", tx.lemmatize(tx.normalize_text(F.col("text")), lemma_map_col()).alias("text"))
 
 
+@fam.add("lemmatize_table", f"""
+WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (
+  SELECT doc_id, list_filter(string_split_regex({sql_strip(sql_normalize_text('text'))}, '{tx.SPACE}+'), lambda x: x <> '') AS ws FROM documents)),
+l AS (SELECT DISTINCT r_name, lower(r_name) AS word FROM region),
+t AS (SELECT doc_id, string_agg(coalesce('<' || r_name || '>', {sql_case_map('w.word', LEMMAS)}), ' ' ORDER BY pos) AS text
+      FROM w LEFT JOIN l ON l.word = w.word GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text FROM documents d LEFT JOIN t USING (doc_id)""")
+def q_lemmatize_table(spark, sf):
+    """P14 by a join with a dictionary table: the fixed lemmas, and the regions' names as lemmas of themselves."""
+    fixed = spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string")
+    regions = tb.table(spark, sf, "region").select(F.col("r_name").alias("word"), F.concat(F.lit("<"), F.col("r_name"), F.lit(">")).alias("lemma"))
+    d = docs(spark, sf).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+    return sc.lemmatize_join(d, "text", fixed.unionByName(regions), "lemmas").select("doc_id", F.col("lemmas").alias("text"))
+
+
 @fam.add("normalize_ticket_text", f"""
 SELECT doc_id, {sql_normalize_ticket_text("CASE WHEN doc_id % 5 = 0 THEN '{order_id} ' || text || ' {name}' ELSE text END")} AS text
 FROM documents""")
@@ -315,6 +342,20 @@ def q_scrub_table(spark, sf):
                                                       gazetteer=GAZETTEER, lemma_map=lemma_map_col(), age_column=None))
 
 
+@fam.add("scrub_table_stream", f"""
+SELECT doc_id AS ticket_id,
+       CASE WHEN text IS NULL THEN NULL ELSE {sql_normalize_full(sql_entities(sql_scrub_regex('text')))} END AS description
+FROM documents""")
+def q_scrub_table_stream(spark, sf):
+    """P19 as a stream over the tickets' files, some in each trigger."""
+    from ticketlake.streaming import streams as st
+    source = st.stage_as_stream_source(lg.tickets(spark, sf).select("ticket_id", "description"), "tickets")
+    arriving = (spark.readStream.schema("ticket_id long, description string").option("maxFilesPerTrigger", STREAM_FILES)
+                .parquet(source))
+    return st.scrub_stream(arriving, _scratch(spark, "scrub-stream"), text_columns=["description"], masks={},
+                           gazetteer=GAZETTEER, lemma_map=lemma_map_col(), age_column=None)
+
+
 @fam.add("tokenize", """
 SELECT doc_id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS toks FROM documents)""")

@@ -61,3 +61,23 @@ def scan_kb_docs(spark: SparkSession, path: str) -> DataFrame:
     the file and is no part of the text."""
     return (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("source"), F.regexp_replace("value", r"\n\z", "").alias("text")))
+
+
+# Stands between documents where many share a file.
+DOC_SEPARATOR = "\n\x1e\n"
+
+
+def write_kb_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Documents in as many text files as ``docs`` has partitions: a line with the id, then the text."""
+    docs.select(F.concat_ws("\n", F.col(id_col).cast("string"), F.col(text_col)).alias("value")).write.option(
+        "lineSep", DOC_SEPARATOR).text(path)
+
+
+def scan_kb_pack(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, source, text)`` of files that hold many documents each; large files are split between tasks."""
+    value = F.col("value")
+    end = F.instr(value, "\n")
+    head = F.when(end > 0, F.substring(value, F.lit(1), end - 1)).otherwise(value)
+    return (spark.read.option("lineSep", DOC_SEPARATOR).text(path)
+            .select(head.try_cast("long").alias("doc_id"), F.input_file_name().alias("source"),
+                    F.when(end > 0, F.substring(value, end + 1, F.length(value))).alias("text")))

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlake.operators.scrub import scrub_table
 from ticketlake.session import checkpoint_dir
 
 
@@ -61,6 +62,28 @@ def run_latest(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
             .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*df.columns))
 
 
+def scrub_stream(tickets: DataFrame, path: str, max_batches: int | None = None, **scrub) -> DataFrame:
+    """P19 as a stream: every trigger's tickets go through the batch ``scrub_table`` (``scrub``: its
+    arguments) into a folder of their own under ``path``, then the whole sink is read.
+
+    A trigger that is repeated after a failure writes its folder anew, and the streaming checkpoint
+    beside it says where to go on, so each ticket is in the sink once however often the job is
+    restarted.  ``max_batches`` fails the run after so many triggers (for tests of a restart).
+    """
+    done = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        scrub_table(rows, **scrub).write.mode("overwrite").parquet(f"{path}/out/trigger={batch}")
+        done.append(batch)
+        if max_batches is not None and len(done) >= max_batches:
+            raise RuntimeError(f"stopped after trigger {batch}")
+    q = (tickets.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/chk")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    spark = tickets.sparkSession
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/*").drop("trigger")
+
+
 def dedupe_prediction_stream(log_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A prediction log stream deduplicated on ``request_id``; rows later than
     the watermark are dropped, state is bounded by the watermark."""
