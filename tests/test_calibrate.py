@@ -4,35 +4,77 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlake.operators import calibrate as ca
 
 
-def test_temperature_recovers_a_known_scale(spark):
-    # logits are three times too sharp for outcomes drawn from softmax(logits / 3)
+@pytest.mark.parametrize("true", [0.2, 1.0, 8.0])
+def test_temperature_recovers_a_known_scale(spark, true):
+    """Labels come in the shares that softmax(z / true) gives."""
     rows = []
-    for i in range(300):
-        z = [3.0 * math.sin(i), 3.0 * math.cos(2 * i), 0.0]
-        p = [math.exp(x / 3) for x in z]
-        u, y = (i * 0.618) % 1 * sum(p), 0
-        while y < 2 and u > p[y]:
-            u -= p[y]
-            y += 1
-        rows.append((z, y))
-    df = spark.createDataFrame(rows, "z array<double>, y int")
-    t = ca.fit_temperature(df, "z", "y").first().temperature
-    assert 2.0 < t < 4.5
-    p = df.limit(1).select(ca.apply_temperature(F.col("z"), F.lit(2.0)).alias("p")).first().p
-    assert math.isclose(sum(p), 1.0)
-
-
-def test_isotonic_pools_what_falls(spark):
-    df = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0), (0.3, 0), (0.9, 1)], "s double, ok int")
-    knots = {r.score: r.calibrated for r in ca.fit_isotonic(df, "s", "ok").collect()}
-    assert knots[0.1] == 0 and math.isclose(knots[0.2], 1 / 3) and math.isclose(knots[0.3], 1 / 3) and knots[0.9] == 1
-    out = ca.apply_isotonic(df, ca.fit_isotonic(df, "s", "ok"), "s").collect()
-    assert len(out) == 5 and all(r.calibrated is not None for r in out)
+    for z in ([0.3, 0.0, -0.2], [1.5, 0.4, 0.0], [4.0, 9.0, 0.0] if true > 1 else [0.1, 0.5, 0.0]):
+        p = np.exp(np.array(z) / true)
+        n = np.rint(p / p.sum() * 20_000).astype(int)
+        rows += [(z, y, int(c)) for y, c in enumerate(n)]
+    df = spark.createDataFrame(rows, "z array<double>, y int, c int").selectExpr("z", "y", "explode(sequence(1, c)) AS i")
+    t = ca.fit_temperature(df, "z", "y").first()
+    assert abs(t.temperature / true - 1) < 0.01
+
+
+def test_temperature_bounds_and_no_rows(spark):
+    df = spark.createDataFrame([([1.0, 0.0], 0), ([1.0, 0.0], 0), (None, 0), ([1.0, 0.0], None)], "z array<double>, y int")
+    assert math.isclose(ca.fit_temperature(df, "z", "y", bounds=(1e-3, 20.0)).first().temperature, 1e-3)
+    assert ca.fit_temperature(df.limit(0), "z", "y").first().temperature is None
+
+
+def test_temperature_takes_probabilities(spark):
+    p = spark.createDataFrame([([0.7, 0.2, 0.1, 0.0],)], "p array<double>").select(
+        ca.scale_probabilities(F.col("p"), F.lit(2.0)).alias("q")).first().q
+    want = np.exp(np.log(np.array([0.7, 0.2, 0.1, 0.0]) + 1e-10) / 2)
+    assert np.allclose(p, want / want.sum())
+
+
+def plain_curve(xs, ys):
+    """Best non-decreasing fit by its min-max formula, at the distinct scores."""
+    pts = sorted({x: None for x in xs})
+    s = [sum(y for x, y in zip(xs, ys) if x == p) for p in pts]
+    n = [sum(1 for x in xs if x == p) for p in pts]
+    k = range(len(pts))
+    return pts, [max(min(sum(s[i:j + 1]) / sum(n[i:j + 1]) for j in k if j >= at) for i in k if i <= at) for at in k]
+
+
+def test_isotonic_equals_the_formula_also_on_unseen_scores(spark):
+    rng = np.random.default_rng(6)
+    train = [(rng.dirichlet([1, 1, 1]).round(2).tolist(), int(rng.integers(0, 3))) for _ in range(150)]
+    new = [([0.0, 0.15, 0.85],), ([1.0, 0.0, 0.0],), ([0.333, 0.334, 0.333],), ([0.0, 0.0, 0.0],)] + [(rng.dirichlet([1, 1, 1]).tolist(),) for _ in range(30)]
+    curves = ca.fit_isotonic(spark.createDataFrame(train + [(None, 1), ([0.1, 0.2, 0.7], None)], "p array<double>, y int").repartition(4), "p", "y")
+    out = ca.apply_isotonic(spark.createDataFrame(new, "p array<double>"), curves, "p").collect()
+    for r in out:
+        raw = []
+        for c in range(3):
+            xs, ys = plain_curve([p[c] for p, _ in train], [float(y == c) for _, y in train])
+            raw.append(float(np.interp(r.p[c], xs, ys)))
+        total = sum(raw)
+        assert np.allclose(r.calibrated, [x / total if total > 1e-9 else x for x in raw])
+
+
+def test_isotonic_knots_by_hand(spark):
+    df = spark.createDataFrame([([0.1], 1), ([0.2], 0), ([0.5], 1), ([0.5], 1), ([0.9], 0)], "p array<double>, y int")
+    curve = ca.fit_isotonic(df, "p", "y").first()
+    assert curve.xs == [0.1, 0.2, 0.5, 0.9] and np.allclose(curve.ys, [0, 1 / 3, 1 / 3, 1])
+    df = spark.createDataFrame([([x, 1 - x], 0 if x > 0.3 else 1) for x in (0.1, 0.2, 0.5, 0.9)], "p array<double>, y int")
+    one = spark.createDataFrame([([x, 1.0],) for x in (0.15, 0.35, 1.0)], "p array<double>")
+    first = ca.fit_isotonic(df, "p", "y").where("class_no = 0")
+    got = [r.v for r in one.crossJoin(first).select(ca.on_curve(F.get("p", F.lit(0)), F.col("xs"), F.col("ys")).alias("v")).collect()]
+    assert np.allclose(got, [0.0, 0.5, 1.0])
+
+
+def test_equal_neighbours_leave_their_outer_corners():
+    low, high, s, n = ca._pool([1, 2, 3, 4], [1, 2, 3, 4], [0, 0, 1, 2], [1, 1, 1, 2])
+    assert (low, high, s, n) == ([1, 3], [2, 4], [0, 3], [2, 3])
 
 
 def test_linear_head_separates(spark):

@@ -1,24 +1,32 @@
 """Calibration and linear heads.
 
-Fits work on aggregates of bounded size (a grid of temperatures, scores rounded to a stated
-number of digits) or through ``pyspark.ml``; applying them is a column expression or a join.
+A temperature is found by passes over all rows that narrow a bracket; isotonic curves by pooling
+inside sorted ranges of scores, then pooling the pools of a class.  Both are applied as column
+expressions, to rows that the fit has not seen as well.  Linear models come from ``pyspark.ml``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.operators.features import argmax_label, char_terms, class_weights, softmax, word_terms
 from ticketlake.session import cut_lineage
 
-# Temperatures from 0.5 to 5 in steps of 0.05.
-GRID_STEPS = range(10, 101)
+# The range of temperatures, what is added to a probability before its logarithm, and the
+# sum from which calibrated probabilities are divided by it.
+TEMPERATURES = (0.1, 10.0)
+LOG_EPS = 1e-10
+LEAST_SUM = 1e-9
+# Points of one pass over a bracket, and passes: each leaves a tenth of the bracket's ratio.
+GRID_POINTS = 21
+PASSES = 5
 ROUND = 9
 
 
@@ -30,39 +38,133 @@ def negative_log_likelihood(logits: Column, label: Column, temperature: Column)
     return F.log(total) + top - F.element_at(z, (label + 1).cast("int"))
 
 
-def fit_temperature(df: DataFrame, logits: str, label: str) -> DataFrame:
-    """``(temperature, nll)``, one row: the grid point of least mean loss, the smallest of equals.
+def to_logits(probs: Column) -> Column:
+    """Logarithms of probabilities, the logits up to a constant."""
+    return F.transform(probs, lambda p: F.log(p.cast("double") + F.lit(LOG_EPS)))
+
 
-    Every row meets the whole grid in one partial aggregate; the grid is all that is shuffled.
+def fit_temperature(df: DataFrame, logits: str, label: str, bounds: tuple[float, float] = TEMPERATURES,
+                    points: int = GRID_POINTS, passes: int = PASSES) -> DataFrame:
+    """``(temperature, nll)``, one row: the temperature in ``bounds`` of least mean loss.
+
+    The loss has one minimum in the temperature.  Each pass meets all rows with ``points`` temperatures
+    of equal ratio, whose sums are all that is shuffled, and goes on between the neighbours of the best.
+    A minimum outside the bounds gives the bound.  Rows without logits or label do not count; without
+    any row the temperature is null.
     """
-    grid = F.explode(F.array(*[F.lit(i / 20.0) for i in GRID_STEPS]))
-    each = df.select(logits, label, grid.alias("temperature")).select(
-        "temperature", negative_log_likelihood(F.col(logits), F.col(label), F.col("temperature")).alias("loss"))
-    mean = each.groupBy("temperature").agg(F.round(F.avg("loss"), 6).alias("nll"))
-    return mean.agg(F.min(F.struct("nll", "temperature")).alias("b")).select("b.temperature", "b.nll")
+    rows = cut_lineage(df.select(F.col(logits).alias("_z"), F.col(label).alias("_y")).where("_z IS NOT NULL AND _y IS NOT NULL"))
+    low, high = (math.log(x) for x in bounds)
+    best = None
+    for _ in range(passes):
+        grid = [math.exp(low + (high - low) * i / (points - 1)) for i in range(points)]
+        losses = rows.agg(*[F.avg(negative_log_likelihood(F.col("_z"), F.col("_y"), F.lit(t))).alias(f"l{i}")
+                            for i, t in enumerate(grid)]).first()
+        if losses[0] is None:
+            break
+        at = min(range(points), key=lambda i: (losses[i], i))
+        best = (grid[at], losses[at])
+        step = (high - low) / (points - 1)
+        low, high = max(low, math.log(grid[at]) - step), min(high, math.log(grid[at]) + step)
+    return df.sparkSession.createDataFrame([best or (None, None)], "temperature double, nll double")
 
 
 def apply_temperature(logits: Column, temperature: Column) -> Column:
-    """softmax of the logits divided by the temperature."""
+    """Softmax of the logits divided by the temperature."""
     return softmax(F.transform(logits, lambda x: x / temperature))
 
 
-def fit_isotonic(df: DataFrame, score: str, outcome: str, digits: int = 3) -> DataFrame:
-    """knots ``(score, calibrated)`` of the best non-decreasing fit.
+def scale_probabilities(probs: Column, temperature: Column) -> Column:
+    """softmax of ``log(p + eps) / T``."""
+    return apply_temperature(to_logits(probs), temperature)
 
-    Rows are first added up by score rounded to ``digits``, so the fit sees 10^digits + 1
-    weighted points at most.
-    """
-    points = df.groupBy(F.round(score, digits).alias("score")).agg(
-        F.avg(F.col(outcome).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
-    model = IsotonicRegression(featuresCol="score", labelCol="y", weightCol="w", predictionCol="calibrated").fit(points)
-    return model.transform(points).select("score", "calibrated")
 
+def _pool(low: list, high: list, total: list, count: list) -> tuple[list, list, list, list]:
+    """Pools neighbours while a mean is not above the one before; inputs in the order of scores."""
+    out: list[list] = []
+    for pool in zip(low, high, total, count, strict=True):
+        out.append(list(pool))
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, top, s, n = out.pop()
+            out[-1][1], out[-1][2], out[-1][3] = top, out[-1][2] + s, out[-1][3] + n
+    return tuple(list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
 
-def apply_isotonic(df: DataFrame, knots: DataFrame, score: str, digits: int = 3) -> DataFrame:
-    """the knot of each row's rounded score, by an equi-join."""
-    return df.withColumn("_s", F.round(score, digits)).join(
-        knots.select(F.col("score").alias("_s"), "calibrated"), "_s", "left").drop("_s")
+
+def fit_isotonic(df: DataFrame, probs: str, label: str) -> DataFrame:
+    """``(class_no, xs, ys)``: for every class the best non-decreasing curve of "the label is this
+    class" over its probability, as the corners of the curve in the order of scores.
+
+    Rows with the same score are added up.  Each range of sorted scores pools its own neighbours, then
+    the pools of a class are pooled; with whole outcomes their number grows with the two-thirds power of
+    the rows at most, so a class fits in one task.  Rows without probabilities or label do not count.
+    """
+    import pyarrow as pa
+    schema = "class_no int, low double, high double, s long, n long"
+    fields = pa.schema([("class_no", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("s", pa.int64()), ("n", pa.int64())])
+    points = (df.where(F.col(label).isNotNull()).select(F.col(label).alias("_y"), F.posexplode(probs).alias("class_no", "score"))
+              .where("score IS NOT NULL").groupBy("class_no", "score")
+              .agg(F.sum((F.col("_y") == F.col("class_no")).cast("long")).alias("s"), F.count("*").alias("n")))
+
+    def pooled(number: int, low, high, s, n):
+        low, high, s, n = _pool(low, high, s, n)
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(low), pa.int32()), pa.array(low, pa.float64()), pa.array(high, pa.float64()),
+                                           pa.array(s, pa.int64()), pa.array(n, pa.int64())], schema=fields)
+
+    def by_range(batches):
+        # a batch's pools may go on in the next one: the second step joins them
+        for b in batches:
+            numbers = b.column(0).to_pylist()
+            rows = [b.column(i).to_pylist() for i in range(1, 5)]
+            for number in sorted(set(numbers)):
+                at = [i for i, x in enumerate(numbers) if x == number]
+                yield pooled(number, *[[c[i] for i in at] for c in rows])
+    pools = (points.repartitionByRange("class_no", "score").sortWithinPartitions("class_no", "score")
+             .select("class_no", F.col("score").alias("low"), F.col("score").alias("high"), "s", "n").mapInArrow(by_range, schema))
+
+    def by_class(t: pa.Table) -> pa.Table:
+        t = t.sort_by("low")
+        number = t.column("class_no")[0].as_py()
+        low, high, s, n = _pool(*[t.column(c).to_pylist() for c in ("low", "high", "s", "n")])
+        xs, ys = [], []
+        for a, z, total, count in zip(low, high, s, n, strict=True):
+            ends = [a] if a == z else [a, z]
+            xs += ends
+            ys += [total / count] * len(ends)
+        return pa.table({"class_no": pa.array([number], pa.int32()), "xs": pa.array([xs], pa.list_(pa.float64())),
+                         "ys": pa.array([ys], pa.list_(pa.float64()))})
+    return pools.groupBy("class_no").applyInArrow(by_class, "class_no int, xs array<double>, ys array<double>")
+
+
+def on_curve(x: Column, xs: Column, ys: Column) -> Column:
+    """The curve's value at x: binary search among its corners, linear between two, level beyond the ends."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(xs) + 1)).cast("int") + 1)
+
+    def halve(at, _):
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        right = F.get(xs, middle) <= x
+        return F.struct(F.when(right, middle).otherwise(at["low"]).alias("low"),
+                        F.when(right, at["high"]).otherwise(middle).alias("high"))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(xs).alias("high")), halve, lambda at: at["low"])
+    x0, x1, y0, y1 = F.get(xs, place), F.get(xs, place + 1), F.get(ys, place), F.get(ys, place + 1)
+    return (F.when(x <= F.get(xs, F.lit(0)), F.get(ys, F.lit(0))).when(x1.isNull(), y0)
+            .otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0)))
+
+
+def apply_isotonic(df: DataFrame, curves: DataFrame, probs: str, out_col: str = "calibrated") -> DataFrame:
+    """each class's probability on its curve, divided by their sum where that is above 1e-9.
+
+    Classes without a curve keep their probability.  The curves are a few arrays, attached as a scalar.
+    """
+    listed = curves.agg(F.map_from_entries(F.collect_list(F.struct("class_no", F.struct("xs", "ys")))).alias("_curves"))
+    from ticketlake.operators.retrieval import attach_scalars
+    rows = attach_scalars(df, listed)
+
+    def one(p, i):
+        curve = F.element_at("_curves", i)
+        return F.when(curve.isNull() | p.isNull(), p.cast("double")).otherwise(on_curve(p, curve["xs"], curve["ys"]))
+    raw = F.transform(probs, one)
+    total = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
+    return (rows.withColumn("_raw", raw).withColumn(out_col, F.when(total > F.lit(LEAST_SUM), F.transform("_raw", lambda x: x / total))
+                                                    .otherwise(F.col("_raw"))).drop("_raw", "_curves"))
 
 
 def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, features: int = 1 << 15, iterations: int = 20):

@@ -10,7 +10,7 @@ from ticketlake.operators import features as fe
 from ticketlake.operators import rules as rl
 from ticketlake.plans.common import Family, docs
 from ticketlake.plans.q_corpus import LOGITS_SQL, _logits
-from ticketlake.plans.q_eval import COST_SQL, PRED_SQL, _preds
+from ticketlake.plans.q_eval import COST_SQL
 from ticketlake.sources import logical as lg
 from ticketlake.sources.tables import table
 
@@ -108,53 +108,100 @@ def q_sigmoid(spark, sf):
     return _logits(spark, sf).select("ticket_id", F.transform("logits", lambda x: F.round(fe.sigmoid(x), 9)).alias("p"))
 
 
-NLL_SQL = LOGITS_SQL + """, g AS (SELECT i / 20.0 AS t FROM range(10, 101) r(i)),
-nll AS (SELECT CAST(t AS DOUBLE) AS temperature, round(avg(ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / CAST(t AS DOUBLE)))))
-        + list_max(logits) / CAST(t AS DOUBLE) - logits[ticket_id % 3 + 1] / CAST(t AS DOUBLE)), 6) AS nll FROM lg, g GROUP BY t),
-best AS (SELECT temperature, nll FROM nll ORDER BY nll, temperature LIMIT 1)"""
+# Scores of vectors: 20 times the inner product with the mean vector of each label, the means from two fifths
+# of the rows; two further fifths are for fitting calibrators, which are applied to all.
+SHARP = 20.0
+SCORES_SQL = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+m AS (SELECT label, list(a ORDER BY d) AS c FROM (
+  SELECT label, d, avg(x) AS a FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e WHERE vec_id % 5 < 2) GROUP BY ALL)
+  GROUP BY label),
+lg AS (SELECT vec_id, any_value(e.label) AS y, list({SHARP} * list_dot_product(v, c) ORDER BY m.label) AS logits FROM e, m GROUP BY vec_id),
+pr AS (SELECT vec_id, y, logits, list_transform(logits, lambda x: exp(x - list_max(logits)) /
+         list_sum(list_transform(logits, lambda z: exp(z - list_max(logits))))) AS probs FROM lg)"""
 
 
-def _labelled(spark, sf):
-    return _logits(spark, sf).withColumn("y", F.col("ticket_id") % 3)
+def _vector_scores(spark, sf):
+    from ticketlake.operators.retrieval import attach_scalars
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+    mean = (e.where("vec_id % 5 < 2").select("y", F.posexplode("v").alias("d", "x")).groupBy("y", "d").agg(F.avg("x").alias("a"))
+            .groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "a"))), lambda s: s["a"]).alias("c"))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "c"))), lambda s: s["c"]).alias("means")))  # one vector a label
+    dot = F.transform("means", lambda c: F.lit(SHARP) * F.aggregate(F.zip_with("v", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    rows = attach_scalars(e, mean).select("vec_id", "y", dot.alias("logits"))
+    return rows.withColumn("probs", fe.softmax(F.col("logits")))
 
 
-@fam.add("temperature_fit", NLL_SQL + "SELECT temperature, nll FROM best")
-def q_temperature_fit(spark, sf):
-    return ca.fit_temperature(_labelled(spark, sf), "logits", "y")
+def _passes_sql() -> str:
+    """The passes of ``fit_temperature`` as one CTE each."""
+    lo, hi = ca.TEMPERATURES
+    out, n = [f"b0 AS (SELECT ln({lo}) AS lo, ln({hi}) AS hi)"], ca.GRID_POINTS
+    for i in range(ca.PASSES):
+        out.append(f"""g{i} AS (SELECT i, exp(lo + (hi - lo) * i / {n - 1}) AS t, lo, hi FROM b{i}, range({n}) r(i)),
+n{i} AS (SELECT i, t, any_value(lo) AS lo, any_value(hi) AS hi,
+  avg(ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / t)))) + list_max(logits) / t - logits[y + 1] / t) AS nll
+  FROM (SELECT * FROM pr WHERE vec_id % 5 IN (2, 3)), g{i} GROUP BY i, t),
+s{i} AS MATERIALIZED (SELECT * FROM n{i} ORDER BY nll, i LIMIT 1),
+b{i + 1} AS (SELECT greatest(lo, ln(t) - (hi - lo) / {n - 1}) AS lo, least(hi, ln(t) + (hi - lo) / {n - 1}) AS hi FROM s{i})""")
+    return ",\n".join(out) + f",\nbest AS (SELECT t AS temperature, nll FROM s{ca.PASSES - 1})"
 
 
-@fam.add("temperature_apply", NLL_SQL + """, z AS (SELECT ticket_id, list_transform(logits, lambda x: x / temperature) AS z FROM lg, best)
-SELECT ticket_id, list_transform(z, lambda x: round(exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z)))), 9)) AS probs FROM z""")
-def q_temperature_apply(spark, sf):
-    from ticketlake.operators.retrieval import attach_scalars
-    df = attach_scalars(_logits(spark, sf), ca.fit_temperature(_labelled(spark, sf), "logits", "y").select("temperature"))
-    return df.withColumn("p", ca.apply_temperature(F.col("logits"), F.col("temperature"))).select(
-        "ticket_id", F.transform("p", lambda x: F.round(x, 9)).alias("probs"))
+FIT_SQL = SCORES_SQL + ",\n" + _passes_sql()
 
 
-ISOTONIC_SQL = PRED_SQL + """, pt AS (SELECT round(conf, 3) AS score, sum(CAST(truth = pred AS INTEGER)) AS s, count(*) AS n FROM preds GROUP BY 1),
-cum AS (SELECT score, row_number() OVER (ORDER BY score) AS k, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn,
-               s, n FROM pt),
-ij AS (SELECT i.k AS i, j.k AS j, (j.cs - i.cs + i.s) / (j.cn - i.cn + i.n) AS mean FROM cum i JOIN cum j ON j.k >= i.k),
-lowest AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM ij),
-knots AS (SELECT score, max(m) AS calibrated FROM lowest JOIN cum ON k = j GROUP BY score)"""
+def _fit_temperature(rows):
+    return ca.fit_temperature(rows.where("vec_id % 5 IN (2, 3)"), "logits", "y")
 
 
-def _outcomes(spark, sf):
-    return _preds(spark, sf).withColumn("ok", F.col("truth") == F.col("pred"))
+@fam.add("temperature_fit", FIT_SQL + " SELECT round(temperature, 6) AS temperature, round(nll, 6) AS nll FROM best")
+def q_temperature_fit(spark, sf):
+    """F11 on the vectors' scores against their labels."""
+    return _fit_temperature(_vector_scores(spark, sf)).select(F.round("temperature", 6).alias("temperature"), F.round("nll", 6).alias("nll"))
 
 
-@fam.add("isotonic_fit", ISOTONIC_SQL + "SELECT score, round(calibrated, 6) AS calibrated FROM knots")
-def q_isotonic_fit(spark, sf):
-    return ca.fit_isotonic(_outcomes(spark, sf), "conf", "ok").select("score", F.round("calibrated", 6).alias("calibrated"))
+@fam.add("temperature_apply", FIT_SQL + f""", z AS (
+  SELECT vec_id, list_transform(probs, lambda p: ln(p + {ca.LOG_EPS}) / temperature) AS z FROM pr, best)
+SELECT vec_id, list_transform(z, lambda x: round(exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z)))), 6)) AS probs FROM z""")
+def q_temperature_apply(spark, sf):
+    """probabilities of all vectors at the fitted temperature."""
+    from ticketlake.operators.retrieval import attach_scalars
+    rows = _vector_scores(spark, sf)
+    df = attach_scalars(rows, _fit_temperature(rows).select("temperature"))
+    return df.withColumn("p", ca.scale_probabilities(F.col("probs"), F.col("temperature"))).select(
+        "vec_id", F.transform("p", lambda x: F.round(x, 6)).alias("probs"))
+
 
+ISOTONIC_SQL = SCORES_SQL + """, pt AS (SELECT class_no, score, sum(hit) AS s, count(*) AS n FROM (
+  SELECT unnest(probs) AS score, generate_subscripts(probs, 1) - 1 AS class_no, CAST(y = generate_subscripts(probs, 1) - 1 AS INTEGER) AS hit
+  FROM pr WHERE vec_id % 5 IN (2, 3)) GROUP BY ALL),
+cum AS (SELECT *, row_number() OVER w AS k, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM pt WINDOW w AS (PARTITION BY class_no ORDER BY score)),
+ij AS (SELECT i.class_no, i.k AS i, j.k AS j, (j.cs - i.cs + i.s) / (j.cn - i.cn + i.n) AS mean FROM cum i JOIN cum j ON j.class_no = i.class_no AND j.k >= i.k),
+lowest AS (SELECT class_no, i, j, min(mean) OVER (PARTITION BY class_no, i ORDER BY j DESC) AS m FROM ij),
+knots AS MATERIALIZED (SELECT cum.class_no, score, max(m) AS y FROM lowest JOIN cum ON k = j AND cum.class_no = lowest.class_no GROUP BY ALL)"""
 
-@fam.add("isotonic_apply", ISOTONIC_SQL + """
-SELECT ticket_id, conf, round(calibrated, 6) AS calibrated FROM preds LEFT JOIN knots ON score = round(conf, 3)""")
+
+@fam.add("isotonic_fit", ISOTONIC_SQL + """
+SELECT class_no, round(score, 9) AS score, round(y, 6) AS calibrated FROM (
+  SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM knots WINDOW w AS (PARTITION BY class_no ORDER BY score))
+WHERE before IS NULL OR after IS NULL OR abs(y - before) > 1e-12 OR abs(after - y) > 1e-12""")
+def q_isotonic_fit(spark, sf):
+    """the corners of every label's curve."""
+    curves = ca.fit_isotonic(_vector_scores(spark, sf).where("vec_id % 5 IN (2, 3)"), "probs", "y")
+    return curves.select("class_no", F.explode(F.arrays_zip("xs", "ys")).alias("k")).select(
+        "class_no", F.round("k.xs", 9).alias("score"), F.round("k.ys", 6).alias("calibrated"))
+
+
+@fam.add("isotonic_apply", ISOTONIC_SQL + """, x AS (
+  SELECT vec_id, unnest(probs) AS p, generate_subscripts(probs, 1) - 1 AS class_no FROM pr),
+lo AS (SELECT x.*, k.score AS x0, k.y AS y0 FROM x ASOF LEFT JOIN knots k ON x.class_no = k.class_no AND x.p >= k.score),
+hi AS (SELECT lo.*, k.score AS x1, k.y AS y1 FROM lo ASOF LEFT JOIN knots k ON lo.class_no = k.class_no AND lo.p < k.score),
+c AS (SELECT vec_id, class_no, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END AS q FROM hi),
+l AS (SELECT vec_id, list(q ORDER BY class_no) AS q, sum(q) AS total FROM c GROUP BY vec_id)
+SELECT vec_id, list_transform(q, lambda a: round(CASE WHEN total > 1e-9 THEN a / total ELSE a END, 6)) AS calibrated FROM l""")
 def q_isotonic_apply(spark, sf):
-    df = _outcomes(spark, sf)
-    out = ca.apply_isotonic(df, ca.fit_isotonic(df, "conf", "ok"), "conf")
-    return out.select("ticket_id", "conf", F.round("calibrated", 6).alias("calibrated"))
+    """all vectors, three fifths of which the curves have not seen."""
+    rows = _vector_scores(spark, sf)
+    out = ca.apply_isotonic(rows, ca.fit_isotonic(rows.where("vec_id % 5 IN (2, 3)"), "probs", "y"), "probs")
+    return out.select("vec_id", F.transform("calibrated", lambda x: F.round(x, 6)).alias("calibrated"))
 
 
 @fam.add("tier1_logreg")
@@ -173,13 +220,13 @@ def q_tier1_logreg(spark, sf):
 
 @fam.add("linear_head")
 def q_linear_head(spark, sf):
-    """the label of a vector from a linear layer over it."""
+    """the label of a vector from a linear layer over it, learned on four fifths; ``held_out`` rows are the rest."""
     e = table(spark, sf, "embeddings")
-    w, b = ca.fit_linear_head(e, "embedding", "label")
+    w, b = ca.fit_linear_head(e.where("vec_id % 5 <> 0"), "embedding", "label")
     df = e.withColumn("logits", ca.linear_head(e, "embedding", w, b)).withColumn("p", fe.softmax(F.col("logits")))
     best = F.array_position("p", F.array_max("p")) - 1
     return df.select("vec_id", F.col("label").cast("int").alias("label"), best.cast("int").alias("predicted"),
-                     F.array_max("p").alias("confidence"))
+                     F.array_max("p").alias("confidence"), (F.col("vec_id") % 5 == 0).alias("held_out"))
 
 
 @fam.add("cost_report", COST_SQL + """, r AS (
