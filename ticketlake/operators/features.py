@@ -82,49 +82,91 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 
 def word_terms(text: Column, ngram: tuple[int, int] = (1, 2)) -> Column:
     """Word n-grams of tokens with at least two word characters."""
-    toks = F.filter(tokenize(text), lambda t: F.length(t) >= 2)
-    grams = []
-    for n in range(ngram[0], ngram[1] + 1):
-        if n == 1:
-            grams.append(toks)
-        else:
-            idx = F.sequence(F.lit(0), F.size(toks) - n)
-            grams.append(F.when(F.size(toks) >= n, F.transform(idx, lambda i: F.array_join(
-                F.slice(toks, i + 1, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*grams))
+    low, high = ngram
+
+    def grams(toks):
+        def runs(n):
+            starts = F.sequence(F.lit(1), F.size(toks) - n + 1)
+            return F.when(F.size(toks) >= n, F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+                          ).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.array(*[toks if n == 1 else runs(n) for n in range(low, high + 1)]))
+    # a lambda over a list of one keeps the text from being cut again for each gram
+    return F.flatten(F.transform(F.array(F.filter(tokenize(text), lambda t: F.length(t) >= 2)), grams))
 
 
 def char_terms(text: Column, ngram: tuple[int, int] = (3, 5)) -> Column:
-    """Character n-grams of the lower-cased text."""
-    t = F.lower(text)
-    grams = []
-    for n in range(ngram[0], ngram[1] + 1):
-        idx = F.sequence(F.lit(1), F.length(t) - n + 1)
-        grams.append(F.when(F.length(t) >= n, F.transform(idx, lambda i: F.substring(t, i, n)))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*grams))
+    """Character n-grams of the lower-cased text, put together from its single characters, so that
+    time grows with the text's length."""
+    chars = F.regexp_extract_all(F.lower(text), F.lit(r"([\s\S])"), 1)
+    low, high = ngram
 
+    def grams(c):
+        return F.flatten(F.array(*[F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), _joined(c, n)))
+                                   .otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
+    # a lambda over a list of one keeps the characters from being taken apart again for each gram
+    return F.flatten(F.transform(F.array(chars), grams))
 
-def tfidf(df: DataFrame, id_col: str, terms: Column, sublinear: bool = False, min_df: int = 1,
-          max_df: float = 1.0, max_features: int | None = None, namespace: str | None = None) -> DataFrame:
-    """smoothed TF-IDF ``tf * (ln((1+n)/(1+df)) + 1)``, rows L2-normalised.
 
-    Long format ``(id, term, weight)``; vocabulary pruned by document frequency
-    and, optionally, to the ``max_features`` terms of highest corpus frequency.
+def _joined(c: Column, n: int):
+    return lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)])
+
+
+def term_tf(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
+    """``(id, term, tf)``: each row's terms are sorted and counted inside the row, without a shuffle.
+    Rows that share an id are separate documents for the counts of documents."""
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(terms).alias("_t"))
+    first = F.filter(F.sequence(F.lit(0), F.size("_t") - 1),
+                     lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", F.greatest(i - 1, F.lit(0)))))
+    rows = rows.withColumn("_s", F.when(F.size("_t") > 0, first).otherwise(F.array().cast("array<int>")))
+    counted = F.transform("_s", lambda i, j: F.struct(
+        F.get("_t", i).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_t")) - i).cast("double").alias("tf")))
+    return rows.select("id", F.explode(counted).alias("c")).select("id", "c.term", "c.tf")
+
+
+def vocabulary(tf: DataFrame, n_docs: DataFrame, min_df: int = 1, max_df: float = 1.0,
+               max_features: int | None = None) -> DataFrame:
+    """``(term, df, idf)`` with ``idf = ln((1+n)/(1+df)) + 1``: terms within the bounds on their document
+    share and, if asked for, the ``max_features`` most frequent in the corpus (ties: smaller term).
+
+    The first terms of every partition are the candidates of the exact merge, so no task sorts them all.
     """
-    t = df.select(F.col(id_col).alias("id"), F.explode(terms).alias("term"))
-    tf = t.groupBy("id", "term").agg(F.count("*").cast("double").alias("tf"))
-    n = df.agg(F.count("*").alias("n_docs"))
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     from ticketlake.operators.retrieval import attach_scalars
-    stats = attach_scalars(stats, n).where((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
+    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats = attach_scalars(stats, n_docs).where((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
     if max_features is not None:
-        # bounded global top-N (per-partition top-N, then merge): no single-task window
         stats = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
-    idf = stats.select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return stats.select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+# Rows of a vocabulary that may be broadcast; in a larger one, terms of at least one row in HOT are.
+BROADCAST_TERMS = 1_000_000
+HOT = 100
+
+
+def _with_idf(tf: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+    """``tf`` joined with its terms' idf; frequent terms of a large vocabulary do not meet in one task."""
+    if terms.count() <= BROADCAST_TERMS:
+        return tf.join(F.broadcast(terms.select("term", "idf")), "term")
+    often = F.col("df") * F.lit(HOT) >= F.lit(n_docs)  # HOT times a document's distinct terms at most
+    many, few = terms.where(often).select("term", "idf"), terms.where(~often).select("term", "idf")
+    rest = tf.join(F.broadcast(many.select("term")), "term", "left_anti").join(few.hint("shuffle_hash"), "term")
+    return tf.join(F.broadcast(many), "term").unionByName(rest)
+
+
+def tfidf(df: DataFrame, id_col: str, terms: Column, sublinear: bool = False, min_df: int = 1,
+          max_df: float = 1.0, max_features: int | None = None, namespace: str | None = None) -> DataFrame:
+    """smoothed TF-IDF ``tf * idf`` (sublinear: ``(1 + ln tf) * idf``), rows L2-normalised.
+
+    Long format ``(id, term, weight)``; the terms' counts are written once, since vocabulary and
+    weights both read them.
+    """
+    from ticketlake.session import cut_lineage
+    tf = cut_lineage(term_tf(df, id_col, terms))
+    n_docs = df.count()
+    n = df.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"))
+    known = cut_lineage(vocabulary(tf, n, min_df, max_df, max_features))
     tfw = (F.lit(1.0) + F.log("tf")) if sublinear else F.col("tf")
-    raw = tf.join(idf, "term").select(
-        "id", "term", (tfw * F.col("idf")).alias("w"))
+    raw = _with_idf(tf, known, n_docs).select("id", "term", (tfw * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     out = raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
     if namespace:
@@ -137,6 +179,13 @@ def tfidf_union(word: DataFrame, char: DataFrame) -> DataFrame:
     return word.unionByName(char)
 
 
+def sparse_vectors(weights: DataFrame) -> DataFrame:
+    """``(id, terms, weights)``: one sparse vector an id, terms ascending (as many as its text has)."""
+    listed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("_v"))
+    return listed.select("id", F.transform("_v", lambda v: v["term"]).alias("terms"),
+                         F.transform("_v", lambda v: v["weight"]).alias("weights"))
+
+
 # ---- F10 / F15: arrays ---------------------------------------------------------------------
 
 def softmax(logits: Column) -> Column:

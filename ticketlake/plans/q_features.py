@@ -11,96 +11,117 @@ from ticketlake.operators import rules as rl
 from ticketlake.plans.common import Family, docs
 from ticketlake.plans.q_corpus import LOGITS_SQL, _logits
 from ticketlake.plans.q_eval import COST_SQL
+from ticketlake.plans.q_text import sql_normalize_ticket_text
 from ticketlake.sources import logical as lg
 from ticketlake.sources.tables import table
 
 fam = Family()
 
-# Document-frequency floor of the word vocabulary, and the largest pruned one.
-MIN_DF, MAX_DF, MAX_FEATURES, TOP_KEYWORDS = 2, 0.9, 500, 10
+# Document-frequency bounds and sizes of the pruned vocabularies, keywords of a class.
+MIN_DF, MAX_DF, WORD_FEATURES, CHAR_FEATURES, TOP_KEYWORDS = 2, 0.95, 20_000, 10_000, 10
 
-TOKS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2)"
-WORD_TERMS = f"list_concat({TOKS}, list_transform(range(1, greatest(len({TOKS}), 1)), lambda i: ({TOKS})[i] || ' ' || ({TOKS})[i + 1]))"
-CHAR_TERMS = "list_concat(list_concat({}, {}), {})".format(*[
-    f"list_transform(range(1, greatest(length(text) - {n} + 2, 1)), lambda i: substr(lower(text), i, {n}))" for n in (3, 4, 5)])
+# A text's tokens or characters stand in a column of their own, so that grams do not take it apart again.
+WORDS_SQL = """words_of AS MATERIALIZED (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'),
+  lambda t: length(t) >= 2) AS x FROM documents)"""
+CHARS_SQL = "chars_of AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all(lower(text), '(?s).') AS x FROM documents)"
+WORD_GRAMS = "list_concat(x, list_transform(range(1, greatest(len(x), 1)), lambda i: x[i] || ' ' || x[i + 1]))"
+CHAR_GRAMS = "list_concat(list_concat({}, {}), {})".format(*[
+    f"list_transform(range(1, greatest(len(x) - {n} + 2, 1)), lambda i: {' || '.join(f'x[i + {k}]' for k in range(n))})" for n in (3, 4, 5)])
 
 
-def _tfidf_sql(name: str, src: str, terms: str, sublinear: bool, min_df: int, max_df: float, top: int | None = None) -> str:
+def _tfidf_sql(name: str, src: str, grams: str, sublinear: bool, min_df: int, max_df: float, top: int | None = None) -> str:
     tf = "1.0 + ln(tf)" if sublinear else "tf"
     keep = f"QUALIFY row_number() OVER (ORDER BY cf DESC, term) <= {top}" if top else ""
-    return f"""{name}_t AS (SELECT id, unnest({terms}) AS term FROM {src}),
-{name}_f AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM {name}_t GROUP BY ALL),
+    return f"""{name}_f AS MATERIALIZED (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT id, unnest({grams}) AS term FROM {src}) GROUP BY ALL),
 {name}_n AS (SELECT count(*) AS n FROM {src}),
 {name}_v AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM (
   SELECT term, count(*) AS df, sum(tf) AS cf FROM {name}_f GROUP BY term), {name}_n
   WHERE df >= {min_df} AND df <= n * {max_df} {keep}),
 {name}_w AS (SELECT id, term, ({tf}) * idf AS w FROM {name}_f JOIN {name}_v USING (term)),
-{name} AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {name}_w)"""
+{name} AS MATERIALIZED (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {name}_w)"""
 
 
-DOCS = "d AS (SELECT doc_id AS id, text FROM documents)"
-ITEMS = "b AS (SELECT item_id AS id, text FROM benchmark)"
-WORD_SQL = f"WITH {DOCS}, " + _tfidf_sql("word", "d", WORD_TERMS, False, MIN_DF, MAX_DF)
-OUT = "SELECT id, term, round(weight, 6) AS weight FROM "
+WORD_SQL = f"WITH {WORDS_SQL}, " + _tfidf_sql("word", "words_of", WORD_GRAMS, False, 1, 1.0)
+PRUNED_WORD_SQL = f"{WORDS_SQL}, " + _tfidf_sql("words", "words_of", WORD_GRAMS, True, MIN_DF, MAX_DF, WORD_FEATURES)
+PRUNED_CHAR_SQL = f"{CHARS_SQL}, " + _tfidf_sql("chars", "chars_of", CHAR_GRAMS, True, MIN_DF, MAX_DF, CHAR_FEATURES)
 
 
-def _word(spark, sf, **more):
-    return fe.tfidf(docs(spark, sf), "doc_id", fe.word_terms(F.col("text")), min_df=MIN_DF, max_df=MAX_DF, **more)
+def _vector_sql(src: str) -> str:
+    return f"SELECT id, list(term ORDER BY term) AS terms, list(round(weight, 6) ORDER BY term) AS weights FROM {src} GROUP BY id"
 
 
-def _out(df):
-    return df.select("id", "term", F.round("weight", 6).alias("weight"))
+def _vectors(df):
+    return fe.sparse_vectors(df.withColumn("weight", F.round("weight", 6)))
 
 
-@fam.add("tfidf_word", WORD_SQL + OUT + "word")
-def q_tfidf_word(spark, sf):
-    """word 1- and 2-grams of all documents."""
-    return _out(_word(spark, sf))
+def _word(spark, sf):
+    return fe.tfidf(docs(spark, sf), "doc_id", fe.word_terms(F.col("text")))
 
 
-def _items(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+def _pruned(spark, sf, terms, features, namespace=None):
+    return fe.tfidf(docs(spark, sf), "doc_id", terms(F.col("text")), True, MIN_DF, MAX_DF, features, namespace)
 
 
-def _char(spark, sf, **more):
-    return fe.tfidf(_items(spark, sf), "id", fe.char_terms(F.col("text")), sublinear=True, **more)
+@fam.add("tfidf_word", WORD_SQL + _vector_sql("word"))
+def q_tfidf_word(spark, sf):
+    """word 1- and 2-grams of all documents."""
+    return _vectors(_word(spark, sf))
 
 
-@fam.add("tfidf_char", f"WITH {ITEMS}, " + _tfidf_sql("chars", "b", CHAR_TERMS, True, 1, 1.0) + OUT + "chars")
+@fam.add("tfidf_char", f"WITH {PRUNED_CHAR_SQL} " + _vector_sql("chars"))
 def q_tfidf_char(spark, sf):
-    """character 3- to 5-grams of the incoming tickets (the benchmark texts)."""
-    return _out(_char(spark, sf))
+    """character 3- to 5-grams of all documents."""
+    return _vectors(_pruned(spark, sf, fe.char_terms, CHAR_FEATURES))
 
 
-@fam.add("tfidf_union", f"WITH {ITEMS}, " + _tfidf_sql("words", "b", WORD_TERMS, False, 1, 1.0) + ", "
-         + _tfidf_sql("chars", "b", CHAR_TERMS, True, 1, 1.0) + """
-SELECT id, 'word:' || term AS term, round(weight, 6) AS weight FROM words
-UNION ALL SELECT id, 'char:' || term, round(weight, 6) FROM chars""")
+@fam.add("tfidf_union", f"WITH {PRUNED_WORD_SQL}, {PRUNED_CHAR_SQL}, both_blocks AS (\n  "
+         "SELECT id, 'word:' || term AS term, weight FROM words UNION ALL SELECT id, 'char:' || term, weight FROM chars) "
+         + _vector_sql("both_blocks"))
 def q_tfidf_union(spark, sf):
     """both blocks side by side."""
-    words = fe.tfidf(_items(spark, sf), "id", fe.word_terms(F.col("text")), namespace="word")
-    return _out(fe.tfidf_union(words, _char(spark, sf, namespace="char")))
+    return _vectors(fe.tfidf_union(_pruned(spark, sf, fe.word_terms, WORD_FEATURES, "word"),
+                                   _pruned(spark, sf, fe.char_terms, CHAR_FEATURES, "char")))
 
 
-@fam.add("tfidf_pruned", f"WITH {DOCS}, " + _tfidf_sql("word", "d", WORD_TERMS, False, MIN_DF, MAX_DF, MAX_FEATURES) + OUT + "word")
+@fam.add("tfidf_pruned", f"WITH {PRUNED_WORD_SQL} " + _vector_sql("words"))
 def q_tfidf_pruned(spark, sf):
-    """the vocabulary's most frequent terms only."""
-    return _out(_word(spark, sf, max_features=MAX_FEATURES))
+    """the most frequent words and pairs only, counts taken as 1 + ln."""
+    return _vectors(_pruned(spark, sf, fe.word_terms, WORD_FEATURES))
 
 
-@fam.add("class_keywords", WORD_SQL + f""", m AS (
+KEYWORDS_SQL = WORD_SQL + f""", m AS MATERIALIZED (
   SELECT lang AS class, term, sum(weight) / any_value(n_c) AS mean FROM word JOIN documents ON doc_id = id
   JOIN (SELECT lang, count(*) AS n_c FROM documents GROUP BY lang) USING (lang) GROUP BY ALL),
-s AS (SELECT class, term, mean, round(mean - coalesce(
-  (SELECT max(o.mean) FROM m o WHERE o.term = m.term AND o.class <> m.class), 0.0), 9) AS specificity FROM m)
-SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY specificity DESC, term DESC) AS INTEGER) AS rank, term AS ngram,
-       round(specificity, 6) AS specificity
-FROM s WHERE mean > 0 AND specificity > 0 QUALIFY rank <= {TOP_KEYWORDS}""")
+t2 AS (SELECT term, max(mean) AS m1, arg_max(class, mean) AS c1, coalesce(max(mean, 2)[2], 0.0) AS m2 FROM m GROUP BY term),
+s AS (SELECT class, term, mean, round(mean - CASE WHEN class = c1 THEN m2 ELSE m1 END, 9) AS specificity FROM m JOIN t2 USING (term)),
+kw AS MATERIALIZED (SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY specificity DESC, term DESC) AS INTEGER) AS rank, term AS ngram,
+  specificity FROM s WHERE mean > 0 AND specificity > 0 QUALIFY rank <= {TOP_KEYWORDS})"""
+
+
+def _keywords(spark, sf):
+    classes = docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
+    return rl.class_keywords(_word(spark, sf), classes, "id", "category", TOP_KEYWORDS)
+
+
+@fam.add("class_keywords", KEYWORDS_SQL + " SELECT class, rank, ngram, round(specificity, 6) AS specificity FROM kw")
 def q_class_keywords(spark, sf):
     """R2: the terms that tell a class from every other."""
-    classes = docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
-    kw = rl.class_keywords(_word(spark, sf), classes, "id", "category", TOP_KEYWORDS)
-    return kw.select("class", "rank", "ngram", F.round("specificity", 6).alias("specificity"))
+    return _keywords(spark, sf).select("class", "rank", "ngram", F.round("specificity", 6).alias("specificity"))
+
+
+@fam.add("keyword_rule_predict", KEYWORDS_SQL + f""",
+tx AS MATERIALIZED (SELECT doc_id AS ticket_id, {sql_normalize_ticket_text('text')} AS t FROM documents),
+hit AS (SELECT ticket_id, class, count(*) AS n FROM tx JOIN kw ON
+  regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || replace(ngram, ' ', '\\s+') || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY ALL),
+best AS (SELECT ticket_id, class, CAST(n AS DOUBLE) / (SELECT count(*) FROM kw k WHERE k.class = hit.class) AS conf FROM hit
+  QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY conf DESC, class) = 1)
+SELECT ticket_id, class AS rule_label, conf AS rule_confidence, CASE WHEN conf IS NOT NULL THEN 'rules' END AS rule_tier,
+       CASE WHEN conf < 0.9 THEN 'escalate_to_tier2' WHEN conf >= 0.9 THEN 'auto_route' END AS rule_route, conf < 0.9 AS rule_abstain
+FROM (SELECT ticket_id FROM tx) LEFT JOIN best USING (ticket_id)""")
+def q_keyword_rule_predict(spark, sf):
+    """R3 with the keywords that R2 mines from the same documents."""
+    t = lg.tickets(spark, sf).select("ticket_id", "description")
+    return rl.keyword_rule_table(t, "ticket_id", "description", _keywords(spark, sf)).drop("description")
 
 
 @fam.add("sigmoid", LOGITS_SQL + "SELECT ticket_id, list_transform(logits, lambda x: round(1.0 / (1.0 + exp(-x)), 9)) AS p FROM lg")

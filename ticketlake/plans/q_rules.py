@@ -1,31 +1,20 @@
-"""Queries for rule labelling."""
+"""Queries for rule labelling."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ticketlake.functions import text as tx
 from ticketlake.operators import rules as rl
 from ticketlake.plans.common import Family, sql_str
-from ticketlake.plans.q_text import sql_normalize_ticket_text
 from ticketlake.sources import logical as lg
 
 fam = Family()
 
 # The stand-in ticket type of each document language (so that the
-# category offsets and caps of the priority rules are exercised) and the keyword
-# manifest the keyword-rule query runs with.
+# category offsets and caps of the priority rules are exercised).
 LANG_TO_TYPE = {"en": "Technical issue", "fr": "Billing inquiry", "de": "Product inquiry",
                 "es": "Cancellation request"}
-KEYWORDS = {
-    "de": ["der", "die", "und", "nicht", "sich", "die der"],
-    "en": ["the", "and", "with", "that", "this", "of the"],
-    "es": ["los", "las", "para", "con", "una", "de la"],
-    "fr": ["les", "des", "une", "pour", "dans", "de la"],
-}
-
 SQL_NW = r"[^\p{L}\p{N}_]"
 
 
@@ -71,45 +60,6 @@ def q_assign_priority(spark, sf):
                       "priority")
 
 
-def _sql_keyword_rule(text: str) -> str:
-    classes = sorted(KEYWORDS)
-    scores = []
-    for c in classes:
-        kws = KEYWORDS[c]
-        hits = " + ".join(
-            f"CASE WHEN regexp_matches({text}, {sql_str('(?i)(^|' + SQL_NW + ')' + r'\s+'.join(re.escape(p) for p in k.split()) + '(' + SQL_NW + '|$)')}) THEN 1 ELSE 0 END"
-            for k in kws)
-        scores.append(f"CAST(({hits}) AS DOUBLE) / {float(len(kws))}")
-    # first maximum in class order
-    best_label = "CASE "
-    best_score = "CASE "
-    for i, c in enumerate(classes):
-        conds = " AND ".join(f"s{i} >= s{j}" for j in range(i + 1, len(classes))) or "TRUE"
-        best_label += f"WHEN {conds} THEN {sql_str(c)} "
-        best_score += f"WHEN {conds} THEN s{i} "
-    best_label += "END"
-    best_score += "END"
-    cols = ", ".join(f"{s} AS s{i}" for i, s in enumerate(scores))
-    return cols, best_label, best_score
-
-
-_KW_COLS, _KW_LABEL, _KW_SCORE = _sql_keyword_rule(sql_normalize_ticket_text("description"))
-
-
-@fam.add("keyword_rule_predict", lg.with_ctes(lg.TICKETS_SQL) + f"""
-SELECT ticket_id,
-       CASE WHEN conf > 0 THEN label END AS rule_label,
-       CASE WHEN conf > 0 THEN conf END AS rule_confidence,
-       CASE WHEN conf > 0 THEN 'rules' END AS rule_tier,
-       CASE WHEN conf > 0 THEN CASE WHEN conf < 0.9 THEN 'escalate_to_tier2' ELSE 'auto_route' END END AS rule_route,
-       CASE WHEN conf > 0 THEN conf < 0.9 END AS rule_abstain
-FROM (SELECT ticket_id, {_KW_LABEL} AS label, {_KW_SCORE} AS conf
-      FROM (SELECT ticket_id, {_KW_COLS} FROM tickets))""")
-def q_keyword_rule_predict(spark, sf):
-    t = lg.tickets(spark, sf).select("ticket_id", "description")
-    return rl.keyword_rule_predict(t, "description", KEYWORDS).drop("description")
-
-
 @fam.add("normalize_labels", lg.with_ctes(lg.TICKETS_SQL) + """
 SELECT ticket_id,
        coalesce(nullif(trim(CASE WHEN ticket_id % 6 = 0 THEN '  ' ELSE category END), ''), 'Other') AS category,
