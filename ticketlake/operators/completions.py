@@ -78,15 +78,29 @@ def class_prompt(ticket_text: Column, kb_text: Column, kb_chars: int | None = No
         F.lit(CLASS_PROMPT_TAIL))
 
 
+def kb_excerpt(docs: DataFrame, chars: int = MAX_KB_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(kb)``, one row: the first ``chars`` characters of the whole knowledge base, its documents in the
+    order of their ids, a blank line between two.
+
+    A document adds a character at least (the line between two), so that no more than ``chars`` of them,
+    each cut to ``chars``, are needed; every partition hands on its first ones.
+    """
+    some = (docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars).alias("_text"))
+            .orderBy("_id", "_text").limit(chars))
+    listed = some.agg(F.array_sort(F.collect_list(F.struct("_id", "_text"))).alias("_all"))
+    return listed.select(F.substring(F.array_join(F.transform("_all", lambda d: d["_text"]), "\n\n"), 1, chars).alias("kb"))
+
+
 def build_answer_prompt(tickets: DataFrame, sources: DataFrame, key: str = "ticket_id",
-                        ticket_col: str = "ticket_text", retry_col: str | None = None) -> DataFrame:
+                        ticket_col: str = "ticket_text", retry_col: str | None = None, k: int = 3) -> DataFrame:
     """L2: ``Source i:`` blocks in rank order, then the ticket; on a retry the
     retry text is appended to the system part.
 
-    ``sources`` is long format ``(key, rank, text)`` with a handful of rows per
-    ticket (the reranked top-k), so the per-ticket list is bounded.
+    ``sources`` is long format ``(key, rank, text)``; the ``k`` first of a ticket (the
+    reranked top-k) are its blocks, however many it has.
     """
-    blocks = (sources.groupBy(key)
+    from ticketlake.operators.evaluate import first_ranked
+    blocks = (first_ranked(sources, key, k).groupBy(key)
               .agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("text")))).alias("_src")))
     joined = tickets.join(blocks, key, "left")
     src = F.coalesce(F.col("_src"), F.array().cast("array<struct<rank:bigint,text:string>>"))

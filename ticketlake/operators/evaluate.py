@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlake.functions.text import words
+from ticketlake.functions.text import tokenize, words
+from ticketlake.session import cut_lineage
 
 # Token prices per 1,000 tokens.
 INPUT_COST_PER_1K = 0.00025
@@ -25,17 +26,53 @@ def relevance_join(run: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("is_rel", F.coalesce(F.col("is_rel"), F.lit(False))))
 
 
-def per_query_metrics(rel: DataFrame, k: int = 3) -> DataFrame:
+# Words of a query's beginning by which chunks that may hold it are found.
+PIECE_WORDS = 8
+# Queries that may be broadcast.
+BROADCAST_QUERIES = 1_000_000
+
+
+def containment_labels(queries: DataFrame, chunks: DataFrame, piece: int = PIECE_WORDS) -> DataFrame:
+    """E3's relevance table ``(query_id, chunk_id, is_rel)`` from the texts alone: a chunk is relevant to a
+    query whose words it holds in a row.  No run is read, so chunks that were not retrieved count too.
+
+    Every run of ``piece`` words of a chunk is looked up among the queries' beginnings (shorter queries:
+    all their words) by an equi-join on its hash; the pairs found are then compared in full.  Queries
+    without a word have no relevant chunk.
+    """
+    q = cut_lineage(queries.select("query_id", tokenize(F.col("text")).alias("w")).where(F.size("w") > 0).select(
+        "query_id", F.array_join("w", " ").alias("_query"), F.least(F.size("w"), F.lit(piece)).alias("_size"),
+        F.xxhash64(F.array_join(F.slice("w", 1, piece), " ")).alias("_key")))
+    sizes = [r[0] for r in q.select("_size").distinct().collect()]  # `piece` numbers at most
+    words = chunks.select("chunk_id", tokenize(F.col("text")).alias("w"))
+
+    def runs(n):
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(
+            F.array_join(F.slice("w", i, n), " ")))).otherwise(F.array().cast("array<long>"))
+    lists = [runs(n) for n in sizes] or [F.array().cast("array<long>")]
+    keys = words.select("chunk_id", F.explode(F.array_distinct(F.flatten(F.array(*lists)))).alias("_key"))
+    side = F.broadcast(q) if q.count() <= BROADCAST_QUERIES else q
+    pairs = keys.join(side, "_key").select("query_id", "chunk_id", "_query").distinct()
+    text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    whole = F.contains(text, F.concat(F.lit(" "), F.col("_query"), F.lit(" ")))
+    return pairs.join(words, "chunk_id").where(whole).select("query_id", "chunk_id", F.lit(True).alias("is_rel")).distinct()
+
+
+def per_query_metrics(rel: DataFrame, k: int = 3, relevant: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank and NDCG of each query's top-k (ranks 0-based).
 
-    NDCG's ideal ranking is the retrieved list itself sorted (the relevant
-    items it contains first), and 0 when nothing relevant was retrieved.
+    NDCG's ideal ranking is the retrieved list itself sorted (the relevant items it contains first), and
+    0 when nothing relevant was retrieved.  Given ``relevant (query_id, n_relevant)``, the ideal ranking
+    begins with all of a query's relevant items, retrieved or not.
     """
     top = rel.where(F.col("rank") < k)
     g = top.groupBy("query_id").agg(
         F.min(F.when(F.col("is_rel"), F.col("rank"))).alias("first_rel"),
         F.sum(F.when(F.col("is_rel"), F.lit(1.0) / F.log2(F.col("rank") + 2)).otherwise(0.0)).alias("dcg"),
         F.sum(F.when(F.col("is_rel"), 1).otherwise(0)).alias("n_rel"))
+    if relevant is not None:
+        g = g.join(relevant.select("query_id", F.least("n_relevant", F.lit(k)).alias("n_best")), "query_id", "left").withColumn(
+            "n_rel", F.greatest("n_rel", F.coalesce("n_best", F.lit(0))))
     idcg = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_rel"), F.lit(1))),
                        F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / F.log2(i + 1))
     return g.select(
@@ -44,10 +81,11 @@ def per_query_metrics(rel: DataFrame, k: int = 3) -> DataFrame:
         F.when(F.col("n_rel") > 0, F.col("dcg") / idcg).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
-def retrieval_metrics(rel: DataFrame, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
+def retrieval_metrics(rel: DataFrame, k: int = 3, queries: DataFrame | None = None,
+                      relevant: DataFrame | None = None) -> DataFrame:
     """E1 + E2: one row ``(mrr_at_3, ndcg_at_3)``; zeros for an empty run.  Given all ``queries
-    (query_id)``, those without any hit count as 0."""
-    pq = per_query_metrics(rel, k)
+    (query_id)``, those without any hit count as 0; ``relevant`` as in ``per_query_metrics``."""
+    pq = per_query_metrics(rel, k, relevant)
     if queries is not None:
         pq = queries.select("query_id").join(pq, "query_id", "left").fillna(0.0, ["rr", "ndcg"])
     return pq.agg(F.round(F.coalesce(F.avg("rr"), F.lit(0.0)), ROUND).alias("mrr_at_3"),
@@ -156,10 +194,16 @@ def ece(df: DataFrame, conf_col: str, correct_col: str, n_bins: int = 10) -> Dat
 
 # ---- E9-E10: answer evaluation ------------------------------------------------------------
 
-def answer_eval_set(answers: DataFrame, contexts: DataFrame, key: str = "ticket_id") -> DataFrame:
-    """Non-abstained, non-blank answers with their ranked context texts."""
+def first_ranked(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` first rows of each key by ``(rank, text)``, cut down before they are shuffled."""
+    w = Window.partitionBy(key).orderBy("rank", "text")
+    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
+
+
+def answer_eval_set(answers: DataFrame, contexts: DataFrame, key: str = "ticket_id", k: int = 3) -> DataFrame:
+    """Non-abstained, non-blank answers with the texts of their ``k`` first contexts."""
     ok = answers.where(~F.col("abstain_flag") & (F.trim(F.coalesce("draft_response", F.lit(""))) != ""))
-    ctx = contexts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_c"))
+    ctx = first_ranked(contexts, key, k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_c"))
     return ok.join(ctx, key, "left").select(
         key, F.col("draft_response").alias("answer"),
         F.coalesce(F.transform("_c", lambda s: s["text"]), F.array().cast("array<string>")).alias("contexts"))

@@ -85,12 +85,11 @@ SELECT t.ticket_id,
        || {sql_str('Valid categories (pick exactly one): [' + cp._quoted_list(lg.CATEGORIES) + ']')} || chr(10)
        || {sql_str('Valid priorities (pick exactly one): [' + cp._quoted_list(lg.PRIORITIES) + ']')} || chr(10) || chr(10)
        || {sql_str(cp.CLASS_PROMPT_TAIL)} AS prompt
-FROM tickets t JOIN (SELECT 0 AS k0, text AS kb FROM documents WHERE doc_id = 0) k ON k.k0 = 0""")
+FROM tickets t, (SELECT string_agg(substr(text, 1, 3000), chr(10) || chr(10) ORDER BY doc_id) AS kb FROM (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents ORDER BY doc_id LIMIT 3000)) k""")
 def q_build_class_prompt(spark, sf):
-    t = lg.tickets(spark, sf).withColumn("_k", F.lit(0))
-    kb = (table(spark, sf, "documents").where(F.col("doc_id") == 0)
-          .select(F.lit(0).alias("_k"), F.substring("text", 1, cp.MAX_KB_CHARS).alias("kb")))
-    j = t.join(F.broadcast(kb), "_k")
+    from ticketlake.operators.retrieval import attach_scalars
+    j = attach_scalars(lg.tickets(spark, sf), cp.kb_excerpt(table(spark, sf, "documents")))
     return j.select("ticket_id", cp.class_prompt(normalize_ticket_text(F.col("description")), F.col("kb")).alias("prompt"))
 
 
@@ -98,7 +97,7 @@ def q_build_class_prompt(spark, sf):
 WITH src AS (
   SELECT conv_id, string_agg('Source ' || CAST(rn - 1 AS VARCHAR) || ':' || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY rn) AS body
   FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn
-        FROM conversations WHERE turn >= 1) GROUP BY conv_id),
+        FROM conversations WHERE turn >= 1) WHERE rn <= 3 GROUP BY conv_id),
 tk AS (SELECT conv_id, text FROM conversations WHERE turn = 0)
 SELECT tk.conv_id AS ticket_id,
        CASE WHEN tk.conv_id % 2 = 1 THEN {sql_str(cp.ANSWER_SYSTEM_PROMPT + chr(10) + chr(10) + cp.ANSWER_RETRY_ADDITION)}

@@ -9,20 +9,20 @@ from ticketlake.operators import evaluate as ev
 from ticketlake.operators import features as fe
 from ticketlake.operators import retrieval as rt
 from ticketlake.plans.common import Family
+from ticketlake.plans.q_retrieval import PIPE_SQL, sql_tokens
+from ticketlake.session import cut_lineage
 from ticketlake.sources import logical as lg
 from ticketlake.sources.tables import table
 
 fam = Family()
 
-# ---- E1-E4 on the dense run: every vector is a query, relevant = same label ----------
+# ---- E1-E2 on the dense run: every vector is a query, relevant = same label ----------
 
 DENSE_RUN_SQL = """runs AS (
-  SELECT run, q.vec_id AS query_id, c.vec_id AS chunk_id, q.label = c.label AS is_rel,
-         row_number() OVER (PARTITION BY run, q.vec_id ORDER BY round(
-             CASE WHEN run = 'baseline' THEN list_dot_product(CAST(q.embedding[1:16] AS DOUBLE[]), CAST(c.embedding[1:16] AS DOUBLE[]))
-                  ELSE list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) END, 9) DESC, c.vec_id) - 1 AS rank
-  FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id,
-       (SELECT 'baseline' AS run UNION ALL SELECT 'improved') r
+  SELECT 'dense' AS run, q.vec_id AS query_id, c.vec_id AS chunk_id, q.label = c.label AS is_rel,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(
+           list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) - 1 AS rank
+  FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id
   QUALIFY rank < 3),
 pq AS (
   SELECT run, query_id,
@@ -36,54 +36,84 @@ pq2 AS (
   FROM pq)"""
 
 
-def _dense_runs(spark, sf):
+def _dense_run(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e  # every vector is a query
     labels = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("c_label"))
-    ql = q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
-
-    def run(name, vec):
-        corpus = e.select("vec_id", vec.alias("embedding"))
-        qq = q.select(F.col("vec_id").alias("query_id"), vec.alias("embedding"))
-        top = rt.dense_topk(corpus, qq, k=3, exclude_self=True)
-        rel = (top.join(labels, "chunk_id").join(ql, "query_id")
-               .select("query_id", "chunk_id", "rank", (F.col("q_label") == F.col("c_label")).alias("is_rel")))
-        return rel.withColumn("run", F.lit(name))
-
-    return run("baseline", F.slice("embedding", 1, 16)), run("improved", F.col("embedding"))
+    ql = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    top = rt.dense_topk(e, e.select(F.col("vec_id").alias("query_id"), "embedding"), k=3, exclude_self=True)
+    return (top.join(labels, "chunk_id").join(ql, "query_id")
+            .select("query_id", "chunk_id", "rank", (F.col("q_label") == F.col("c_label")).alias("is_rel")))
 
 
 @fam.add("mrr_at_3", "WITH " + DENSE_RUN_SQL + """
-SELECT round(avg(rr), 9) AS mrr_at_3 FROM pq2 WHERE run = 'improved'""")
+SELECT round(avg(rr), 9) AS mrr_at_3 FROM pq2""")
 def q_mrr_at_3(spark, sf):
-    return ev.retrieval_metrics(_dense_runs(spark, sf)[1]).select("mrr_at_3")
+    return ev.retrieval_metrics(_dense_run(spark, sf)).select("mrr_at_3")
 
 
 @fam.add("ndcg_at_3", "WITH " + DENSE_RUN_SQL + """
-SELECT round(avg(ndcg), 9) AS ndcg_at_3 FROM pq2 WHERE run = 'improved'""")
+SELECT round(avg(ndcg), 9) AS ndcg_at_3 FROM pq2""")
 def q_ndcg_at_3(spark, sf):
-    return ev.retrieval_metrics(_dense_runs(spark, sf)[1]).select("ndcg_at_3")
+    return ev.retrieval_metrics(_dense_run(spark, sf)).select("ndcg_at_3")
+
+
+# ---- E3-E4: text runs against a relevance table that no run has made -----------------------
+
+LABELS_SQL = f"""rel AS MATERIALIZED (
+  SELECT query_id, chunk_id FROM (SELECT query_id, array_to_string({sql_tokens('text')}, ' ') AS q FROM bq)
+  JOIN (SELECT chunk_id, array_to_string({sql_tokens('text')}, ' ') AS c FROM kb_chunks) ON q <> '' AND contains(' ' || c || ' ', ' ' || q || ' ')),
+of_query AS (SELECT query_id, least(count(DISTINCT chunk_id), 3) AS n_best FROM rel GROUP BY query_id),
+runs AS (
+  SELECT run, r.query_id, rank, l.chunk_id IS NOT NULL AS is_rel FROM (
+    SELECT 'baseline' AS run, query_id, chunk_id, rank FROM cos_top WHERE rank < 3
+    UNION ALL SELECT 'improved', query_id, chunk_id, rank FROM reranked) r
+  LEFT JOIN rel l ON l.query_id = r.query_id AND l.chunk_id = r.chunk_id),
+pq AS (
+  SELECT run, query_id, coalesce(1.0 / (min(CASE WHEN is_rel THEN rank END) + 1), 0.0) AS rr,
+         sum(CASE WHEN is_rel THEN 1.0 / log2(rank + 2) ELSE 0.0 END) AS dcg, CAST(sum(CASE WHEN is_rel THEN 1 ELSE 0 END) AS BIGINT) AS n_rel
+  FROM runs GROUP BY run, query_id)"""
+
+
+def _text_runs(spark, sf):
+    """``(run, query_id, chunk_id, rank)`` of plain cosine search and of the two-stage retrieval, and the labels."""
+    from ticketlake.plans import q_retrieval as qr
+    q, chunks = qr.bench_queries(spark, sf), qr.kb(spark, sf)
+    index = rt.bm25_stats(chunks)
+    base = rt.bow_cosine_topk(q, chunks, k=3, index=index).withColumn("run", F.lit("baseline"))
+    best = rt.two_stage_retrieve(q, chunks, index=index).withColumn("run", F.lit("improved"))
+    columns = ["run", "query_id", "chunk_id", "rank"]
+    return base.select(*columns).unionByName(best.select(*columns)), cut_lineage(ev.containment_labels(q, chunks))
+
+
+@fam.add("relevance_labels", PIPE_SQL.rstrip() + ",\n" + LABELS_SQL + " SELECT query_id, chunk_id, TRUE AS is_rel FROM rel")
+def q_relevance_labels(spark, sf):
+    """E3's relevance table: the chunks that hold a benchmark text."""
+    from ticketlake.plans import q_retrieval as qr
+    return ev.containment_labels(qr.bench_queries(spark, sf), qr.kb(spark, sf))
 
 
-@fam.add("evaluate_retrieval", "WITH " + DENSE_RUN_SQL + """
-SELECT round(avg(rr), 9) AS mrr_at_3, round(avg(ndcg), 9) AS ndcg_at_3 FROM pq2 WHERE run = 'improved'""")
+@fam.add("evaluate_retrieval", PIPE_SQL.rstrip() + ",\n" + LABELS_SQL + """
+SELECT round(avg(rr), 9) AS mrr_at_3, round(avg(dcg / (SELECT sum(1.0 / log2(i + 1)) FROM range(1, greatest(n_rel, n_best) + 1) t(i))), 9) AS ndcg_at_3
+FROM pq JOIN of_query USING (query_id) WHERE run = 'improved'""")
 def q_evaluate_retrieval(spark, sf):
-    """The run joined with a relevance table ``(query_id, chunk_id, is_rel)``."""
-    improved = _dense_runs(spark, sf)[1]
-    labels = improved.select("query_id", "chunk_id", "is_rel")
-    run = improved.select("query_id", "chunk_id", "rank")
-    return ev.retrieval_metrics(ev.relevance_join(run, labels))
+    """The two-stage run against the relevance table, over the queries that have a relevant chunk."""
+    runs, labels = _text_runs(spark, sf)
+    relevant = labels.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n_relevant"))
+    run = runs.where("run = 'improved'").join(relevant.select("query_id"), "query_id", "left_semi")
+    return ev.retrieval_metrics(ev.relevance_join(run, labels), queries=relevant, relevant=relevant)
 
 
-@fam.add("compare_runs", "WITH " + DENSE_RUN_SQL + """,
+@fam.add("compare_runs", PIPE_SQL.rstrip() + ",\n" + LABELS_SQL + """,
+pq2 AS (SELECT run, rr, CASE WHEN n_rel > 0 THEN dcg / (SELECT sum(1.0 / log2(i + 1)) FROM range(1, n_rel + 1) t(i)) ELSE 0.0 END AS ndcg FROM pq),
 m AS (SELECT run, avg(rr) AS mrr, avg(ndcg) AS ndcg FROM pq2 GROUP BY run)
 SELECT metric, round(b, 9) AS baseline, round(i, 9) AS improved, round(i - b, 4) AS delta FROM (
   SELECT 'mrr@3' AS metric, max(CASE WHEN run = 'baseline' THEN mrr END) AS b, max(CASE WHEN run = 'improved' THEN mrr END) AS i FROM m
   UNION ALL
   SELECT 'ndcg@3', max(CASE WHEN run = 'baseline' THEN ndcg END), max(CASE WHEN run = 'improved' THEN ndcg END) FROM m)""")
 def q_compare_runs(spark, sf):
-    b, i = _dense_runs(spark, sf)
-    return ev.compare_runs(b.unionByName(i), "baseline", "improved")
+    """Plain cosine search against the two-stage retrieval, over all benchmark queries."""
+    runs, labels = _text_runs(spark, sf)
+    return ev.compare_runs(ev.relevance_join(runs, labels), "baseline", "improved")
 
 
 # ---- E5-E8: predictions vs labels --------------------------------------------------------
@@ -181,7 +211,8 @@ ans AS (
 
 
 @fam.add("answer_eval_set", _answer_sql() + """,
-ctx AS (SELECT conv_id AS ticket_id, list(text ORDER BY turn, text) AS contexts FROM conversations WHERE turn >= 1 GROUP BY conv_id)
+ctx AS (SELECT conv_id AS ticket_id, list(text ORDER BY turn, text) AS contexts FROM (
+  SELECT * FROM conversations WHERE turn >= 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) <= 3) GROUP BY conv_id)
 SELECT a.ticket_id, a.draft_response AS answer, coalesce(c.contexts, []::VARCHAR[]) AS contexts
 FROM ans a LEFT JOIN ctx c USING (ticket_id)
 WHERE NOT a.abstain_flag AND trim(coalesce(a.draft_response, '')) <> ''""")
@@ -194,19 +225,21 @@ def q_answer_eval_set(spark, sf):
 @fam.add("answer_eval_summary", _answer_sql() + """,
 ok AS (SELECT ticket_id FROM ans WHERE NOT abstain_flag AND trim(coalesce(draft_response, '')) <> ''),
 m AS (SELECT ticket_id, CAST((ticket_id * 7919) % 1000 AS DOUBLE) / 1000.0 AS faithfulness,
-             CAST((ticket_id * 104729) % 1000 AS DOUBLE) / 1000.0 AS answer_relevancy
+             CAST((ticket_id * 104729) % 1000 AS DOUBLE) / 1000.0 AS answer_relevancy,
+             CAST((ticket_id * 7907) % 1000 AS DOUBLE) / 1000.0 AS context_precision
       FROM (SELECT DISTINCT conv_id AS ticket_id FROM conversations))
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM ok) AS n_evaluated,
        (SELECT CAST(count(*) AS BIGINT) FROM ans WHERE abstain_flag) AS n_abstained,
        round(coalesce(avg(m.faithfulness), 0.0), 9) AS faithfulness,
-       round(coalesce(avg(m.answer_relevancy), 0.0), 9) AS answer_relevancy
+       round(coalesce(avg(m.answer_relevancy), 0.0), 9) AS answer_relevancy,
+       round(coalesce(avg(m.context_precision), 0.0), 9) AS context_precision
 FROM ok JOIN m USING (ticket_id)""")
 def q_answer_eval_summary(spark, sf):
     cv = table(spark, sf, "conversations").select(F.col("conv_id").alias("ticket_id")).distinct()
     i = F.col("ticket_id")
     metrics = cv.select("ticket_id", lg.permille(i * 7919).alias("faithfulness"),
-                        lg.permille(i * 104729).alias("answer_relevancy"))
-    return ev.answer_eval_summary(_answers(spark, sf), metrics, ["faithfulness", "answer_relevancy"])
+                        lg.permille(i * 104729).alias("answer_relevancy"), lg.permille(i * 7907).alias("context_precision"))
+    return ev.answer_eval_summary(_answers(spark, sf), metrics, ["faithfulness", "answer_relevancy", "context_precision"])
 
 
 # ---- E11-E15: cost ----------------------------------------------------------------------------

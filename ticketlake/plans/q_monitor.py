@@ -70,7 +70,7 @@ def q_citation_mean(spark, sf):
 
 @fam.add("latency_p95", PL + f"""
 SELECT strftime(d, {FMT}) AS day, round(p, 9) AS p95_ms, p > 10000.0 AS alert
-FROM (SELECT date_trunc('day', ts) AS d, quantile_cont(round(latency_ms, 0), 0.95) AS p FROM prediction_log GROUP BY ALL)""")
+FROM (SELECT date_trunc('day', ts) AS d, quantile_cont(latency_ms, 0.95) AS p FROM prediction_log GROUP BY ALL)""")
 def q_latency_p95(spark, sf):
     return mo.latency_p95(lg.prediction_log(spark, sf))
 
