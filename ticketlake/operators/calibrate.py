@@ -8,15 +8,17 @@ expressions, to rows that the fit has not seen as well.  Linear models come from
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.operators.features import argmax_label, char_terms, class_weights, softmax, word_terms
+from ticketlake.operators.features import (argmax_label, char_terms, class_weights, softmax, stratified_kfold, term_tf,
+                                           vocabulary, word_terms)
 from ticketlake.session import cut_lineage
 
 # The range of temperatures, what is added to a probability before its logarithm, and the
@@ -167,40 +169,99 @@ def apply_isotonic(df: DataFrame, curves: DataFrame, probs: str, out_col: str =
                                                     .otherwise(F.col("_raw"))).drop("_raw", "_curves"))
 
 
-def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, features: int = 1 << 15, iterations: int = 20):
-    """TF-IDF of word 1- and 2-grams beside that of character 3- to 5-grams, each hashed to
-    ``features`` columns and of length 1, into multinomial logistic regression with balanced class
-    weights.  Rows without a label do not train.  Returns a function ``df -> df`` that adds
-    ``label`` and ``confidence``."""
-    train = train.where(F.col(label_col).isNotNull())
-    labels = [r[0] for r in train.select(label_col).distinct().orderBy(label_col).collect()]  # the label domain
-    index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)) - 1
-    blocks = {"_word": word_terms, "_char": char_terms}
-
-    def counted(df):
-        for name, terms in blocks.items():
-            tf = HashingTF(inputCol=f"{name}_terms", outputCol=name, numFeatures=features)
-            df = tf.transform(df.withColumn(f"{name}_terms", terms(F.col(text_col)))).drop(f"{name}_terms")
-        return df
-    rows = class_weights(counted(train).withColumn("_y", index.cast("double")), label_col)
-    rows = cut_lineage(rows.select(*blocks, "_y", "weight"))  # every iteration reads it
-    scales = {}
-    for name in blocks:
-        idf = IDF(inputCol=name).fit(rows)  # without the 1 that every known term has; unknown terms count nothing
-        scales[name] = Vectors.dense([x + 1 if n else 0.0 for x, n in zip(idf.idf.toArray().tolist(), idf.docFreq, strict=True)])
-
-    def union(df):
-        for name, scale in scales.items():
-            df = ElementwiseProduct(scalingVec=scale, inputCol=name, outputCol=f"{name}_idf").transform(df)
+# The classifier is fitted on at most this many labelled rows, those whose hashed text is smallest.
+TRAIN_ROWS = 10_000
+# Terms of its two blocks, and the members of its ensemble.
+WORD_FEATURES, CHAR_FEATURES = 20_000, 10_000
+FOLDS = 5
+
+
+def _text_features(train: DataFrame, text_col: str, sizes: dict[str, int]):
+    """A function ``df -> df`` that adds ``features``: TF-IDF of the most frequent word 1- and 2-grams beside
+    that of character 3- to 5-grams, each block of length 1.  The vocabularies are a part of the model
+    and have at most ``sizes`` terms, which are counted exactly over all training rows."""
+    terms_of = {"_word": word_terms, "_char": char_terms}
+    counters, scales = {}, {}
+    n = train.sparkSession.range(1).select(F.lit(train.count()).cast("long").alias("n_docs"))
+    for name, terms in terms_of.items():
+        tf = cut_lineage(term_tf(train.select(F.lit(0).alias("_i"), text_col), "_i", terms(F.col(text_col))))
+        known = vocabulary(tf, n, 1, 1.0, sizes[name]).collect() or [("", 0, 0.0)]
+        counters[name] = CountVectorizerModel.from_vocabulary([r[0] for r in known], f"{name}_terms", name)
+        scales[name] = Vectors.dense([float(r[2]) for r in known])
+
+    def add(df: DataFrame) -> DataFrame:
+        for name, terms in terms_of.items():
+            df = counters[name].transform(df.withColumn(f"{name}_terms", terms(F.coalesce(F.col(text_col), F.lit("")))))
+            df = ElementwiseProduct(scalingVec=scales[name], inputCol=name, outputCol=f"{name}_idf").transform(df)
             df = Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_unit").transform(df)
-        return VectorAssembler(inputCols=[f"{name}_unit" for name in scales], outputCol="features").transform(df)
-    model = LogisticRegression(labelCol="_y", weightCol="weight", maxIter=iterations, regParam=1e-3,
-                               family="multinomial").fit(union(rows).select("features", "_y", "weight"))
+        out = VectorAssembler(inputCols=[f"{name}_unit" for name in terms_of], outputCol="features").transform(df)
+        return out.drop(*[f"{name}{x}" for name in terms_of for x in ("", "_terms", "_idf", "_unit")])
+    return add
+
+
+def fit_text_classifier(train: DataFrame, text_col: str, label_cols: list[str], sizes: tuple[int, int] = (WORD_FEATURES, CHAR_FEATURES),
+                        rows: int = TRAIN_ROWS, folds: int = FOLDS, iterations: int = 50, at_once: int = 4):
+    """for each label column an ensemble of calibrated logistic regressions over TF-IDF features.
+
+    The training rows of a label are dealt into stratified folds.  Each member learns on all folds but
+    one, with balanced class weights and a ridge of 1 / rows; its isotonic curves, one a class, learn
+    from its probabilities on the fold that it has not seen.  A row's probabilities are the mean of the
+    members' calibrated ones.  Rows without a label do not train it.  Returns a function ``df -> df``
+    that adds ``<label column>_label``, ``_confidence`` and ``_probs``.
+    """
+    some = train.where(F.coalesce(*[F.col(c).cast("string") for c in label_cols]).isNotNull())
+    some = cut_lineage(some.select(text_col, *label_cols).orderBy(F.xxhash64(text_col), text_col).limit(rows))
+    features = _text_features(some, text_col, dict(zip(("_word", "_char"), sizes, strict=True)))
+    made = cut_lineage(features(some.withColumn("_id", F.monotonically_increasing_id())).drop(text_col))
+    axes = {c: [r[0] for r in made.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()] for c in label_cols}
+
+    def dealt(c):
+        labels = axes[c]
+        index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)) - 1
+        return cut_lineage(class_weights(stratified_kfold(made.where(F.col(c).isNotNull()), c, "_id", folds), c)
+                           .select("features", "weight", "fold", index.cast("double").alias("_y")))
+
+    def member(job):
+        c, deal, f = job
+        learn, rest = deal.where(F.col("fold") != f), deal.where(F.col("fold") == f)
+        n = learn.count()
+        if not n or not rest.limit(1).count():  # fewer rows than folds
+            return c, None, None
+        model = LogisticRegression(labelCol="_y", weightCol="weight", maxIter=iterations, regParam=1.0 / n, standardization=False,
+                                   family="multinomial", probabilityCol=f"_p{f}", rawPredictionCol=f"_r{f}",
+                                   predictionCol=f"_l{f}").fit(learn)
+        unseen = model.transform(rest).select(_wide(f"_p{f}", len(axes[c])).alias("probs"), F.col("_y").cast("int").alias("y"))
+        return c, model, cut_lineage(fit_isotonic(unseen, "probs", "y"))
+
+    def _wide(col, k):
+        p = vector_to_array(col)  # a member that lacks the last classes has fewer entries
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0)))
+    jobs = [(c, deal, f) for c in label_cols if axes[c] for deal in [dealt(c)] for f in range(folds)]
+    with ThreadPoolExecutor(at_once) as pool:
+        members = [m for m in pool.map(member, jobs) if m[1] is not None]
 
     def predict(df: DataFrame) -> DataFrame:
-        scored = model.transform(union(counted(df)))
-        label, conf = argmax_label(vector_to_array("probability"), labels)
-        return scored.select(*df.columns, label.alias("label"), conf.alias("confidence"))
+        out, columns = features(df), df.columns
+        for c in label_cols:
+            own = [(model, curves) for name, model, curves in members if name == c]
+            parts = []
+            for i, (model, curves) in enumerate(own):
+                probs = f"{c}_p{i}"
+                drop = [model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol()]
+                out = model.transform(out).withColumn(probs, _wide(drop[0], len(axes[c]))).drop(*drop)
+                out = apply_isotonic(out, curves, probs, f"{probs}_cal").drop(probs)
+                parts.append(f"{probs}_cal")
+            if parts:
+                sums = F.array(*parts)
+                mean = F.transform(F.sequence(F.lit(0), F.lit(len(axes[c]) - 1)), lambda i: F.aggregate(
+                    sums, F.lit(0.0), lambda a, p: a + F.get(p, i)) / len(parts))
+                out = out.withColumn(f"{c}_probs", mean).drop(*parts)
+                label, conf = argmax_label(F.col(f"{c}_probs"), axes[c])
+            else:  # nothing to learn from
+                out = out.withColumn(f"{c}_probs", F.array().cast("array<double>"))
+                label, conf = F.lit(None).cast("string"), F.lit(None).cast("double")
+            out = out.withColumn(f"{c}_label", label).withColumn(f"{c}_confidence", conf)
+        return out.select(*columns, *[f"{c}_{x}" for c in label_cols for x in ("label", "confidence", "probs")])
     return predict
 
 

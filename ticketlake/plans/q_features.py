@@ -12,6 +12,7 @@ from ticketlake.plans.common import Family, docs
 from ticketlake.plans.q_corpus import LOGITS_SQL, _logits
 from ticketlake.plans.q_eval import COST_SQL
 from ticketlake.plans.q_text import sql_normalize_ticket_text
+from ticketlake.session import cut_lineage
 from ticketlake.sources import logical as lg
 from ticketlake.sources.tables import table
 
@@ -227,14 +228,13 @@ def q_isotonic_apply(spark, sf):
 
 @fam.add("tier1_logreg")
 def q_tier1_logreg(spark, sf):
-    """language and priority of a document from its text, each learned on the training split of F8."""
+    """language and priority of a document from its text, learned on the training split of F8; the rows
+    are those of the other splits."""
     t = lg.tickets(spark, sf, with_priority=True)
     split = fe.stratified_split(lg.tickets(spark, sf).select("ticket_id", "category"), "category", "ticket_id").select("ticket_id", "split")
-    rows = t.join(split, "ticket_id")
-    train, out = rows.where("split = 'train'"), rows.where("split = 'test'").drop("split")
-    for axis in ("category", "priority"):
-        predict = ca.fit_text_classifier(train, "description", axis)
-        out = predict(out).withColumnsRenamed({c: f"{axis}_{c}" for c in ("label", "confidence")})
+    rows = cut_lineage(t.join(split, "ticket_id"))
+    predict = ca.fit_text_classifier(rows.where("split = 'train'"), "description", ["category", "priority"])
+    out = predict(rows.where("split <> 'train'"))
     return out.select("ticket_id", "category", F.col("category_label").alias("label"), F.col("category_confidence").alias("confidence"),
                       "priority", "priority_label", "priority_confidence")
 
