@@ -194,19 +194,25 @@ q AS (
 SELECT conv_id AS ticket_id, CAST(i - 1 AS INTEGER) AS query_no, qs[i] AS query
 FROM q, range(1, 4) r(i) WHERE i <= len(qs)""")
 def q_expand_queries(spark, sf):
-    cv = table(spark, sf, "conversations").where(F.col("turn") <= 2)
-    t = F.col("turn")
-    g = cv.groupBy("conv_id").agg(
-        F.max(F.when(t == 0, F.col("text"))).alias("orig"),
-        F.max(F.when(t == 1, F.col("text"))).alias("h1"),
-        F.max(F.when((t == 2) & (F.col("conv_id") % 3 != 0), F.col("text")).when(t == 2, F.lit(""))).alias("h2"))
+    cv = table(spark, sf, "conversations")
+    orig = cv.where("turn = 0").groupBy(F.col("conv_id").alias("ticket_id")).agg(F.max("text").alias("orig"))
+    g = cv.where("turn <= 2").select(F.col("conv_id").alias("ticket_id")).distinct().join(orig, "ticket_id", "left").join(
+        hypotheticals(cv), "ticket_id", "left")
+    qs = cp.expand_queries(F.coalesce(F.col("orig"), F.lit("")), F.coalesce("texts", F.array().cast("array<string>")))
+    return g.select("ticket_id", F.posexplode(qs).alias("query_no", "query"))
+
 
+def hypotheticals(conversations):
+    """``(ticket_id, texts)``: the replies of a conversation's turns 1 and 2 (of two thirds of them) stand for the
+    hypothetical answers to its ticket, thinking stripped."""
     def hyp(c):
         txt, tr = cp.strip_think(c)
         return F.when(c.isNull(), F.lit("")).when(tr, F.lit("")).otherwise(txt)
-
-    qs = cp.expand_queries(F.coalesce(F.col("orig"), F.lit("")), F.array(hyp(F.col("h1")), hyp(F.col("h2"))))
-    return g.select(F.col("conv_id").alias("ticket_id"), F.posexplode(qs).alias("query_no", "query"))
+    t = F.col("turn")
+    g = conversations.where("turn IN (1, 2)").groupBy(F.col("conv_id").alias("ticket_id")).agg(
+        F.max(F.when(t == 1, F.col("text"))).alias("h1"),
+        F.max(F.when((t == 2) & (F.col("conv_id") % 3 != 0), F.col("text")).when(t == 2, F.lit(""))).alias("h2"))
+    return g.select("ticket_id", F.array(hyp(F.col("h1")), hyp(F.col("h2"))).alias("texts"))
 
 
 @fam.add("parse_verdict", """
