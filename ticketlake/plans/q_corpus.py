@@ -58,32 +58,3 @@ FROM (SELECT ticket_id, category, {fe.sql_mix('ticket_id', 42)} AS hk FROM ticke
 def q_stratified_kfold(spark, sf):
     t = lg.tickets(spark, sf).select("ticket_id", "category")
     return fe.stratified_kfold(t, "category", "ticket_id", k=5, seed=42)
-
-
-LOGITS_SQL = lg.with_ctes(lg.TIER_SCORES_SQL) + """, lg AS (
-  SELECT ticket_id, [t1_cat_conf * 5, t2_cat_conf * 5, t3_conf * 5] AS logits FROM tier_scores),
-sm AS (
-  SELECT ticket_id, list_transform(logits, lambda x: exp(x - list_max(logits))
-         / list_reduce(list_transform(logits, lambda y: exp(y - list_max(logits))), lambda a, b: a + b, 0.0)) AS p
-  FROM lg)"""
-
-
-def _logits(spark, sf):
-    ts = lg.tier_scores(spark, sf)
-    return ts.select("ticket_id", F.array(F.col("t1_cat_conf") * 5, F.col("t2_cat_conf") * 5,
-                                          F.col("t3_conf") * 5).alias("logits"))
-
-
-@fam.add("softmax", LOGITS_SQL + "SELECT ticket_id, list_transform(p, lambda x: round(x, 9)) AS probs FROM sm")
-def q_softmax(spark, sf):
-    df = _logits(spark, sf).withColumn("p", fe.softmax(F.col("logits")))
-    return df.select("ticket_id", F.transform("p", lambda x: F.round(x, 9)).alias("probs"))
-
-
-@fam.add("argmax_label", LOGITS_SQL + """
-SELECT ticket_id, ['tier1', 'tier2', 'tier3'][list_position(p, list_max(p))] AS label, round(list_max(p), 9) AS confidence
-FROM sm""")
-def q_argmax_label(spark, sf):
-    df = _logits(spark, sf).withColumn("p", fe.softmax(F.col("logits")))
-    label, conf = fe.argmax_label(F.col("p"), ["tier1", "tier2", "tier3"])
-    return df.select("ticket_id", label.alias("label"), F.round(conf, 9).alias("confidence"))

@@ -9,7 +9,6 @@ from ticketlake.operators import evaluate as ev
 from ticketlake.operators import features as fe
 from ticketlake.operators import rules as rl
 from ticketlake.plans.common import Family, docs
-from ticketlake.plans.q_corpus import LOGITS_SQL, _logits
 from ticketlake.plans.q_eval import COST_SQL
 from ticketlake.plans.q_text import sql_normalize_ticket_text
 from ticketlake.session import cut_lineage
@@ -125,11 +124,6 @@ def q_keyword_rule_predict(spark, sf):
     return rl.keyword_rule_table(t, "ticket_id", "description", _keywords(spark, sf)).drop("description")
 
 
-@fam.add("sigmoid", LOGITS_SQL + "SELECT ticket_id, list_transform(logits, lambda x: round(1.0 / (1.0 + exp(-x)), 9)) AS p FROM lg")
-def q_sigmoid(spark, sf):
-    return _logits(spark, sf).select("ticket_id", F.transform("logits", lambda x: F.round(fe.sigmoid(x), 9)).alias("p"))
-
-
 # Scores of vectors: 20 times the inner product with the mean vector of each label, the means from two fifths
 # of the rows; two further fifths are for fitting calibrators, which are applied to all.
 SHARP = 20.0
@@ -153,6 +147,39 @@ def _vector_scores(spark, sf):
     return rows.withColumn("probs", fe.softmax(F.col("logits")))
 
 
+@fam.add("softmax", SCORES_SQL + " SELECT vec_id, list_transform(probs, lambda x: round(x, 9)) AS probs FROM pr")
+def q_softmax(spark, sf):
+    return _vector_scores(spark, sf).select("vec_id", F.transform("probs", lambda x: F.round(x, 9)).alias("probs"))
+
+
+@fam.add("sigmoid", SCORES_SQL + " SELECT vec_id, list_transform(logits, lambda x: round(1.0 / (1.0 + exp(-x)), 9)) AS p FROM lg")
+def q_sigmoid(spark, sf):
+    return _vector_scores(spark, sf).select("vec_id", F.transform("logits", lambda x: F.round(fe.sigmoid(x), 9)).alias("p"))
+
+
+CLASS_NAMES = [f"class {i}" for i in range(10)]
+
+
+@fam.add("argmax_label", SCORES_SQL + """
+SELECT vec_id, 'class ' || CAST(list_position(probs, list_max(probs)) - 1 AS VARCHAR) AS label, round(list_max(probs), 9) AS confidence FROM pr""")
+def q_argmax_label(spark, sf):
+    """F15 over the vectors' probabilities."""
+    label, conf = fe.argmax_label(F.col("probs"), CLASS_NAMES)
+    return _vector_scores(spark, sf).select("vec_id", label.alias("label"), F.round(conf, 9).alias("confidence"))
+
+
+@fam.add("linear_head_logits", SCORES_SQL + " SELECT vec_id, list_transform(logits, lambda x: round(x, 6)) AS logits FROM lg")
+def q_linear_head_logits(spark, sf):
+    """F7's layer with the labels' mean vectors as weights (ten vectors, a model's size)."""
+    e = table(spark, sf, "embeddings")
+    means = (e.where("vec_id % 5 < 2").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+             .groupBy("label", "d").agg(F.avg("x").alias("a"))
+             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "a"))).alias("c")).orderBy("label").collect())
+    weights = [[SHARP * x["a"] for x in r["c"]] for r in means]
+    logits = ca.linear_head(e, "embedding", weights, [0.0] * len(weights))
+    return e.select("vec_id", F.transform(logits, lambda x: F.round(x, 6)).alias("logits"))
+
+
 def _passes_sql() -> str:
     """The passes of ``fit_temperature`` as one CTE each."""
     lo, hi = ca.TEMPERATURES
