@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
 import re
 import uuid
 from collections import Counter
@@ -15,6 +18,9 @@ from ticketlake.session import checkpoint_dir
 
 # A table is broadcast only when its counted rows stay within this many.
 BROADCAST_ROWS = 1_000_000
+# Bytes of a batch that goes to a worker.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Distinct terms a counting task holds before it hands on what it has.
 COUNTER_TERMS = 200_000
 
@@ -82,6 +88,13 @@ def join_copies(rows: DataFrame, side: DataFrame, key: str, how: str, total: int
     return rows.join(F.broadcast(many), key, "inner" if how == "left" else how).unionByName(rest)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that go to workers, where the session does not: by rows alone a
+    batch of long texts can be larger than a worker."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
     """Run a batch function over ``(doc_id, text)`` rows.
 
@@ -91,6 +104,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
@@ -103,6 +117,35 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
     return df.mapInArrow(run, schema)
 
 
+_STATE: list[tuple] = []
+
+
+def worker_state(key: tuple, make: Callable):
+    """What ``make`` builds, kept by this worker process for its next tasks with the same ``key``.
+
+    A process keeps one at a time: the one before is given up first, cycles included.
+    """
+    if not _STATE or _STATE[0][0] != key:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            give_back()
+        _STATE.append((key, make()))
+    return _STATE[0][1]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def digest_of(blob: bytes) -> bytes:
+    return hashlib.blake2b(blob, digest_size=16).digest()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterable[pa.RecordBatch]:
     """Parts of a batch, so that decoded Python objects stay few."""
     for at in range(0, batch.num_rows, rows):

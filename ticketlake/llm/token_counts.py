@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
+from operator import sub
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import Memo, byte_alphabet, documents, id_text, map_texts, read_vocabulary, special_splitter
+from ticketlake.llm.common import (Memo, byte_alphabet, digest_of, documents, id_text, map_texts, read_vocabulary,
+                                   special_splitter, worker_state)
 
 TOKEN_LIMIT = 512
 MEMO_UNITS = 250_000
@@ -57,7 +59,7 @@ class PrefixCounter:
         self.known: dict[bytes, int] = {}  # prefix of a word of at most 40 bytes -> last token and count
         self.older: dict[bytes, int] = {}
         self.ends: dict[int, tuple[list, list]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # left << 20 | right
         self.units = Memo(self.steps, MEMO_UNITS)
         self.special = [t["content"] for t in j.get("added_tokens", [])]
         self.blank = self.scan(" ")
@@ -84,7 +86,7 @@ class PrefixCounter:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the tokens ``a b`` are the encoding of their bytes together."""
-        key = (a, b)
+        key = a << 20 | b
         ok = self.pairs.get(key)
         if ok is None:
             right, left = self.borders(a)[1], self.borders(b)[0]
@@ -110,30 +112,38 @@ class PrefixCounter:
     def scan(self, s: str) -> list[int]:
         """Token count of each character prefix (1, 2, ... characters) of one word."""
         b = s.encode()
-        n, tails, follows, known = len(b), self.tails, self.follows, self.known
-        short = n <= 40
+        n, tails, pairs, known = len(b), self.tails.get, self.pairs.get, self.known
+        short = looking = n <= 40
         if len(known) > MEMO_PREFIXES:
             self.older, self.known = known, {}
             known = self.known
         older = self.older
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            if short:
-                got = known.get(b[:i])
-                if got is None and (got := older.get(b[:i])) is not None:
-                    known[b[:i]] = got
+            if looking:  # of a word's prefixes the first ones are known
+                head = b[:i]
+                got = known.get(head)
+                if got is None and (got := older.get(head)) is not None:
+                    known[head] = got
                 if got is not None:
                     last[i], count[i] = got >> 8, got & 0xFF
                     continue
+                looking = False
             found, k = [], i - 1
-            while k >= 0 and (t := tails.get(b[k:i])) is not None:
+            while k >= 0 and (t := tails(b[k:i])) is not None:
                 if t >= 0:
                     found.append((k, t))
                 k -= 1
             for k, t in reversed(found):
-                if k == 0 or follows(last[k], t):
-                    last[i], count[i] = t, count[k] + 1
-                    break
+                if k:
+                    before = last[k]
+                    ok = pairs(before << 20 | t)
+                    if ok is None:
+                        ok = self.follows(before, t)
+                    if not ok:
+                        continue
+                last[i], count[i] = t, count[k] + 1
+                break
             if short:
                 known[b[:i]] = last[i] << 8 | count[i]
         if len(s) == n:
@@ -164,13 +174,11 @@ class PrefixCounter:
 
     def steps(self, chunk: str) -> bytes:
         """Prefix counts of white space and the run after it, as packed differences."""
-        steps = []
-        for unit in self.find(chunk):
-            before = 0
-            for c in self.unit(unit):
-                steps.append(c - before)
-                before = c
-        return struct.pack(f"={len(steps)}i", *steps)
+        if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one plain word is one unit
+            parts = [self.scan(chunk)]
+        else:
+            parts = map(self.unit, self.find(chunk))
+        return b"".join(array("i", map(sub, counts, [0, *counts[:-1]])).tobytes() for counts in parts)
 
     def section(self, s: str) -> np.ndarray:
         return np.cumsum(np.frombuffer(b"".join(map(self.units.__getitem__, self.find(s) if ODD_SPACE(s) else CHUNKS(s))), dtype=np.int32), dtype=np.int64)
@@ -200,13 +208,15 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     One row a document: ``doc_id, n_bytes, n_tokens, fit_chars`` and, on request,
     ``counts`` (token count of every character prefix, from the empty one on).  Null text
-    counts as empty: 0 bytes, 0 tokens.  A null doc_id stays null; repeated rows each
-    give a row; further columns are not looked at.
+    counts as empty: 0 bytes, 0 tokens.  Texts of any length are counted whole.  A null
+    doc_id stays null; repeated rows each give a row; an empty table gives no rows; further
+    columns are not looked at.
     """
     vocabulary = read_vocabulary(docs.sparkSession, path)
 
     def make():
-        counter = PrefixCounter(vocabulary.value)
+        # one a worker process: its memos go on from task to task
+        counter = worker_state(("PrefixCounter", digest_of(vocabulary.value)), lambda: PrefixCounter(vocabulary.value))
 
         def run(keys, texts):
             out = {"doc_id": keys, "n_bytes": [], "n_tokens": [], "fit_chars": [], "counts": []}
