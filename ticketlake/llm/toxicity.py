@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import Memo, documents, id_text, labels, map_texts
+from ticketlake.llm.common import Memo, documents, id_text, labels, map_texts, worker_state
 from ticketlake.llm.ftrl import Ftrl, sigmoid
 from ticketlake.llm.quality import _arrays, training_rows
 
@@ -40,21 +41,25 @@ BEGINNINGS = (4, 5, 6)
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def cells(chunk: str, bits: int = HASH_BITS) -> list[int]:
-    """Hash cells of the words of a chunk and of their beginnings."""
+# Chunks whose cells a worker remembers (in two generations).
+MEMO_CHUNKS = 100_000
+
+
+def cells(chunk: str, bits: int = HASH_BITS) -> bytes:
+    """Hash cells of the words of a chunk and of their beginnings, as packed 32-bit numbers."""
     out = []
     for w in WORDS(chunk.lower()):
         out.append(zlib.crc32(b"w" + w.encode()))
         out += [zlib.crc32(b"%d" % n + w[:n].encode()) for n in BEGINNINGS if len(w) >= n]
     mask = (1 << bits) - 1
-    return [x >> 3 & mask for x in out]
+    return array("i", [x >> 3 & mask for x in out]).tobytes()
 
 
 def vector(text: str, of: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells and how many distinct chunks of the text fall in each (as log counts)."""
-    found = [c for chunk in set(text.split()) for c in of[chunk]]
-    ids, n = np.unique(np.asarray(found, dtype=np.int64), return_counts=True)
-    return ids, np.log1p(n)
+    found = np.frombuffer(b"".join(map(of.__getitem__, set(text.split()))), dtype=np.int32)
+    ids, n = np.unique(found, return_counts=True)
+    return ids.astype(np.int64), np.log1p(n)
 
 
 class Chain:
@@ -81,6 +86,22 @@ def derive(rows: list, toxic: np.ndarray, size: int) -> np.ndarray:
     return np.stack([hits > 0, toxic > 0, (toxic > 0) & (hits >= SEVERE_TERMS)], axis=1).astype(float)
 
 
+class Extended:
+    """Some rows with the probabilities of the categories so far as further coordinates, put together
+    when they are asked for."""
+
+    def __init__(self, rows: list, before: np.ndarray, size: int, at: np.ndarray):
+        self.rows, self.before, self.at = rows, before, at
+        self.cells = size + np.arange(before.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, x = self.rows[self.at[i]]
+        return np.concatenate([ids, self.cells]), np.concatenate([x, self.before[self.at[i]] - 0.5])
+
+
 def fit_chain(rows: list, y: np.ndarray, size: int, folds: int = CHAIN_FOLDS) -> Chain:
     """``rows``: (ids, values) by document; ``y``: labels by document and category."""
     k = y.shape[1]
@@ -89,17 +110,17 @@ def fit_chain(rows: list, y: np.ndarray, size: int, folds: int = CHAIN_FOLDS) ->
     before = np.zeros((len(rows), 0))  # out-of-fold probabilities of the categories so far
     part = np.random.default_rng(7).permutation(len(rows)) % folds
     for j in range(k):
-        full = [(np.concatenate([ids, size + np.arange(j)]), np.concatenate([x, before[i] - 0.5]))
-                for i, (ids, x) in enumerate(rows)]
+        full = Extended(rows, before, size, np.arange(len(rows)))
         w = Ftrl(size + k, l1=1.0).fit(full, y[:, j], epochs).weights()
         weights[:, j], links[j], bias[j] = w[:size], w[size:size + k], w[-1]
         if j + 1 < k:
             oof = np.zeros(len(rows))
             for f in range(folds):
-                w = Ftrl(size + k, l1=1.0).fit([r for r, p in zip(full, part, strict=True) if p != f],
-                                               y[part != f, j], epochs).weights()
+                learn = Extended(rows, before, size, np.flatnonzero(part != f))
+                w = Ftrl(size + k, l1=1.0).fit(learn, y[part != f, j], epochs).weights()
                 for i in np.flatnonzero(part == f):
-                    oof[i] = sigmoid(w[full[i][0]] @ full[i][1] + w[-1])
+                    ids, x = full[i]
+                    oof[i] = sigmoid(w[ids] @ x + w[-1])
             before = np.column_stack([before, oof])
     return Chain(weights, links, bias)
 
@@ -109,7 +130,7 @@ def train_toxicity(train: DataFrame, bits: int = HASH_BITS) -> Chain:
     size, k = 1 << bits, len(CATEGORIES)
 
     def vectors(batches):
-        of = Memo(lambda c: cells(c, bits), 100_000)
+        of = Memo(lambda c: cells(c, bits), MEMO_CHUNKS)
         for b in batches:
             ids, texts, y = (b.column(i).to_pylist() for i in range(3))
             rows = [vector(t, of) for t in texts]
@@ -121,8 +142,7 @@ def train_toxicity(train: DataFrame, bits: int = HASH_BITS) -> Chain:
     def fit(batches):
         rows, toxic = [], []
         for b in batches:
-            rows += [(i.astype(np.int64), x.astype(float)) for i, x in
-                     zip(_arrays(b.column("ids")), _arrays(b.column("x")), strict=True)]
+            rows += [(i.copy(), x.copy()) for i, x in zip(_arrays(b.column("ids")), _arrays(b.column("x")), strict=True)]
             toxic += b.column("y").to_pylist()
         chain = fit_chain(rows, derive(rows, np.array(toxic, dtype=float), size), size)
         used = np.flatnonzero(np.abs(chain.weights).sum(axis=1))
@@ -145,7 +165,8 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
 
     def make():
         model = Chain(*shared.value)
-        of = Memo(lambda c: cells(c, int(len(model.weights) - 1).bit_length()), 250_000)
+        bits = int(len(model.weights) - 1).bit_length()
+        of = worker_state(("cells", bits), lambda: Memo(lambda c: cells(c, bits), MEMO_CHUNKS))
 
         def run(ids, texts):
             p = [model(*vector(t, of)) for t in texts]
@@ -158,8 +179,9 @@ def toxicity(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD, tr
     """One row a document: ``doc_id, profane, toxic, severe, score, predicted`` (1: toxic).
 
     Null and empty texts get the intercepts' probabilities; with no label at all every
-    probability is 0.5 and nothing is predicted toxic.  Repeated rows each give a row, a
-    null doc_id stays null; further columns are not looked at.
+    probability is 0.5 and nothing is predicted toxic.  Texts of any length are read whole.
+    Repeated rows each give a row, a null doc_id stays null, an empty table gives no rows;
+    further columns are not looked at.
     """
     chain = train_toxicity(training_rows(docs, marks, "toxic", train_rows))
     return score_toxicity(docs, chain).withColumn("score", F.col("toxic")).withColumn(
