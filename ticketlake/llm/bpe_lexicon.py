@@ -24,13 +24,13 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlake.llm.common import (Memo, byte_alphabet, documents, frequent_terms, id_text, map_texts, read_vocabulary,
-                                   special_splitter, stage, term_counts)
+from ticketlake.llm.common import (Memo, byte_alphabet, digest_of, documents, frequent_terms, id_text, map_texts,
+                                   read_vocabulary, special_splitter, stage, term_counts, worker_state)
 
 # The lexicon holds the words that make up at least 1/LEXICON_WORDS of all words, so at most that many.
 LEXICON_WORDS = 1 << 19
-# Words whose ids a task remembers.
-MEMO_WORDS = 250_000
+# Words and chunks whose ids a worker remembers (in two generations), and up to which length.
+MEMO_WORDS = 100_000
 # Up to this many letters a word's pairs are looked through again after each merge; beyond, a heap orders them.
 SHORT_WORD = 24
 NEVER = 1 << 60
@@ -244,6 +244,7 @@ class LexiconEncoder:
         self.bpe, self.lexicon = WordBpe(spec), Lexicon.mapped(blob)
         self.words = Memo(self.word, MEMO_WORDS)
         self.of = Memo(self.chunk, MEMO_WORDS)
+        self.said = Memo(self.chunk_texts, MEMO_WORDS)
 
     def word(self, w: str) -> tuple[int, ...]:
         ids = self.lexicon.get(w.encode())
@@ -254,6 +255,36 @@ class LexiconEncoder:
             return self.words[chunk]
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.bpe.find(chunk))))
 
+    @classmethod
+    def kept(cls, spec: bytes, blob: bytes) -> LexiconEncoder:
+        """The worker's encoder; its memos go on from task to task."""
+        return worker_state((cls.__name__, digest_of(spec), digest_of(blob)), lambda: cls(spec, blob))
+
+    def chunk_texts(self, chunk: str) -> tuple[int, str, str]:
+        """Number of ids of a chunk, the ids as decimals, and their decoded text, both joined by spaces."""
+        ids = self.chunk(chunk)
+        return len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)
+
+    def texts(self, text: str) -> tuple[int, str, str]:
+        """As ``chunk_texts``, for a whole text."""
+        of = self.said.__getitem__
+        if "<" not in text:
+            parts = list(map(of, self.bpe.chunks(text)))
+        else:
+            parts = []
+            for part, special in self.bpe.sections(text):
+                parts += map(of, self.bpe.chunks(part))
+                if special is not None:
+                    number = self.bpe.special[special]
+                    parts.append((1, str(number), self.bpe.decode((number,))))
+        if not parts:
+            return 0, "", ""
+        n, ids, said = zip(*parts, strict=True)
+        total = sum(n)
+        if 0 in n:  # chunks without a token leave no space
+            ids, said = filter(None, ids), filter(None, said)
+        return total, " ".join(ids), " ".join(said)
+
     def encode(self, text: str) -> list[int]:
         bpe, of = self.bpe, self.of.__getitem__
         if "<" not in text:
@@ -282,7 +313,7 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int
 def word_counts(texts: DataFrame, vocabulary) -> DataFrame:
     """``(term, n)``: tasks count chunks and take them apart into words only when they hand them on."""
     def make():
-        bpe = WordBpe(vocabulary.value)
+        bpe = worker_state(("WordBpe", digest_of(vocabulary.value)), lambda: WordBpe(vocabulary.value))
         return bpe.split, bpe.find
     return term_counts(texts, make)
 
@@ -295,7 +326,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     blob = spark.sparkContext.broadcast(build_lexicon(docs, path, text_col) if lexicon is None else lexicon)
 
     def make():
-        enc = LexiconEncoder(vocabulary.value, blob.value)
+        enc = LexiconEncoder.kept(vocabulary.value, blob.value)
         return lambda ids, texts: {"doc_id": ids, "ids": [enc.encode(t) for t in texts]}
     return map_texts(id_text(docs, id_col, text_col), make, "doc_id long, ids array<int>")
 
@@ -317,24 +348,24 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     One row a document, repeated rows included: ``doc_id, n_tokens, ids_sha256,
     decoded_sha256``.  Null text counts as empty (0 tokens, digests of the empty string);
-    a null doc_id stays null.  No length limit; further columns are not looked at.
+    a null doc_id stays null.  No length limit; an empty table gives no rows; further columns
+    are not looked at.
     """
     spark = docs.sparkSession
     vocabulary = read_vocabulary(spark, path)
     blob = spark.sparkContext.broadcast(build_lexicon(docs, path, text_col) if lexicon is None else lexicon)
 
     def make():
-        enc = LexiconEncoder(vocabulary.value, blob.value)
-        number = {i: str(i) for i in enc.bpe.pieces}.__getitem__
+        enc = LexiconEncoder.kept(vocabulary.value, blob.value)
         sha = hashlib.sha256
 
         def run(keys, texts):
             n, a, b = [], [], []
             for t in texts:
-                ids = enc.encode(t)
-                n.append(len(ids))
-                a.append(sha(" ".join(map(number, ids)).encode()).hexdigest())
-                b.append(sha(enc.bpe.decode(ids).encode()).hexdigest())
+                count, ids, said = enc.texts(t)
+                n.append(count)
+                a.append(sha(ids.encode()).hexdigest())
+                b.append(sha(said.encode()).hexdigest())
             return {"doc_id": keys, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
         return run
     return map_texts(id_text(docs, id_col, text_col), make,
