@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and zstandard novelty of strings in sensitive places (operator 4).
 
-Beside the three fixed kinds, every string that stands near a sensitive word, before or after it
-and on any line, is a candidate, and so is what follows a reported string without a word between.  Its novelty is its marginal compressed size: the bytes that it adds to its
-surroundings when both are compressed with a dictionary of the corpus' own identifiers.
+Beside the three fixed kinds, every string that has a sensitive word in its surroundings, before or
+after it and on any line, is a candidate, and so is what follows a reported string without a word
+between.  Its novelty is its marginal compressed size: the bytes that it adds to its surroundings when both are compressed with a dictionary of the corpus' own identifiers.
 Names and prose nearly vanish in that, keys and passwords do not; candidates that stay
 almost as long as they are get reported.
 """
@@ -12,17 +12,17 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.llm.common import documents, frequent_terms, id_text, map_texts, stage, term_counts
 
-# Identifiers that hold at least 1/IDENTIFIERS of all occurrences prime the compressor (at most DICTIONARY_BYTES).
+# Identifiers that hold at least 1/IDENTIFIERS of all occurrences prime the compressor: so many, of 40 letters at most.
 IDENTIFIERS = 8_192
-DICTIONARY_BYTES = 64 << 10
-# Characters of surroundings on each side; characters that are not blank between a sensitive word and its candidate.
-AROUND, REACH = 256, 40
+# Characters of surroundings on each side: for the compression, and for a sensitive word.
+AROUND = 256
 LEAST_CHARS = 12
 # Added bytes a character from which a candidate is incompressible.
 NOVELTY = 0.6
@@ -76,10 +76,15 @@ class Novelty:
         if not places:
             return []
         starts, ends = zip(*places, strict=True)
+        known_starts = [s for s, _, _ in known]  # ascending
+        reach = list(accumulate((e for _, _, e in known), max))  # the last end of the spans so far
         out, last = [], None
 
         def reported(a: int, b: int) -> bool:
-            if b - a < LEAST_CHARS or any(s < b and a < e for s, _, e in known) or self.added(text, a, b) < NOVELTY * (b - a):
+            if b - a < LEAST_CHARS:
+                return False
+            before = bisect_left(known_starts, b)  # spans that start before the candidate ends
+            if (before and reach[before - 1] > a) or self.added(text, a, b) < NOVELTY * (b - a):
                 return False
             out.append((a, 3, b))
             return True
@@ -87,8 +92,8 @@ class Novelty:
             a, b = m.span()
             i, j = bisect_right(ends, a), bisect_left(starts, b)  # words before it, and the first after it
             inside = i < j
-            whole = ((last is not None and not text[last:a].strip(BETWEEN)) or (i > 0 and near(text, ends[i - 1], a))
-                     or (not inside and j < len(starts) and near(text, b, starts[j])))
+            whole = ((last is not None and follows(text, last, a)) or (i > 0 and a - ends[i - 1] <= AROUND)
+                     or (not inside and j < len(starts) and starts[j] - b <= AROUND))
             found = whole and reported(a, b)
             if not found and inside:  # a word within the string: what stands before and after it
                 found = reported(a, starts[i])
@@ -98,9 +103,11 @@ class Novelty:
         return out
 
 
-def near(text: str, start: int, end: int) -> bool:
-    """Whether few enough characters that are not blank lie between."""
-    return end - start <= AROUND and sum(map(len, text[start:end].split())) <= REACH
+def follows(text: str, last: int, start: int) -> bool:
+    """Whether nothing but blanks and quotes lies between; looks back as far as these go."""
+    while start > last and text[start - 1] in BETWEEN:
+        start -= 1
+    return start <= last
 
 
 def join_spans(spans) -> str:
@@ -112,15 +119,16 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", bound: int =
     texts = id_text(docs.selectExpr("CAST(NULL AS BIGINT) doc_id", f"`{text_col}` text"))
     counts = stage(term_counts(texts, lambda: (str.split, IDENTIFIER)))
     words = [w for w, _ in frequent_terms(counts, bound)]
-    return " ".join(reversed(words)).encode()[-DICTIONARY_BYTES:]
+    return " ".join(reversed(words)).encode()
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: bytes | None = None) -> DataFrame:
     """One row a document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel``.
 
     Spans are code points, end exclusive, by start and then kind; whole texts are scanned.
-    Null text counts as empty: no spans, the digest of the empty string.  A null doc_id
-    stays null, repeated rows each give a row, further columns are not looked at.
+    Time grows with the text's length.  Null text counts as empty: no spans, the digest of
+    the empty string.  A null doc_id stays null, repeated rows each give a row, an empty table
+    gives no rows, further columns are not looked at.
     """
     primed = docs.sparkSession.sparkContext.broadcast(
         identifier_dictionary(docs, text_col) if identifiers is None else identifiers)
