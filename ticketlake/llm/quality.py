@@ -80,16 +80,21 @@ def fold_of(id_col, folds: int):
 
 def training_rows(docs: DataFrame, marks: DataFrame, label_col: str, rows: int, id_col: str = "doc_id",
                   text_col: str = "text", keep=None) -> DataFrame:
-    """``(doc_id, text, y)``: at most ``rows`` labelled ids, chosen by hash, with their texts.
+    """``(doc_id, text, y)``: at most ``rows`` rows, of labelled ids chosen by hash, with their texts.
 
     Null labels and ids are left out; an id labelled more than once counts as 1 if any row says so.
+    Rows that repeat an id and its text count once; of several texts of an id each is a row, and the
+    first ``rows`` rows stay.
     """
     ids = (marks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
            .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()))
     if keep is not None:
         ids = ids.where(keep)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")  # at most ``rows`` rows
+    # copies meet in a task before the shuffle, so that one id may hold any share of the documents
+    once = (id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
+            .groupBy("doc_id", "y", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text")))
+    return once.orderBy(F.xxhash64("doc_id"), "doc_id", "sha").limit(rows).select("doc_id", "text", "y")
 
 
 def fit_quality(train: DataFrame, bits: int = HASH_BITS) -> np.ndarray:
@@ -152,8 +157,9 @@ def quality(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD, tra
 
     Learns from labels of ids outside the held-out fold only (crc32 of the id modulo 5 is
     0); scores read nothing but the text.  Null and empty texts get the intercept's score;
-    without any label all scores are 0.5.  Repeated rows each give a row, a null doc_id
-    stays null and counts as held out; further columns are not looked at.
+    without any label all scores are 0.5.  Texts of any length are read whole.  Repeated rows
+    each give a row, a null doc_id stays null and counts as held out, an empty table gives no
+    rows; further columns are not looked at.
     """
     train = training_rows(docs, marks, "quality", train_rows, keep=fold_of(F.col("doc_id"), FOLDS) != HELD_FOLD)
     scored = score_quality(docs, fit_quality(train))
