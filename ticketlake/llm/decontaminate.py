@@ -18,8 +18,6 @@ from ticketlake.llm.common import benchmark, documents, id_text, map_texts
 
 # Edits allowed as a share of the item's normalised length.
 EDIT_RATE = 0.08
-# Items with fewer normalised characters are too short to tell and are matched only without edits.
-SHORT_ITEM = 40
 # Items are sent out in blocks of at most this many characters; each block is one pass over the documents.
 BLOCK_CHARS = 1_000_000
 
@@ -32,7 +30,7 @@ def normalise(text: str) -> str:
 
 
 def budget(length: int, rate: float = EDIT_RATE) -> int:
-    return int(rate * length) if length >= SHORT_ITEM else 0
+    return int(rate * length)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
