@@ -28,7 +28,11 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier chain predicts to be toxic; the chain learns from the labelled rows."""
+    """Drops what the classifier chain predicts to be toxic; the chain learns from the labelled rows.
+
+    Null and empty texts get the intercepts' probabilities; without any label nothing is dropped;
+    rows with a null doc_id stay; an empty table stays empty.
+    """
     return without(docs, toxicity.toxicity(docs, labels(spark, sf_dir)).where("predicted = 1"))
 
 
@@ -58,7 +62,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, as ``doc_id, n_tokens, ids``."""
+    """Token ids of what is left, as ``doc_id, n_tokens, ids``.
+
+    Null and empty texts have no token, a null doc_id stays null, repeated rows each give a row, an
+    empty table gives no rows; texts of any length are encoded whole.
+    """
     import public_tokenizers
     out = bpe_lexicon.bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

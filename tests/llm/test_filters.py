@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,7 +148,7 @@ def test_novelty_tells_keys_from_names():
     novelty = S.Novelty(b"the configuration_service request_handler connection_timeout password")
     secret = f"the credential for it is {KEY} and so on"
     name = "the credential for it is configuration_service_request_handler and so on"
-    far = f"the credential for it {'is ' * 30} {KEY}"
+    far = f"the credential for it {'is ' * 90} {KEY}"
     (a, k, b), = novelty.spans(secret, [])
     assert (secret[a:b], k) == (KEY, 3)
     assert novelty.spans(name, []) == novelty.spans(far, []) == novelty.spans(f"just {KEY}", []) == []
@@ -173,7 +174,20 @@ def test_secrets_on_either_side_and_on_other_lines():
     for text in (f"auth:\n  value: '{KEY}'", f"private key{' ' * 90}{KEY}", f'x = "{KEY}" # db password', f"{KEY}\n(api-key)",
                  f"{KEY}:secret", f"my access key {KEY}"):
         assert found(text) == [KEY], text
-    assert found(f"{KEY}|{'x ' * 60}|password") == found(f"password {' ' * 300}{KEY}") == []
+    assert found(f"password {'and ' * 40}{KEY}") == found(f"{KEY} {'and ' * 40}password") == [KEY]
+    assert found(f"{KEY}|{'x ' * 130}|password") == found(f"password {' ' * 300}{KEY}") == []
+
+
+def test_secrets_of_long_texts_take_linear_time():
+    """Many fixed spans, and one reported string long before the end."""
+    many = "password=abcdef12345 other words here \n" * 20_000
+    once = f"secret is {KEY} " + "some plain words_and_names_here 123 " * 85_000
+    novelty = S.Novelty(b"some plain words names here other")
+    for text in (many, once):
+        began = time.time()
+        spans = novelty.spans(text, S.base_spans(text))
+        assert time.time() - began < 8
+    assert [once[a:b] for a, _, b in spans] == [KEY]
 
 
 def test_secret_rows(spark):
@@ -251,6 +265,15 @@ def test_quality_on_held_out(spark, marked):
     assert np.mean([r.predicted == m.quality for r, m in held]) > 0.93
 
 
+def test_training_rows_are_bounded(spark):
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = [(1, "same text")] * 500 + [(1, f"text {i % 7}") for i in range(70)] + [(2, "b"), (2, None), (3, "c"), (4, "d")]
+    got = [tuple(r) for r in Q.training_rows(C.frame(spark, rows), marks, "quality", 5).collect()]
+    assert len(got) == len(set(got)) == 5
+    every = [tuple(r) for r in Q.training_rows(C.frame(spark, rows), marks, "quality", 100).collect()]
+    assert sorted(every) == sorted([(1, "same text", 1), *[(1, f"text {i}", 1) for i in range(7)], (2, "b", 0), (2, "", 0), (3, "c", 1)])
+
+
 def test_quality_learns_from_other_folds_only(spark):
     df = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     rows = C.frame(spark, [(i, "x") for i in range(200)])

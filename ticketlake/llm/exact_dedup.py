@@ -151,7 +151,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one group.  The largest doc_id of a group stays.  Rows that repeat a doc_id and its text
     are the same document: each gives a row, all count in ``group_size``, and all of the
     largest doc_id say ``kept``.  A null doc_id stays only where its group has no other.
-    Further columns are not looked at; an empty table gives no rows.
+    Texts of any length are compared whole.  Further columns are not looked at; an empty table
+    gives no rows.
     """
     texts = id_text(docs, id_col, text_col)
     marks = stage(texts.select("doc_id", F.xxhash64("text").alias("fp"), F.unhex(F.sha2("text", 256)).alias("sha")))

@@ -441,7 +441,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    keep_bytes: bool = False, hot_docs: int = HOT_DOCS) -> DataFrame:
     """One row a document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left).
 
-    Texts are UTF-8 bytes, null counts as empty; texts below ``length`` bytes stay whole.
+    Texts are UTF-8 bytes, null counts as empty; texts below ``length`` bytes stay whole, and a
+    text longer than a block is a block of its own.
     Rows of one doc_id are one document and do not remove each other's bytes.  Rows with a
     null doc_id have no place in the order: they stay whole and remove nothing.  Equal
     passages are told apart by a 128-bit digest.  Further columns are not looked at; an
