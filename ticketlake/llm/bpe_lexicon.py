@@ -31,6 +31,8 @@ from ticketlake.llm.common import (Memo, byte_alphabet, digest_of, documents, fr
 LEXICON_WORDS = 1 << 19
 # Words and chunks whose ids a worker remembers (in two generations), and up to which length.
 MEMO_WORDS = 100_000
+# Chunks of which a worker remembers ids and decoded text as strings (in two generations).
+MEMO_SAID = 250_000
 # Up to this many letters a word's pairs are looked through again after each merge; beyond, a heap orders them.
 SHORT_WORD = 24
 NEVER = 1 << 60
@@ -244,7 +246,7 @@ class LexiconEncoder:
         self.bpe, self.lexicon = WordBpe(spec), Lexicon.mapped(blob)
         self.words = Memo(self.word, MEMO_WORDS)
         self.of = Memo(self.chunk, MEMO_WORDS)
-        self.said = Memo(self.chunk_texts, MEMO_WORDS)
+        self.said = Memo(self.chunk_texts, MEMO_SAID)
 
     def word(self, w: str) -> tuple[int, ...]:
         ids = self.lexicon.get(w.encode())
