@@ -31,8 +31,8 @@ from ticketlake.llm.common import (Memo, byte_alphabet, digest_of, documents, fr
 LEXICON_WORDS = 1 << 19
 # Words and chunks whose ids a worker remembers (in two generations), and up to which length.
 MEMO_WORDS = 100_000
-# Chunks of which a worker remembers ids and decoded text as strings (in two generations).
-MEMO_SAID = 250_000
+# The same where nothing but digests leaves the worker.
+MEMO_DIGEST = 250_000
 # Up to this many letters a word's pairs are looked through again after each merge; beyond, a heap orders them.
 SHORT_WORD = 24
 NEVER = 1 << 60
@@ -242,11 +242,11 @@ class Lexicon:
 class LexiconEncoder:
     """Encodes whole texts: lexicon first, exact merging for words that it lacks."""
 
-    def __init__(self, spec: bytes, blob: bytes):
+    def __init__(self, spec: bytes, blob: bytes, memo: int = MEMO_WORDS):
         self.bpe, self.lexicon = WordBpe(spec), Lexicon.mapped(blob)
-        self.words = Memo(self.word, MEMO_WORDS)
-        self.of = Memo(self.chunk, MEMO_WORDS)
-        self.said = Memo(self.chunk_texts, MEMO_SAID)
+        self.words = Memo(self.word, memo)
+        self.of = Memo(self.chunk, memo)
+        self.said = Memo(self.chunk_texts, memo)
 
     def word(self, w: str) -> tuple[int, ...]:
         ids = self.lexicon.get(w.encode())
@@ -258,9 +258,9 @@ class LexiconEncoder:
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.bpe.find(chunk))))
 
     @classmethod
-    def kept(cls, spec: bytes, blob: bytes) -> LexiconEncoder:
+    def kept(cls, spec: bytes, blob: bytes, memo: int = MEMO_WORDS) -> LexiconEncoder:
         """The worker's encoder; its memos go on from task to task."""
-        return worker_state((cls.__name__, digest_of(spec), digest_of(blob)), lambda: cls(spec, blob))
+        return worker_state((cls.__name__, memo, digest_of(spec), digest_of(blob)), lambda: cls(spec, blob, memo))
 
     def chunk_texts(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids of a chunk, the ids as decimals, and their decoded text, both joined by spaces."""
@@ -358,7 +358,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     blob = spark.sparkContext.broadcast(build_lexicon(docs, path, text_col) if lexicon is None else lexicon)
 
     def make():
-        enc = LexiconEncoder.kept(vocabulary.value, blob.value)
+        enc = LexiconEncoder.kept(vocabulary.value, blob.value, MEMO_DIGEST)
         sha = hashlib.sha256
 
         def run(keys, texts):
