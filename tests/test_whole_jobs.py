@@ -20,3 +20,8 @@ def test_a_prompt_lists_every_source(spark, talks):
     got = {r.ticket_id: r.user_message for r in E.queries()["build_answer_prompt"](spark, talks).collect()}
     for c in range(4):
         assert got[c].startswith("Sources:\n" + "".join(f"Source {t - 1}:\nc{c} t{t}\n\n" for t in range(1, 7)) + "Support ticket:\n")
+
+
+def test_an_answer_is_judged_with_all_contexts(spark, talks):
+    got = {r.ticket_id: r.contexts for r in E.queries()["answer_eval_set"](spark, talks).collect()}
+    assert got and all(v == [f"c{c} t{t}" for t in range(1, 7)] for c, v in got.items())
