@@ -42,3 +42,18 @@ def test_few_pairs_are_scored_in_double_precision():
     c = vb.Vectors(np.arange(20_000), v / np.linalg.norm(v, axis=1)[:, None])
     row, _ = vb._possible(c.part(np.arange(256)), c, 15, True, None)
     assert len(row) < 256 * 30
+
+
+def test_buckets_are_searched_in_blocks():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8))
+    c, code = vb.Vectors(np.arange(900), v), rng.integers(0, 8, 900)
+    q, own = c.part(np.arange(0, 900, 9)), rng.integers(0, 8, 100)
+    for flips in ([1, 2, 4], []):
+        row, col, value = vb.probe_buckets(q, own, c, code, flips, 5, True)
+        looks = [set(int(o) ^ f for f in [0, *flips]) for o in own]
+        s = np.round(q.v @ c.v.T, vb.ROUND)
+        s[q.ids[:, None] == c.ids[None, :]] = -np.inf
+        s[~np.array([[b in look for b in code] for look in looks])] = -np.inf
+        want = {(i, int(j)) for i in range(100) for j in np.argsort(-s[i], kind="stable")[:5]}
+        assert set(zip(row.tolist(), col.tolist())) == want and np.allclose(value, s[row, col])
