@@ -179,3 +179,17 @@ def test_interval_expansion_against_sorting():
             if place + length <= len(data):
                 found.setdefault(k, set()).add(place)
         assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_repeats_are_exchanged_by_block_and_bucket(spark, monkeypatch):
+    """Passages are no rows: a block and a bucket exchange at most one value a step, and no join by content is planned."""
+    rows = [(i, "".join(chr(97 + (k * k * 7 + k * (j + i % 20)) % 26) for k in range(400) for j in (0, 3))) for i in range(40)]
+    sent = []
+    monkeypatch.setattr(R, "stage", lambda df: sent.append(df.columns) or df)
+    out = R.remove_repeats(C.frame(spark, rows))
+    assert sorted(map(tuple, out.collect()), key=repr) == repeats(rows)
+    assert sent == [["block", "size", "docs"]]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    some = [np.sort(np.random.default_rng(4).integers(0, 1 << 32, 1000, dtype=np.uint32)), np.zeros(0, "<i8"), np.arange(-5, 5)]
+    back = R._unpack(R._pack(R._steps(some[0]), *some[1:]), "<u4 <i8 <i8")
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip([R._unsteps(back[0]), *back[1:]], some, strict=True))

@@ -10,10 +10,11 @@ backwards, level by level: level l finds all borders whose common prefix is l lo
 common prefixes come by increasing value, and the expansion stops at ``LENGTH``.  What then
 is still one interval is one repeated string, and its smallest doc_id is known.
 
-Steps, each an exchange of blocks of documents with buckets of hashes:
+Steps, each an exchange of blocks of documents with buckets of hashes; what one of them has
+for one of the other is a single packed value:
 1. blocks send the minimizers they hold, buckets answer which of them are shared;
-2. blocks write the passages of shared minimizers, equal ones as one row;
-3. buckets find repeated strings, and every passage learns its strings' smallest doc_id;
+2. blocks send the passages of shared minimizers, equal ones of a block once, with their places;
+3. buckets find repeated strings and return the places where they stand, with their smallest doc_id;
 4. blocks remove the covered bytes.
 """
 
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +36,14 @@ from ticketlake.llm.common import documents, id_text, slices, stage
 LENGTH = 50
 GRAM = 20
 # Bytes of text and documents in a block, and bytes in one transform.
-BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 5000
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 5000
 TRANSFORM_BYTES = 1 << 20
 # String starts that are hashed at a time.
 HASH_BYTES = 1 << 18
 # Minimizers in a bucket, roughly.
-BUCKET_ROWS = 1 << 17
+BUCKET_ROWS = 1 << 18
+# Bits that are sent of a minimizer beside its bucket.
+REST_BITS = 27
 # A minimizer in more documents than this sends its strings one by one, each to a bucket of its own hash.
 HOT_DOCS = 20_000
 
@@ -126,8 +130,8 @@ class Block:
 
 
 def pack_blocks(texts: DataFrame) -> DataFrame:
-    """``(block, docs)``: some consecutive documents as one compressed Arrow stream.  What later
-    steps exchange is a few large values instead of many texts."""
+    """``(block, size, docs)``: some consecutive documents as one compressed Arrow stream, and their
+    bytes.  What later steps exchange is a few large values instead of many texts."""
     def run(batches):
         held, size, made = [], 0, 0
 
@@ -135,10 +139,10 @@ def pack_blocks(texts: DataFrame) -> DataFrame:
             table = pa.table({"doc_id": pa.array([r[0] for r in held], pa.int64()),
                               "text": pa.array([r[1] for r in held], pa.large_binary())})
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
                 writer.write_table(table)
             number = TaskContext.get().partitionId() << 32 | made
-            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()),
+            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "size": pa.array([size], pa.int64()),
                                                "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
         for b in batches:
             for part in slices(b):
@@ -150,18 +154,76 @@ def pack_blocks(texts: DataFrame) -> DataFrame:
                         held, size, made = [], 0, made + 1
         if held:
             yield block()
-    return texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "block long, docs binary")
+    return texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "block long, size long, docs binary")
 
 
 def _cell(h: np.ndarray, bits: int) -> np.ndarray:
-    """What is sent of a hash: the bucket and 32 bits more.  Equal cells of different hashes cost work, not results."""
-    return h >> np.uint64(32 - bits)
+    """What is sent of a hash: the bucket and some bits more.  Equal cells of different hashes cost work, not results."""
+    return h >> np.uint64(64 - REST_BITS - bits)
+
+
+def _parts(cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Of sorted cells: the bits beside the bucket, and ``(bucket, from, to)`` of each bucket."""
+    bucket = (cells >> np.uint64(REST_BITS)).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(cells)])
+    ends = np.append(cut[1:], len(cells))[:len(cut)]
+    rest = (cells & np.uint64((1 << REST_BITS) - 1)).astype("<u4")
+    return rest, list(zip(bucket[cut].tolist(), cut.tolist(), ends.tolist(), strict=True))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, each with the first bytes of all its numbers together, then the second."""
+    sizes = np.array([len(a) for a in arrays], "<i8").tobytes()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(planes))
+
+
+def _unpack(packed: bytes, kinds: str) -> list[np.ndarray]:
+    """What ``_pack`` was given; ``kinds``: the arrays' types."""
+    types = [np.dtype(k) for k in kinds.split()]
+    raw, at, out = zstandard.ZstdDecompressor().decompress(packed), 8 * len(types), []
+    for n, t in zip(np.frombuffer(raw, "<i8", len(types)).tolist(), types, strict=True):
+        planes = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).reshape(n))
+        at += n * t.itemsize
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array, which pack better."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _unsteps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=x.dtype)
+
+
+def _flat(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``begin[0], begin[0] + 1, ...``, n[0] of them, then those from ``begin[1]`` on."""
+    n = n.astype(np.int64)
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _groups(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(order, begin, size)``: rows by code, where in ``order`` each of ``n`` codes (all in use) begins, and its rows."""
+    size = np.bincount(codes, minlength=n)
+    return np.argsort(codes, kind="stable"), np.cumsum(size) - size, size
 
 
 # ---------------------------------------------------------------------------------
 # Steps
 # ---------------------------------------------------------------------------------
 
+SENT, REPLY = "<u4 <u4 u1", "<u4 <u4"
+PASSAGES, SPANS = "<u4 <u4 <i8 <i8 <u4 <u4 u1", "<u4 <u4 <i8"
+
+
+def _rows(names: str, kind: pa.DataType, rows: list[tuple]) -> pa.Table:
+    """``(block, bucket, value)`` rows as a table."""
+    kinds = (pa.int64(), pa.int64(), kind)
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names.split(), kinds, strict=True))})
+
+
 def _send(bits: int, length: int):
     """Step 1: a block's minimizers by bucket, apart: in one of its documents, in several (with log counts)."""
     def one_block(number: int, packed: bytes) -> pa.RecordBatch:
@@ -170,110 +232,103 @@ def _send(bits: int, length: int):
         h, doc = h[order], doc[order]
         once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[:len(h)]
         cells, n = np.unique(_cell(h[once], bits), return_counts=True)
-        bucket = (cells >> np.uint64(32)).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(cells) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(cells))
-        rest, many = (cells & np.uint64(0xFFFFFFFF)).astype("<u4"), n > 1
+        rest, parts = _parts(cells)
+        many = n > 1
         logs = np.ceil(np.log2(n)).astype(np.uint8)
-        spans = list(zip(cut, ends, strict=False))
-        return pa.RecordBatch.from_pydict({
-            "bucket": pa.array(bucket[cut], pa.int64()), "block": pa.array([number] * len(cut), pa.int64()),
-            "one": pa.array([rest[a:b][~many[a:b]].tobytes() for a, b in spans], pa.binary()),
-            "many": pa.array([rest[a:b][many[a:b]].tobytes() for a, b in spans], pa.binary()),
-            "logs": pa.array([logs[a:b][many[a:b]].tobytes() for a, b in spans], pa.binary())})
+        out = [(number, bucket, _pack(_steps(rest[a:b][~many[a:b]]), _steps(rest[a:b][many[a:b]]), logs[a:b][many[a:b]]))
+               for bucket, a, b in parts]
+        return _rows("block bucket cells", pa.binary(), out).combine_chunks()
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield one_block(b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                yield from one_block(b.column(0)[i].as_py(), b.column(1)[i].as_py()).to_batches()
     return run
 
 
 def _answer(hot_docs: int):
     """Step 1, bucket: which minimizers occur in several documents, and which in very many."""
     def run(table: pa.Table) -> pa.Table:
-        one = [np.frombuffer(x, "<u4") for x in table.column("one").to_pylist()]
-        many = [np.frombuffer(x, "<u4") for x in table.column("many").to_pylist()]
-        logs = [np.frombuffer(x, np.uint8) for x in table.column("logs").to_pylist()]
-        x = np.concatenate(one + many)
-        weight = np.concatenate([np.ones(sum(map(len, one))), 2.0 ** np.concatenate(logs)])
+        sent = [_unpack(x, SENT) for x in table.column("cells").to_pylist()]
+        x = np.concatenate([_unsteps(part) for s in sent for part in s[:2]])
+        weight = np.concatenate([w for one, _, logs in sent for w in (np.ones(len(one)), 2.0 ** logs)])
         cells, where = np.unique(x, return_inverse=True)
         total = np.bincount(where, weight, len(cells))[where]
-        cuts = np.concatenate([[0], np.cumsum([len(p) for p in one + many])])
-        parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-        def over(least: float) -> list[bytes]:
-            """By row, its minimizers of more than so many documents."""
-            keep = total > least
-            found = [x[p][keep[p]] for p in parts]
-            return [np.concatenate([a, b]).astype("<u4").tobytes() for a, b in zip(found[:len(one)], found[len(one):], strict=True)]
-        return pa.table({
-            "block": table.column("block").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int64()),
-            "shared": pa.array(over(1), pa.binary()), "hot": pa.array(over(hot_docs), pa.binary())})
+        ends = np.cumsum([len(one) + len(many) for one, many, _ in sent])
+        out = []
+        for block, bucket, a, b in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(),
+                                       [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            mine, of = x[a:b], total[a:b]
+            if (of > 1).any():
+                out.append((block, bucket, _pack(*(_steps(np.sort(mine[of > least])) for least in (1, hot_docs)))))
+        return _rows("block bucket cells", pa.binary(), out)
     return run
 
 
-def _cells(table: pa.Table, column: str) -> np.ndarray:
-    parts = [np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(b << 32)
-             for b, x in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist(), strict=True)]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
 def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(len(x), dtype=bool)
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
+def _replies(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's shared cells and its hot ones, sorted."""
+    kinds: tuple[list, list] = ([], [])
+    for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("cells").to_pylist(), strict=True):
+        for found, part in zip(kinds, _unpack(packed, REPLY), strict=True):
+            found.append(_unsteps(part).astype(np.uint64) | np.uint64(bucket << REST_BITS))
+    return tuple(np.sort(np.concatenate(k)) for k in kinds)
+
+
+def _contents(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings one after the other, and where each ends (with 0 first)."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
 def _passages(bits: int, length: int):
-    """Step 2: the passages of shared minimizers, in text order, equal ones of a block as one row."""
+    """Step 2: the passages of shared minimizers by bucket: sorted bits of the minimizer, sizes, least and most
+    doc_id, how often in the block, places there, and the bytes; equal ones of a block are one."""
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        found: dict[bytes, list] = {}
+        out: list[tuple] = []
         if docs.num_rows and replies.num_rows:
             block = Block(docs.column("docs")[0].as_py())
+            number = docs.column("block")[0].as_py()
             first, last, h, doc = block.runs(length)
             cells = _cell(h, bits)
-            shared = np.flatnonzero(_among(cells, _cells(replies, "shared")))
-            hot = _among(cells[shared], _cells(replies, "hot")).tolist()
-            begins = np.concatenate([[0], block.ends[:-1]])
+            shared, hot = _replies(replies)
+            mine = _among(cells, shared)
+            first, last, cells, doc = first[mine], last[mine], cells[mine], doc[mine]
+            hot = _among(cells, hot)
+            if hot.any():  # each string by itself
+                n = np.where(hot, last - first + 1, 1)
+                inner = _flat(np.zeros(len(n), np.int64), n)
+                first, last = np.repeat(first, n) + inner, np.repeat(np.where(hot, first, last), n) + inner
+                cells, doc, hot = (np.repeat(x, n) for x in (cells, doc, hot))
             raw = block.data.tobytes()
-            keys = h[shared].view(np.int64).tolist()
-            for a, b, key, d, one_by_one in zip(first[shared].tolist(), last[shared].tolist(), keys, doc[shared].tolist(),
-                                                hot, strict=True):
-                for s, e in ([(s, s) for s in range(a, b + 1)] if one_by_one else [(a, b)]):
-                    content = raw[s:e + length]
-                    row = found.get(content)
-                    if row is None:
-                        if one_by_one:
-                            key = xxhash.xxh64_intdigest(content) - (1 << 63)
-                        row = found[content] = [key, [], []]
-                    row[1].append(d)
-                    row[2].append(s)
-        out: dict[str, list] = {c: [] for c in ("key", "content", "digest", "least", "most", "rows", "starts")}
-        for content, (key, d, s) in found.items():
-            ids = block.docs[d]
-            out["key"].append(key)
-            out["content"].append(content)
-            out["digest"].append(xxhash.xxh3_128_digest(content))
-            out["least"].append(int(ids.min()))
-            out["most"].append(int(ids.max()))
-            out["rows"].append(d)
-            out["starts"].append(np.asarray(s) - begins[d])
-        n = len(out["key"])
-        number = docs.column("block")[0].as_py() if docs.num_rows else 0
-        return pa.table({"block": pa.array([number] * n, pa.int64()),
-                         **{c: pa.array(out[c], pa.int64()) for c in ("key", "least", "most")},
-                         **{c: pa.array(out[c], pa.binary()) for c in ("content", "digest")},
-                         "rows": pa.array(out["rows"], pa.list_(pa.int32())),
-                         "starts": pa.array(out["starts"], pa.list_(pa.int64()))}).select(
-                             ["block", "key", "content", "digest", "least", "most", "rows", "starts"])
+            strings = pa.array([raw[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.large_binary())
+            coded = strings.dictionary_encode()
+            del strings
+            codes = coded.indices.to_numpy()
+            order, begin, n = _groups(codes, len(coded.dictionary))
+            ids = block.docs[doc][order]
+            cells = cells[order][begin]
+            for i in np.flatnonzero(hot[order][begin]).tolist():
+                key = xxhash.xxh64_intdigest(coded.dictionary[i].as_py())
+                cells[i] = key >> (64 - REST_BITS - bits)
+            by_cell = np.argsort(cells, kind="stable")
+            least, most = (f.reduceat(ids, begin)[by_cell] for f in (np.minimum, np.maximum))
+            text, ends = _contents(coded.dictionary.take(pa.array(by_cell)))
+            size, n, places = np.diff(ends).astype("<u4"), n[by_cell].astype("<u4"), first[order][_flat(begin[by_cell], n[by_cell])].astype("<u4")
+            at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            rest, parts = _parts(cells[by_cell])
+            for bucket, a, b in parts:
+                out.append((number, bucket, _pack(_steps(rest[a:b]), size[a:b], least[a:b], most[a:b] - least[a:b], n[a:b],
+                                                  places[at[a]:at[b]], text[ends[a]:ends[b]])))
+        return _rows("block bucket passages", pa.binary(), out)
     return run
 
 
-PASSAGE_SCHEMA = ("block long, key long, content binary, digest binary, least long, most long, "
-                  "rows array<int>, starts array<long>")
-
-
 def bounded_order(data: np.ndarray, length: int) -> np.ndarray:
     """Places of ``data``, taken as a ring, ordered by at least their next ``length`` bytes."""
     n = len(data)
@@ -328,109 +383,122 @@ def expand_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return order, np.cumsum(begins, dtype=np.int64) - 1
 
 
-def repeated_strings(contents: list[bytes], least: np.ndarray, length: int) -> list[list[tuple[int, int, int]]]:
-    """For each content runs ``(from, to, smallest doc_id)`` of its string starts."""
-    data = np.frombuffer(b"".join(contents), dtype=np.uint8)
-    sizes = np.array([len(c) for c in contents])
+def repeated_strings(data: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``(content, from, to, smallest doc_id)`` of runs of string starts, for contents of these sizes in ``data``."""
     ends = np.cumsum(sizes)
+    begins = ends - sizes
     order, interval = expand_intervals(data, length)
-    owner = np.searchsorted(ends, order, side="right")
-    whole = order + length <= ends[owner]  # strings that go on into the next content are of no document
-    place, owner, interval = order[whole], owner[whole], interval[whole]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.flatnonzero((np.arange(len(data)) + length <= np.repeat(ends, sizes))[order])
+    place, interval = order[whole], interval[whole]  # strings that go on into the next content are of no document
     cut = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
     smallest = np.empty(len(data), np.int64)
-    group = np.minimum.reduceat(least[owner], cut)
-    smallest[place] = np.repeat(group, np.diff(np.append(cut, len(place))))
-    out = []
-    for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-        own = smallest[begin:end - length + 1]
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out.append(list(zip(at.tolist(), np.append(at[1:] - 1, len(own) - 1).tolist(), own[at].tolist(), strict=True)))
-    return out
+    smallest[place] = np.repeat(np.minimum.reduceat(least[owner[place]], cut), np.diff(np.append(cut, len(place))))
+    at = _flat(begins, sizes - length + 1)
+    own, owner = smallest[at], owner[at]
+    cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])))
+    owner, stop = owner[cut], np.append(cut[1:], len(at)) - 1
+    return owner, at[cut] - begins[owner], at[stop] - begins[owner], own[cut]
 
 
-def _repeats(length: int):
-    """Step 3: the strings of a bucket's passages, some minimizers at a time.
+def _runs(keys: np.ndarray, strings: pa.Array, least: np.ndarray, most: np.ndarray, length: int) -> list[np.ndarray]:
+    """``(content, from, to, smallest doc_id)`` of a bucket's different passages, some minimizers at a time.
 
     Equal strings have equal minimizers, so a minimizer with one single passage has nothing to
     be compared with: its strings start where the passage does.  All others are transformed.
     """
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys = table.column("key").to_numpy()
-        contents = table.column("content").to_pylist()
-        least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
-        digest, payload = [], []
-        new = np.append(True, keys[1:] != keys[:-1])
-        alone = new & np.append(new[1:], True)
-        for i in np.flatnonzero(alone & (least < most)).tolist():
-            digest.append(xxhash.xxh3_128_digest(contents[i]))
-            payload.append([0, len(contents[i]) - length, int(least[i])])
-        rest = np.flatnonzero(~alone)
-        keys, least, most = keys[rest], least[rest], most[rest]
-        contents = [contents[i] for i in rest.tolist()]
-        ends = np.cumsum([len(c) for c in contents])
-        a = 0
-        while a < len(keys):
-            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TRANSFORM_BYTES)) + 1
-            b = int(np.searchsorted(keys, keys[min(b, len(keys)) - 1], side="right"))  # whole minimizers
-            for i, runs in enumerate(repeated_strings(contents[a:b], least[a:b], length), a):
-                useful = [x for r in runs if r[2] < most[i] for x in r]
-                if useful:
-                    digest.append(xxhash.xxh3_128_digest(contents[i]))
-                    payload.append(useful)
-            a = b
-        return pa.table({"digest": pa.array(digest, pa.binary()), "runs": pa.array(payload, pa.list_(pa.int64()))})
-    return run
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    alone = new & np.append(new[1:], True)
+    one = order[alone]
+    one = one[least[one] < most[one]]
+    sizes = np.diff(_contents(strings)[1])
+    found = [(one, np.zeros(len(one), np.int64), sizes[one] - length, least[one])]
+    order, keys = order[~alone], keys[~alone]
+    ends = np.cumsum(sizes[order])
+    a = 0
+    while a < len(keys):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TRANSFORM_BYTES)) + 1
+        b = int(np.searchsorted(keys, keys[min(b, len(keys)) - 1], side="right"))  # whole minimizers
+        mine = order[a:b]
+        data, _ = _contents(strings.take(pa.array(mine)))
+        content, begin, end, smallest = repeated_strings(data, sizes[mine], least[mine], length)
+        use = smallest < most[mine][content]
+        found.append((mine[content[use]], begin[use], end[use], smallest[use]))
+        a = b
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def _spans(length: int):
-    """Occurrences of repeated strings: byte spans by row of a block, and the strings' smallest doc_id."""
-    def run(batches):
-        for b in batches:
-            for part in slices(b, 2000):
-                block, row, start, end, least = [], [], [], [], []
-                for number, most, rows, starts, runs in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    for i in range(0, len(runs), 3):
-                        if runs[i + 2] < most:  # else no document of this row has a larger id
-                            for r, s in zip(rows, starts, strict=True):
-                                block.append(number)
-                                row.append(r)
-                                start.append(s + runs[i])
-                                end.append(s + runs[i + 1] + length)
-                                least.append(runs[i + 2])
-                yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()),
-                                                  "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()),
-                                                  "least": pa.array(least, pa.int64())})
+def _repeats(length: int):
+    """Step 3: for each block the places of its repeated strings: starts, bytes, and the strings' smallest doc_id."""
+    def run(table: pa.Table) -> pa.Table:
+        sent = [_unpack(x, PASSAGES) for x in table.column("passages").to_pylist()]
+        rest = np.concatenate([_unsteps(s[0]) for s in sent])
+        size, least, more, n, places, text = (np.concatenate([s[i] for s in sent]) for i in range(1, 7))
+        owner = np.repeat(np.arange(len(sent)), [len(s[0]) for s in sent])
+        del sent
+        most = least + more
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order, begin, _ = _groups(codes, len(coded.dictionary))
+        content, first, last, smallest = _runs(rest[order][begin], coded.dictionary, np.minimum.reduceat(least[order], begin),
+                                               np.maximum.reduceat(most[order], begin), length)
+        # every passage has its content's runs, and each of them stands wherever the passage does
+        by_content, at, runs = _groups(content, len(coded.dictionary))
+        passage = np.repeat(np.arange(len(codes)), runs[codes])
+        run_ = by_content[_flat(at[codes], runs[codes])]
+        use = smallest[run_] < most[passage]  # else no document of this block has a larger id
+        passage, run_ = passage[use], run_[use]
+        begins = np.cumsum(n, dtype=np.int64) - n
+        start = places[_flat(begins[passage], n[passage])].astype(np.int64)
+        passage, run_ = (np.repeat(x, n[passage]) for x in (passage, run_))
+        start += first[run_]
+        bytes_, smallest, owner = last[run_] - first[run_] + length, smallest[run_], owner[passage]
+        order = np.lexsort((start, owner))
+        start, bytes_, smallest = start[order].astype("<u4"), bytes_[order].astype("<u4"), smallest[order]
+        ends = np.cumsum(np.bincount(owner, minlength=table.num_rows)).tolist()
+        out = [(block, bucket, _pack(_steps(start[a:b]), bytes_[a:b], smallest[a:b]))
+               for block, bucket, a, b in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(),
+                                              [0, *ends[:-1]], ends, strict=True) if a < b]
+        return _rows("block bucket spans", pa.binary(), out)
     return run
 
 
-def _remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
+def _remove(keep_bytes: bool):
     """Step 4: what is left of each text of a block: spans whose string starts in a smaller doc_id go."""
-    out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    if docs.num_rows:
-        block = Block(docs.column("docs")[0].as_py())
-        row = spans.column("row").to_numpy()
-        use = np.flatnonzero(block.known[row] & (spans.column("least").to_numpy() < block.docs[row]))
-        order = use[np.argsort(row[use], kind="stable")]
-        row, start, end = row[order], spans.column("start").to_numpy()[order], spans.column("end").to_numpy()[order]
-        for r, (doc, raw) in enumerate(zip(block.ids.to_pylist(), block.texts, strict=True)):
-            a, b = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
-            removed = runs = 0
-            kept = raw
-            if a < b:
-                change = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(change, start[a:b], 1)
-                np.add.at(change, end[a:b], -1)
-                gone = np.cumsum(change[:-1]) > 0
-                removed = int(gone.sum())
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            for c, x in zip(out, (doc, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                out[c].append(x)
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
-             "kept_sha256": pa.string(), "kept": pa.binary()}
-    return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
+    def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        if docs.num_rows:
+            block = Block(docs.column("docs")[0].as_py())
+            n = len(block.data)
+            change = np.zeros(n + 1, np.int64)
+            for packed in spans.column("spans").to_pylist():
+                start, size, least = _unpack(packed, SPANS)
+                start = _unsteps(start).astype(np.int64)
+                doc = np.searchsorted(block.ends, start, side="right")
+                use = np.flatnonzero(block.known[doc] & (least < block.docs[doc]))
+                np.add.at(change, start[use], 1)
+                np.add.at(change, start[use] + size[use], -1)
+            gone = np.cumsum(change[:-1]) > 0
+            begins = np.concatenate([[0], block.ends[:-1]])
+            new = gone.copy()
+            new[1:] &= ~gone[:-1]
+            inside = begins[begins < n]
+            new[inside] = gone[inside]
+            so_far, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, new))
+            left = memoryview(block.data[~gone].tobytes())
+            for doc, size, a, b in zip(block.ids.to_pylist(), map(len, block.texts), begins.tolist(), block.ends.tolist(), strict=True):
+                kept = left[a - int(so_far[a]):b - int(so_far[b])]
+                row = (doc, size, int(so_far[b] - so_far[a]), int(runs[b] - runs[a]), hashlib.sha256(kept).hexdigest(),
+                       bytes(kept) if keep_bytes else None)
+                for c, x in zip(out, row, strict=True):
+                    out[c].append(x)
+        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
+                 "kept_sha256": pa.string(), "kept": pa.binary()}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
+    return run
 
 
 # ---------------------------------------------------------------------------------
@@ -445,27 +513,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text longer than a block is a block of its own.
     Rows of one doc_id are one document and do not remove each other's bytes.  Rows with a
     null doc_id have no place in the order: they stay whole and remove nothing.  Equal
-    passages are told apart by a 128-bit digest.  Further columns are not looked at; an
+    passages are found by their bytes.  Further columns are not looked at; an
     empty table gives no rows.
     """
-    texts = id_text(docs, id_col, text_col)
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = stage(pack_blocks(id_text(docs, id_col, text_col)))
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    blocks = blocks.select("block", "docs")
     bits = min(30, max(1, (int(total) // ((length - min(GRAM, length) + 2) // 2) // BUCKET_ROWS).bit_length()))
-    blocks = stage(pack_blocks(texts))
-
-    sent = blocks.mapInArrow(_send(bits, length), "bucket long, block long, one binary, many binary, logs binary")
-    replies = sent.groupBy("bucket").applyInArrow(_answer(hot_docs), "block long, bucket long, shared binary, hot binary")
-    replies = replies.where(F.length("shared") > 0)
-    passages = stage(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_passages(bits, length), PASSAGE_SCHEMA))
-
-    distinct = passages.groupBy("key", "content").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    bucketed = distinct.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
-    repeats = bucketed.groupBy("bucket").applyInArrow(_repeats(length), "digest binary, runs array<long>")
-    spans = (passages.select("digest", "block", "most", "rows", "starts").join(repeats, "digest")
-             .select("block", "most", "rows", "starts", "runs")
-             .mapInArrow(_spans(length), "block long, row int, start long, end long, least long"))
+
+    cells = "block long, bucket long, cells binary"
+    replies = blocks.mapInArrow(_send(bits, length), cells).groupBy("bucket").applyInArrow(_answer(hot_docs), cells)
+    passages = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        _passages(bits, length), "block long, bucket long, passages binary")
+    spans = passages.groupBy("bucket").applyInArrow(_repeats(length), "block long, bucket long, spans binary")
     out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _remove(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")
 
 
