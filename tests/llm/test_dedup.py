@@ -193,3 +193,10 @@ def test_repeats_are_exchanged_by_block_and_bucket(spark, monkeypatch):
     some = [np.sort(np.random.default_rng(4).integers(0, 1 << 32, 1000, dtype=np.uint32)), np.zeros(0, "<i8"), np.arange(-5, 5)]
     back = R._unpack(R._pack(R._steps(some[0]), *some[1:]), "<u4 <i8 <i8")
     assert all((a == b).all() and len(a) == len(b) for a, b in zip([R._unsteps(back[0]), *back[1:]], some, strict=True))
+
+
+def test_minimizers_fill_all_buckets_alike():
+    data = np.random.default_rng(6).integers(97, 123, 200_000).astype(np.uint8)
+    _, _, h, _ = R.Minimizers().runs(data, np.array([len(data)]))
+    _, parts = R._parts(np.sort(R._cell(h, 5)))
+    assert len(parts) == 32 and max(b - a for _, a, b in parts) < 1.3 * len(h) / 32

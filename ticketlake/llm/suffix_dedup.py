@@ -158,8 +158,11 @@ def pack_blocks(texts: DataFrame) -> DataFrame:
 
 
 def _cell(h: np.ndarray, bits: int) -> np.ndarray:
-    """What is sent of a hash: the bucket and some bits more.  Equal cells of different hashes cost work, not results."""
-    return h >> np.uint64(64 - REST_BITS - bits)
+    """What is sent of a hash: the bucket and some bits more.  Equal cells of different hashes cost work, not results.
+
+    Minimizers are least hashes, so most of them begin with zeros; multiplied, they fill all buckets alike.
+    """
+    return (h * np.uint64(_ODD)) >> np.uint64(64 - REST_BITS - bits)
 
 
 def _parts(cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
