@@ -92,3 +92,20 @@ def test_frequent_terms_keep_their_bound(spark, bound):
     got = frequent_terms(counts, bound)
     assert got == sorted(((f"w{i}", 100 // (i + 1)) for i in range(50) if 100 // (i + 1) * bound >= total), key=lambda x: (-x[1], x[0]))
     assert len(got) <= bound
+
+
+def test_prefixes_are_read_once(monkeypatch):
+    """Bytes of known prefixes are not looked at again, and a full trie or table of moves is begun anew with the same counts."""
+    spec = open(BYTE, "rb").read()
+    lib, counter = Tokenizer.from_file(BYTE), N.PrefixCounter(spec)
+    counter.scan(" stationery")
+    nodes = len(counter.next)
+    counter.scan(" stationed")
+    assert len(counter.next) == nodes + 1  # only the last byte is new
+    assert counter.prefixes("stationery, stationery.").tolist()[-1] == len(lib.encode("stationery, stationery.").ids)
+    monkeypatch.setattr(N, "MEMO_PREFIXES", 20)
+    monkeypatch.setattr(N, "MEMO_MOVES", 10)
+    monkeypatch.setattr(N, "MEMO_UNITS", 3)
+    small = N.PrefixCounter(spec)
+    for t in texts(150) + ["stationed" * 9 + "é" * 30]:
+        assert small.prefixes(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]

@@ -26,8 +26,12 @@ from ticketlake.llm.common import (Memo, byte_alphabet, digest_of, documents, id
 TOKEN_LIMIT = 512
 MEMO_UNITS = 250_000
 MEMO_PAIRS = 500_000
-MEMO_PREFIXES = 350_000
+MEMO_PREFIXES = 800_000
+PREFIX_BYTES = 40
+MEMO_MOVES = 500_000
 NEVER = 1 << 60
+# Packed differences of the counts of two neighbouring prefixes, from -PREFIX_BYTES on.
+PACKED = [array("i", [d]).tobytes() for d in range(-PREFIX_BYTES, PREFIX_BYTES + 1)]
 
 # The contractions of the vocabulary's word pattern.
 CONTRACTIONS = frozenset(["s", "t", "re", "ve", "m", "ll", "d"])
@@ -54,10 +58,12 @@ class PrefixCounter:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.rank[x, y] = r
             self.made.setdefault(z, (x, y, r))
-        # every end of a token -> the token that it is itself, or -1
-        self.tails = dict.fromkeys((p[i:] for p in self.ids for i in range(len(p))), -1) | self.ids
-        self.known: dict[bytes, int] = {}  # prefix of a word of at most 40 bytes -> last token and count
-        self.older: dict[bytes, int] = {}
+        # States: beginnings of tokens.  What was read is in the state of its longest end that is one.
+        self.heads = {h: i for i, h in enumerate(dict.fromkeys(p[:i] for p in self.ids for i in range(len(p) + 1)))}
+        self.names = list(self.heads)
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> state
+        self.endings: dict[int, tuple] = {}  # state -> the tokens at its end, longest first, each with its size
+        self.forget()
         self.ends: dict[int, tuple[list, list]] = {}
         self.pairs: dict[int, bool] = {}  # left << 20 | right
         self.units = Memo(self.steps, MEMO_UNITS)
@@ -109,46 +115,96 @@ class PrefixCounter:
             self.pairs[key] = ok
         return ok
 
+    def move(self, key: int) -> int:
+        """The state after one more byte; ``key``: state << 8 | byte."""
+        s = self.names[key >> 8] + bytes([key & 0xFF])
+        while s not in self.heads:
+            s = s[1:]
+        if len(self.moves) >= MEMO_MOVES:
+            self.moves.clear()
+        self.moves[key] = self.heads[s]
+        return self.heads[s]
+
+    def ending(self, state: int) -> tuple:
+        """``(token, size)`` of the tokens that a state ends in, longest first."""
+        s = self.names[state]
+        found = tuple((self.ids[s[i:]], len(s) - i) for i in range(len(s)) if s[i:] in self.ids)
+        self.endings[state] = found
+        return found
+
+    def forget(self) -> None:
+        """The known prefixes of words as a trie: node 0 is the empty one; of each
+        node the state, last token and count, and the packed differences of the counts up to it."""
+        self.next: dict[int, int] = {}  # node << 8 | byte -> node
+        self.states, self.last, self.count, self.packed = [0], [-1], [0], [b""]
+
+    def grow(self, b: bytes, path: list[int]) -> None:
+        """New nodes for the bytes of ``b`` after those that ``path`` has nodes of."""
+        states, last, count, packed, add = self.states, self.last, self.count, self.packed, path.append
+        moves, endings, pairs = self.moves.get, self.endings.get, self.pairs.get
+        node = path[-1]
+        state = states[node]
+        for byte in b[len(path) - 1:]:
+            move = state << 8 | byte
+            state = moves(move)
+            if state is None:
+                state = self.move(move)
+            for t, size in endings(state) or self.ending(state):
+                before = path[-size]
+                if not before:
+                    break
+                ok = pairs(last[before] << 20 | t)
+                if ok or ok is None and self.follows(last[before], t):
+                    break
+            n = count[before] + 1
+            packed.append(packed[node] + PACKED[n - count[node] + PREFIX_BYTES])
+            key, node = node << 8 | byte, len(states)
+            self.next[key] = node
+            states.append(state)
+            last.append(t)
+            count.append(n)
+            add(node)
+
+    def long(self, b: bytes) -> list[int]:
+        """Token count of each prefix, the empty one first, of a word too long for the trie."""
+        last, count, state = [-1], [0], 0
+        for byte in b:
+            key = state << 8 | byte
+            state = self.moves.get(key)
+            if state is None:
+                state = self.move(key)
+            for t, size in self.endings.get(state) or self.ending(state):
+                if size == len(last) or self.follows(last[-size], t):
+                    break
+            last.append(t)
+            count.append(count[-size] + 1)
+        return count
+
+    def walk(self, b: bytes) -> list[int]:
+        """The nodes of the prefixes of a word of at most ``PREFIX_BYTES`` bytes."""
+        if len(self.next) > MEMO_PREFIXES:
+            self.forget()
+        known, node, path = self.next.get, 0, [0]
+        add = path.append
+        for byte in b:
+            node = known(node << 8 | byte)
+            if node is None:
+                self.grow(b, path)
+                break
+            add(node)
+        return path
+
     def scan(self, s: str) -> list[int]:
         """Token count of each character prefix (1, 2, ... characters) of one word."""
         b = s.encode()
-        n, tails, pairs, known = len(b), self.tails.get, self.pairs.get, self.known
-        short = looking = n <= 40
-        if len(known) > MEMO_PREFIXES:
-            self.older, self.known = known, {}
-            known = self.known
-        older = self.older
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            if looking:  # of a word's prefixes the first ones are known
-                head = b[:i]
-                got = known.get(head)
-                if got is None and (got := older.get(head)) is not None:
-                    known[head] = got
-                if got is not None:
-                    last[i], count[i] = got >> 8, got & 0xFF
-                    continue
-                looking = False
-            found, k = [], i - 1
-            while k >= 0 and (t := tails(b[k:i])) is not None:
-                if t >= 0:
-                    found.append((k, t))
-                k -= 1
-            for k, t in reversed(found):
-                if k:
-                    before = last[k]
-                    ok = pairs(before << 20 | t)
-                    if ok is None:
-                        ok = self.follows(before, t)
-                    if not ok:
-                        continue
-                last[i], count[i] = t, count[k] + 1
-                break
-            if short:
-                known[b[:i]] = last[i] << 8 | count[i]
-        if len(s) == n:
+        if len(b) > PREFIX_BYTES:
+            count = self.long(b)
+        else:
+            path = self.walk(b)  # may begin the trie anew
+            count = list(map(self.count.__getitem__, path))
+        if len(s) == len(b):
             return count[1:]
-        return [count[i] for i in range(1, n + 1) if i == n or b[i] & 0xC0 != 0x80]
+        return [count[i] for i in range(1, len(b) + 1) if i == len(b) or b[i] & 0xC0 != 0x80]
 
     def unit(self, u: str) -> list[int]:
         """Token count of each character prefix of white space and the word after it."""
@@ -174,11 +230,18 @@ class PrefixCounter:
 
     def steps(self, chunk: str) -> bytes:
         """Prefix counts of white space and the run after it, as packed differences."""
-        if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one plain word is one unit
-            parts = [self.scan(chunk)]
-        else:
-            parts = map(self.unit, self.find(chunk))
-        return b"".join(array("i", map(sub, counts, [0, *counts[:-1]])).tobytes() for counts in parts)
+        core, ascii_ = chunk[1:] if chunk[0] == " " else chunk, chunk.isascii()
+        plain = ascii_ and core.isalpha()
+        if not plain:  # one plain word is one unit
+            units = self.find(chunk)
+            if len(units) > 1:  # each may be known by itself
+                return b"".join(map(self.units.__getitem__, units))
+            plain = core and core[0] != "'" and not core[0].isspace()
+        if plain and ascii_ and len(chunk) <= PREFIX_BYTES:
+            path = self.walk(chunk.encode())  # may begin the trie anew
+            return self.packed[path[-1]]
+        counts = self.scan(chunk) if plain else self.unit(chunk)
+        return array("i", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
     def section(self, s: str) -> np.ndarray:
         return np.cumsum(np.frombuffer(b"".join(map(self.units.__getitem__, self.find(s) if ODD_SPACE(s) else CHUNKS(s))), dtype=np.int32), dtype=np.int64)
