@@ -200,3 +200,9 @@ def test_minimizers_fill_all_buckets_alike():
     _, _, h, _ = R.Minimizers().runs(data, np.array([len(data)]))
     _, parts = R._parts(np.sort(R._cell(h, 5)))
     assert len(parts) == 32 and max(b - a for _, a, b in parts) < 1.3 * len(h) / 32
+
+
+def test_buckets_grow_first_in_number_then_in_size():
+    of = {size: 1 << R._bucket_bits(size, 50) for size in (0, 1 << 20, 54_000_000, 864_000_000, 5 << 30, 50 << 30)}
+    assert of == {0: 2, 1 << 20: 2, 54_000_000: 16, 864_000_000: 256, 5 << 30: 512, 50 << 30: 4096}
+    assert all(size / 16 / n <= R.MOST_ROWS for size, n in of.items())

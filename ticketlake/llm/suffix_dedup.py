@@ -40,8 +40,9 @@ BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 5000
 TRANSFORM_BYTES = 1 << 20
 # String starts that are hashed at a time.
 HASH_BYTES = 1 << 18
-# Minimizers in a bucket, roughly.
-BUCKET_ROWS = 1 << 18
+# Minimizers in a bucket, roughly; more of them up to the second number before buckets are more than the third,
+# since blocks and buckets both grow in number with the texts, and so what a block has for a bucket gets small.
+BUCKET_ROWS, MOST_ROWS, FEW_BUCKETS = 1 << 18, 1 << 20, 1 << 8
 # Bits that are sent of a minimizer beside its bucket.
 REST_BITS = 27
 # A minimizer in more documents than this sends its strings one by one, each to a bucket of its own hash.
@@ -165,6 +166,13 @@ def _cell(h: np.ndarray, bits: int) -> np.ndarray:
     return (h * np.uint64(_ODD)) >> np.uint64(64 - REST_BITS - bits)
 
 
+def _bucket_bits(total: int, length: int) -> int:
+    """Logarithm of the number of buckets for so many bytes of text."""
+    minimizers = total // ((length - min(GRAM, length) + 2) // 2)
+    few = FEW_BUCKETS.bit_length() - 1
+    return min(30, max(1, min((minimizers // BUCKET_ROWS).bit_length(), max(few, (minimizers // MOST_ROWS).bit_length()))))
+
+
 def _parts(cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Of sorted cells: the bits beside the bucket, and ``(bucket, from, to)`` of each bucket."""
     bucket = (cells >> np.uint64(REST_BITS)).astype(np.int64)
@@ -522,7 +530,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = stage(pack_blocks(id_text(docs, id_col, text_col)))
     total = blocks.agg(F.sum("size")).first()[0] or 0
     blocks = blocks.select("block", "docs")
-    bits = min(30, max(1, (int(total) // ((length - min(GRAM, length) + 2) // 2) // BUCKET_ROWS).bit_length()))
+    bits = _bucket_bits(int(total), length)
 
     cells = "block long, bucket long, cells binary"
     replies = blocks.mapInArrow(_send(bits, length), cells).groupBy("bucket").applyInArrow(_answer(hot_docs), cells)
