@@ -76,3 +76,14 @@ def test_vectors_over_a_table_of_terms(spark):
     for kind, grams in (("word", tb.word_grams(F.col("t"))), ("char", tb.char_grams(F.col("t")))):
         known = fe._known(df, grams, 1, 1.0, 25, len(TEXTS))
         assert flat(tb.all_vectors(df, "k", grams, len(TEXTS), True, only=known)) == plain(TEXTS, kind, True, 1, 1.0, 25)
+
+
+@pytest.mark.parametrize("share", [0.005, 0.9, 5.0])
+def test_keywords_of_texts_are_those_of_all_terms(spark, share):
+    """Terms that few rows of a class hold are left out of the sums only if they cannot be keywords."""
+    texts = ["red apple", "red pear pear", "blue car", "blue bus bus", "red car", "", "green", "green red tram", None]
+    rows = list(zip(range(len(texts)), texts, ["f", "f", "v", "v", "v", "none", "g", "g", None], strict=True))
+    df = spark.createDataFrame(rows, "k long, t string, c string")
+    want = rl.class_keywords(fe.tfidf(df, "k", fe.word_terms(F.col("t"))), df.select(F.col("k").alias("id"), "c"), "id", "c", 3)
+    got = rl.text_keywords(df, "c", tb.word_grams(F.col("t")), 3, share)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
