@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import documents, frequent_terms, id_text, slices, stage
+from ticketlake.llm.common import bounded_batches, documents, frequent_terms, id_text, slices, stage
 from ticketlake.llm.quality import fold_of
+from ticketlake.operators.term_blocks import _opened, _shut
 
 FOLDS, HELD_FOLD = 7, 2
 # Documents and bytes of text in a block.
@@ -43,12 +44,27 @@ OUTPUT_ROWS = 40_000
 # Blocks of tokens and corpus counts
 # ---------------------------------------------------------------------------------
 
-BLOCK_SCHEMA = ("block long, ids array<long>, held array<boolean>, sizes array<int>, "
-                "stream array<int>, words array<binary>, train_counts array<int>")
+# The value holds sizes, tokens, words and their counts in training documents.  As one compressed value a block takes
+# little of a reader's memory, which holds all blocks of a file at once.
+BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, word_bytes long, value binary"
+
+
+def _packed(sizes: list[int], stream: np.ndarray, words: list[bytes], counts: np.ndarray) -> bytes:
+    return _shut(np.array(sizes, np.int32), stream, counts, np.array([len(w) for w in words], np.int32), np.frombuffer(b"".join(words), np.uint8))
+
+
+def _unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Tokens of each document, the tokens of all, the words they stand for, and the words' counts in training documents."""
+    sizes, stream, counts, lengths, data = _opened(value)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return sizes.astype(np.int64), stream.astype(np.int64), words, counts
 
 
 def token_blocks(texts: DataFrame) -> DataFrame:
     """``texts (doc_id, text, held)`` as blocks: token numbers, and the words they stand for."""
+    bounded_batches(texts.sparkSession)
+
     def run(batches):
         part = TaskContext.get().partitionId() << 32
         made, held_back, size = count(), [], 0
@@ -68,9 +84,8 @@ def token_blocks(texts: DataFrame) -> DataFrame:
             one = lambda x, t: pa.array([x], pa.list_(t))
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([part | next(made)], pa.int64()), "ids": one([r[0] for r in held_back], pa.int64()),
-                "held": one([r[2] for r in held_back], pa.bool_()),
-                "sizes": one(sizes, pa.int32()), "stream": one(np.concatenate(stream), pa.int32()),
-                "words": one(list(number), pa.binary()), "train_counts": one(counts, pa.int32())})
+                "held": one([r[2] for r in held_back], pa.bool_()), "word_bytes": pa.array([sum(map(len, number))], pa.int64()),
+                "value": pa.array([_packed(sizes, np.concatenate(stream), list(number), counts)], pa.binary())})
         for b in batches:
             for part_rows in slices(b):
                 for row in zip(*(part_rows.column(i).to_pylist() for i in range(3)), strict=True):
@@ -95,8 +110,8 @@ def exchange_counts(blocks: DataFrame, buckets: int) -> DataFrame:
     def send(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words = b.column("words")[i].values
-                counts = b.column("train_counts")[i].values
+                _, _, words, counts = _unpacked(b.column("value")[i].as_py())
+                counts = pa.array(counts)
                 cell = np.array([zlib.crc32(w) for w in words.to_pylist()], dtype=np.int64) % buckets
                 order = np.argsort(cell, kind="stable")
                 cut = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)) if len(order) else np.zeros(0, np.int64)
@@ -127,7 +142,7 @@ def exchange_counts(blocks: DataFrame, buckets: int) -> DataFrame:
             "words": pa.array([None] * len(sizes) + [coded.dictionary.take(pa.array(known)).to_pylist()], pa.list_(pa.binary())),
             "counts": pa.array([*replies, total[known]], pa.list_(pa.int64()))})
     schema = "block long, bucket long, words array<binary>, counts array<long>"
-    sent = blocks.select("block", "words", "train_counts").mapInArrow(send, schema)
+    sent = blocks.select("block", "value").mapInArrow(send, schema)
     return sent.groupBy("bucket").applyInArrow(add, schema)
 
 
@@ -481,12 +496,11 @@ def fit(blocks: DataFrame, lexis: Lexis, rounds: int = ROUNDS) -> np.ndarray:
             model, tokens = Gru(shared.value).load(start.value), 0
             for b in batches:
                 for i in range(b.num_rows):
-                    sizes = b.column("sizes")[i].values.to_numpy()
+                    sizes, stream, words, _ = _unpacked(b.column("value")[i].as_py())
                     chosen = np.flatnonzero(~b.column("held")[i].values.to_numpy(zero_copy_only=False))
                     chosen = chosen[np.arange(len(chosen)) % rounds == number]
                     if len(chosen):  # else nothing to learn here
-                        docs = Documents(shared.value, b.column("words")[i].values.to_pylist(),
-                                         b.column("stream")[i].values.to_numpy().astype(np.int64), sizes.astype(np.int64))
+                        docs = Documents(shared.value, words.to_pylist(), stream, sizes)
                         tokens += train(model, docs, chosen)
             if tokens:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 32], pa.int32()),
@@ -505,7 +519,7 @@ def fit(blocks: DataFrame, lexis: Lexis, rounds: int = ROUNDS) -> np.ndarray:
                                                   "flat": pa.array([(total[p] / tokens[p]).astype(np.float32) for p in total],
                                                                    pa.list_(pa.float32()))})
         schema = "part int, tokens long, flat array<float>"
-        trained = blocks.select("sizes", "held", "words", "stream").mapInArrow(run, schema)
+        trained = blocks.select("held", "value").mapInArrow(run, schema)
         got = trained.repartition(32, "part").mapInArrow(average, schema).toPandas()
         if len(got):
             n = got["tokens"].to_numpy(dtype=float)
@@ -527,8 +541,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = (fold_of(F.col(id_col), folds) == held_fold).alias("held")
     texts = id_text(docs, id_col, text_col, held).withColumn("text", F.col("text").cast("binary"))
     blocks = stage(token_blocks(texts))
-    size = blocks.agg(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w))),
-                      F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
+    size = blocks.agg(F.sum("word_bytes"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
     exchanged = stage(exchange_counts(blocks, int(size[0] or 0) // BUCKET_BYTES + 1))
     counts = word_counts(exchanged)
     trained = int(size[1] or 0)
@@ -542,9 +555,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         if left.num_rows:
             lex, weights = shared.value
-            words = left.column("words")[0].values
-            stream = left.column("stream")[0].values.to_numpy().astype(np.int64)
-            sizes = left.column("sizes")[0].values.to_numpy().astype(np.int64)
+            sizes, stream, words, _ = _unpacked(left.column("value")[0].as_py())
             c = np.zeros(len(words), np.int64)
             if len(words):
                 plain = words.to_pylist()
@@ -573,7 +584,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = int(size[0] or 0) // BUCKET_BYTES + 1
     replies = exchanged.where("block >= 0").select("block", "bucket", "counts", F.lit(buckets).alias("of"))
-    rows = (blocks.select("block", "ids", "held", "sizes", "stream", "words").groupBy("block")
+    rows = (blocks.select("block", "ids", "held", "value").groupBy("block")
             .cogroup(replies.groupBy("block")).applyInArrow(
                 run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
